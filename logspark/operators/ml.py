@@ -99,8 +99,8 @@ def baseline_features(df: DataFrame, days: int = 7, as_of=None, cfg: EngineConfi
     end = as_of - _dt.timedelta(days=1)
     start = end - _dt.timedelta(days=days)
     hist = df.filter(F.col("log_ts").between(ts_lit(start), ts_lit(end)))
-    daily = features_by(hist.withColumn("day", F.to_date("log_ts")), ("day",), cfg)
-    return (_stack(daily, ("day",)).groupBy("feature")
+    daily = features_by(hist.withColumn("feature_day", F.to_date("log_ts")), ("feature_day",), cfg)
+    return (_stack(daily, ("feature_day",)).groupBy("feature")
             .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                  F.count(F.lit(1)).alias("n_days")))
 
