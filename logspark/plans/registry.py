@@ -6,6 +6,7 @@ from __future__ import annotations
 def _load():
     from . import catalog  # noqa: F401
     from . import catalog_more  # noqa: F401
+    from . import catalog_ingest  # noqa: F401
     return catalog
 
 

@@ -129,4 +129,6 @@ def with_views(body: str, *, logs: bool = True, raw: bool = False, access: bool
         ctes.append(enriched_cte(unit_mode))
     if extra:
         ctes.append(extra)
+    if not ctes:
+        return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
