@@ -14,6 +14,15 @@ SEVERITY_WEIGHTS = {"fatal": 10.0, "error": 5.0, "warn": 2.0, "info": 1.0, "debu
 LEVEL_ORDINALS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "ERROR": 3, "FATAL": 4}
 
 
+BROAD_SQL = "level IN (" + ", ".join(f"'{x}'" for x in BROAD_ERROR_LEVELS) + ")"
+NARROW_SQL = "level IN (" + ", ".join(f"'{x}'" for x in NARROW_ERROR_LEVELS) + ")"
+
+
+def severity_weight_sql(level: str = "level") -> str:
+    whens = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in SEVERITY_WEIGHTS.items())
+    return f"CASE {level} {whens} ELSE 1.0D END"
+
+
 def norm_level(level: Column) -> Column:
     return F.lower(F.coalesce(level, F.lit("")))
 
@@ -27,9 +36,8 @@ def is_narrow_error(level: Column) -> Column:
     return level.isin(*NARROW_ERROR_LEVELS)
 
 
-def severity_weight(level: Column) -> Column:
-    m = F.create_map(*[x for k, v in SEVERITY_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.element_at(m, level), F.lit(1.0))
+def severity_weight(level: str = "level") -> Column:
+    return F.expr(severity_weight_sql(level))
 
 
 def is_valid_ingest_level(level: Column) -> Column:

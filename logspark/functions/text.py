@@ -1,6 +1,10 @@
-"""Message normalisation functions, all built from Spark's regex functions.
+"""Message normalisation functions, built from Spark's regex functions.
 
-Every function maps a string Column to a Column; nothing leaves the JVM.
+Each function takes a column name (or any Spark SQL expression text) and
+returns a Column.  The expression is written once as Spark SQL and parsed
+JVM-side in one call, which keeps plan construction cheap even for the long
+regex chains; evaluation is whole-stage code-generated like any built-in.
+Nothing runs in Python per row.
 """
 
 from __future__ import annotations
@@ -32,78 +36,109 @@ SIGNATURE_STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this")
 TERM_STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
                    "of", "with", "by", "is", "was", "are", "were", "be", "been", "being")
 
+# fixed values: response-time patterns (case-insensitive), tried in this order
+RESPONSE_TIME_PATTERNS = (
+    r"took (\d+\.?\d*)ms",
+    r"duration:?\s*(\d+\.?\d*)s",
+    r"(\d+\.?\d*)ms",
+    r"time=(\d+\.?\d*)ms",
+)
+
 WORD3 = r"\b[a-zA-Z]{3,}\b"
 WORD4 = r"\b[a-zA-Z]{4,}\b"
 
 
-def strip(c: Column) -> Column:
-    """Remove leading/trailing whitespace of any kind (not only blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+def lit_raw(s: str) -> str:
+    """Spark SQL raw string literal (backslashes kept as written)."""
+    if "'" in s:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "r'" + s + "'"
+
+
+def _str_array(words) -> str:
+    return "array(" + ", ".join(lit_raw(w) for w in words) + ")"
+
 
+def _text(m: str) -> str:
+    return f"coalesce({m}, '')"
 
-def _apply(c: Column, rules) -> Column:
+
+def _chain(expr: str, rules) -> str:
     for pat, rep in rules:
-        c = F.regexp_replace(c, pat, rep)
-    return c
+        expr = f"regexp_replace({expr}, {lit_raw(pat)}, {lit_raw(rep)})"
+    return expr
 
 
-def error_pattern(message: Column) -> Column:
-    """Generalised error pattern: numbers, hex ids and paths replaced; '' for empty."""
-    return strip(_apply(F.coalesce(message, F.lit("")), ERROR_PATTERN_RULES))
+def strip_sql(expr: str) -> str:
+    """Remove leading/trailing whitespace of any kind (not only blanks)."""
+    return f"regexp_replace({expr}, r'^\\s+|\\s+$', '')"
+
+
+def error_pattern_sql(m: str = "message") -> str:
+    return strip_sql(_chain(_text(m), ERROR_PATTERN_RULES))
+
 
+def message_signature_sql(m: str = "message") -> str:
+    norm = _chain(f"lower({_text(m)})", SIGNATURE_RULES)
+    words = f"regexp_extract_all({norm}, {lit_raw(WORD3)}, 0)"
+    kept = f"filter({words}, w -> NOT array_contains({_str_array(SIGNATURE_STOP_WORDS)}, w))"
+    return f"array_join(slice({kept}, 1, 5), ' ')"
 
-def _words(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
+def cluster_signature_sql(m: str = "message") -> str:
+    words = f"regexp_extract_all(lower({_text(m)}), {lit_raw(WORD4)}, 0)"
+    return f"array_join(slice(array_sort(array_distinct({words})), 1, 3), ' ')"
 
-def message_signature(message: Column) -> Column:
+
+def terms_sql(m: str = "message") -> str:
+    words = f"regexp_extract_all(lower({_text(m)}), {lit_raw(WORD3)}, 0)"
+    return f"filter({words}, w -> NOT array_contains({_str_array(TERM_STOP_WORDS)}, w))"
+
+
+def response_time_sql(m: str = "message", unit_mode: str = "intended") -> str:
+    if unit_mode not in ("intended", "reference"):
+        raise ValueError(f"unknown unit_mode {unit_mode!r}")
+    parts = []
+    for pat in RESPONSE_TIME_PATTERNS:
+        scale = 1000.0 if (unit_mode == "reference" or "duration" in pat) else 1.0
+        # one regex evaluation per pattern: no match gives '' which try_cast turns into null
+        parts.append(f"try_cast(regexp_extract({_text(m)}, {lit_raw('(?i)' + pat)}, 1) AS DOUBLE) * {scale}")
+    return f"nullif(coalesce({', '.join(parts)}), 0.0)"
+
+
+def error_pattern(m: str = "message") -> Column:
+    """Generalised error pattern: numbers, hex ids and paths replaced; '' for empty."""
+    return F.expr(error_pattern_sql(m))
+
+
+def message_signature(m: str = "message") -> Column:
     """First five key words of the lower-cased, placeholder-substituted message."""
-    norm = _apply(F.lower(F.coalesce(message, F.lit(""))), SIGNATURE_RULES)
-    stop = F.array(*[F.lit(w) for w in SIGNATURE_STOP_WORDS])
-    words = F.filter(_words(norm, WORD3), lambda w: ~F.array_contains(stop, w))
-    return F.array_join(F.slice(words, 1, 5), " ")
+    return F.expr(message_signature_sql(m))
 
 
-def cluster_signature(message: Column) -> Column:
+def cluster_signature(m: str = "message") -> Column:
     """First three of the sorted distinct 4+-letter words (may be '')."""
-    words = _words(F.lower(F.coalesce(message, F.lit(""))), WORD4)
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 3), " ")
+    return F.expr(cluster_signature_sql(m))
 
 
-def terms(message: Column) -> Column:
+def terms(m: str = "message") -> Column:
     """Array of 3+-letter lower-case words without stop words."""
-    stop = F.array(*[F.lit(w) for w in TERM_STOP_WORDS])
-    return F.filter(_words(F.lower(F.coalesce(message, F.lit(""))), WORD3),
-                    lambda w: ~F.array_contains(stop, w))
-
-
-# fixed values: response-time patterns (case-insensitive), tried in this order
-RESPONSE_TIME_PATTERNS = (
-    r"took (\d+\.?\d*)ms",
-    r"duration:?\s*(\d+\.?\d*)s",
-    r"(\d+\.?\d*)ms",
-    r"time=(\d+\.?\d*)ms",
-)
+    return F.expr(terms_sql(m))
 
 
-def response_time(message: Column, unit_mode: str = "intended") -> Column:
+def response_time(m: str = "message", unit_mode: str = "intended") -> Column:
     """Milliseconds taken from the first matching pattern; null when none or 0.
 
     unit_mode='intended' scales only the seconds pattern by 1000;
     unit_mode='reference' scales every pattern by 1000 (the original service's
     behaviour, whose unit test is true for all four patterns).
     """
-    if unit_mode not in ("intended", "reference"):
-        raise ValueError(f"unknown unit_mode {unit_mode!r}")
-    m = F.coalesce(message, F.lit(""))
-    branches = []
-    for pat in RESPONSE_TIME_PATTERNS:
-        raw = F.regexp_extract(m, "(?i)" + pat, 1)
-        scale = 1000.0 if (unit_mode == "reference" or "duration" in pat) else 1.0
-        branches.append(F.when(raw != "", raw.cast("double") * F.lit(scale)))
-    v = F.coalesce(*branches)
-    return F.when(v != 0, v)
+    return F.expr(response_time_sql(m, unit_mode))
+
+
+def strip(m: str) -> Column:
+    return F.expr(strip_sql(m))
 
 
-def truncate(message: Column, n: int = 100) -> Column:
-    return F.substring(F.coalesce(message, F.lit("")), 1, n)
+def truncate(m: str = "message", n: int = 100) -> Column:
+    return F.expr(f"substring({_text(m)}, 1, {int(n)})")

@@ -22,7 +22,7 @@ def _e(df: DataFrame) -> DataFrame:
 
 def frequent_terms(df: DataFrame, top: int = 20) -> DataFrame:
     """Top ``top`` words (3+ letters, no stop words) across all messages."""
-    words = df.select(F.explode(X.terms(F.col("message"))).alias("term"))
+    words = df.select(F.explode(X.terms("message")).alias("term"))
     return (words.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col("term")).limit(top))
 

@@ -15,7 +15,7 @@ def response_times(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """One row per log with a non-zero timing in its message."""
     n = normalize_logs(df)
     return (n.select("id", "log_ts", "source", "message",
-                     X.response_time(F.col("message"), cfg.unit_mode).alias("response_time"))
+                     X.response_time("message", cfg.unit_mode).alias("response_time"))
             .filter(F.col("response_time").isNotNull()))
 
 
@@ -43,7 +43,7 @@ def _slow(df: DataFrame, cfg: EngineConfig) -> DataFrame:
 def slow_operations(df: DataFrame, cfg: EngineConfig = DEFAULT, top: int = 10) -> DataFrame:
     """The ``top`` slowest operations (id breaks ties); message cut to 100 chars."""
     return (_slow(df, cfg).select("id", "log_ts", "source", "response_time",
-                                  X.truncate(F.col("message")).alias("message"))
+                                  X.truncate("message").alias("message"))
             .orderBy(F.col("response_time").desc(), F.col("id")).limit(top))
 
 
@@ -54,7 +54,7 @@ def bottlenecks(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     source, so no join is needed.
     """
     n = normalize_logs(df)
-    rt = X.response_time(F.col("message"), cfg.unit_mode)
+    rt = X.response_time("message", cfg.unit_mode)
     per = (n.groupBy("source")
            .agg(F.count(F.when(rt > cfg.performance_threshold_ms, 1)).alias("slow_operations"),
                 F.count(F.lit(1)).alias("total_operations")))
@@ -69,7 +69,7 @@ def performance_summary(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame
     """One row: timed operations, mean, score max(0, 100 - mean/100) (0 without
     timings), slow operations (untruncated count) and total operations."""
     n = normalize_logs(df)
-    rt = X.response_time(F.col("message"), cfg.unit_mode)
+    rt = X.response_time("message", cfg.unit_mode)
     return n.agg(
         F.count(rt).alias("timed_operations"),
         F.avg(rt).alias("average_response_time"),

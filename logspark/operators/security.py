@@ -40,7 +40,7 @@ def security_events(df: DataFrame, rules: dict = SECURITY_RULES) -> DataFrame:
     sev = F.when(F.col("event_type").isin(*THREAT_TYPES),
                  F.when(F.col("level").isin("error", "fatal"), "high").otherwise("medium"))
     return typed.select("id", "log_ts", "source", "event_type", sev.alias("severity"),
-                        X.truncate(F.col("message")).alias("message"))
+                        X.truncate("message").alias("message"))
 
 
 def security_event_counts(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _e(df: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def _slow_count(e: DataFrame, cfg: EngineConfig) -> DataFrame:
-    rt = X.response_time(F.col("message"), cfg.unit_mode)
+    rt = X.response_time("message", cfg.unit_mode)
     return e.agg(F.count(F.when(rt > cfg.performance_threshold_ms, 1)).alias("slow_ops"))
 
 

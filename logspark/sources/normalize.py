@@ -15,15 +15,9 @@ def normalize_logs(df: DataFrame) -> DataFrame:
 
     The original analyses default missing keys inconsistently; one rule here.
     """
-    cols = set(df.columns)
-    out = df
-    if "level" in cols:
-        out = out.withColumn("level", L.norm_level(F.col("level")))
-    if "message" in cols:
-        out = out.withColumn("message", F.coalesce(F.col("message"), F.lit("")))
-    if "source" in cols:
-        out = out.withColumn("source", F.coalesce(F.col("source"), F.lit("unknown")))
-    return out
+    fixes = {"level": "lower(coalesce(level, ''))", "message": "coalesce(message, '')",
+             "source": "coalesce(source, 'unknown')"}
+    return df.selectExpr(*[f"{fixes[c]} AS {c}" if c in fixes else f"`{c}`" for c in df.columns])
 
 
 def enrich(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -34,15 +28,15 @@ def enrich(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     that needs only the hour never evaluates the regexes.
     """
     n = normalize_logs(df)
-    return n.select(
+    return n.selectExpr(
         "*",
-        X.error_pattern(F.col("message")).alias("pattern"),
-        X.message_signature(F.col("message")).alias("signature"),
-        X.cluster_signature(F.col("message")).alias("cluster"),
-        X.response_time(F.col("message"), cfg.unit_mode).alias("response_time"),
-        L.is_broad_error(F.col("level")).alias("is_broad_error"),
-        L.is_narrow_error(F.col("level")).alias("is_narrow_error"),
-        L.severity_weight(F.col("level")).alias("severity_weight"),
-        F.hour("log_ts").cast("bigint").alias("hour"),
-        F.date_format("log_ts", "yyyy-MM-dd").alias("day"),
+        f"{X.error_pattern_sql('message')} AS pattern",
+        f"{X.message_signature_sql('message')} AS signature",
+        f"{X.cluster_signature_sql('message')} AS cluster",
+        f"{X.response_time_sql('message', cfg.unit_mode)} AS response_time",
+        f"{L.BROAD_SQL} AS is_broad_error",
+        f"{L.NARROW_SQL} AS is_narrow_error",
+        f"{L.severity_weight_sql('level')} AS severity_weight",
+        "CAST(hour(log_ts) AS BIGINT) AS hour",
+        "date_format(log_ts, 'yyyy-MM-dd') AS day",
     )

@@ -16,8 +16,20 @@ from pyspark.sql import functions as F
 from ..schema import LOG_SCHEMA
 
 
+_TABLE_CACHE: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A stored table.  The DataFrame (a lazy plan; no data is cached) is
+    reused per session and path so repeated queries skip file listing and
+    footer reads."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    df = _TABLE_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLE_CACHE[key] = df
+    return df
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -45,74 +57,77 @@ def read_jdbc_logs(spark: SparkSession, url: str, table: str = "logs", user: str
 # fixed values: log sources assigned by user_id % 8 in the derived log view
 SOURCES_BY_MOD8 = ("database_service", "auth_service", "api_service", "system_monitor",
                    "backup_service", "security_service", "cache_service", "unknown")
+# fixed values: request paths assigned by event_id % 5 in the derived access view
+ACCESS_PATHS = ("/health", "/logs", "/ingest", "/a%20b", "/healthz")
 
 
-def _s(c):
-    return c.cast("string")
+def _arr(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+LOGS_EXPRS = (
+    "event_id AS id",
+    "ts AS log_ts",
+    f"element_at({_arr(SOURCES_BY_MOD8)}, CAST(user_id % 8 + 1 AS INT)) AS source",
+    """CASE WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'fatal'
+       WHEN event_type = 'error' THEN 'error'
+       WHEN user_id % 8 = 0 AND event_type IN ('click', 'view') THEN 'error'
+       WHEN user_id % 8 = 2 AND event_type = 'click' THEN 'error'
+       WHEN event_type = 'signup' THEN 'warn' WHEN event_type = 'view' THEN 'debug'
+       ELSE 'info' END AS level""",
+    """CASE event_id % 7
+       WHEN 0 THEN concat('Database connection failed after ', CAST(event_id % 5 AS STRING), ' retries')
+       WHEN 1 THEN concat('Request timeout while processing /api/users (took ', CAST(floor(value * 20) AS STRING), 'ms)')
+       WHEN 2 THEN concat('Failed login attempt for user admin from IP 192.168.1.', CAST(user_id % 255 AS STRING))
+       WHEN 3 THEN concat('User authentication successful for user_', CAST(user_id AS STRING))
+       WHEN 4 THEN CASE WHEN event_id % 3 = 0
+                        THEN concat('SQL injection attempt detected in parameter ', CAST(user_id AS STRING))
+                        ELSE concat('Permission denied for object deadbeef', CAST(1000 + event_id % 9 AS STRING)) END
+       WHEN 5 THEN concat('Cache cleared successfully, duration: ', CAST(floor(value) AS STRING), 's')
+       ELSE concat('Disk space usage at ', CAST(event_id % 100 AS STRING), '% on server-01') END AS message""",
+)
+
+RAW_EVENTS_EXPRS = (
+    "event_id AS id",
+    """CASE event_id % 9
+       WHEN 0 THEN concat('{"log":"legacy entry ', CAST(event_id AS STRING), '"}')
+       WHEN 1 THEN '{"invalid":"format"}'
+       WHEN 2 THEN 'invalid json'
+       WHEN 3 THEN '{"message":"","level":"info"}'
+       WHEN 4 THEN '{"message":"no level"}'
+       WHEN 5 THEN '{"message":"mixed case","level":"Warn"}'
+       WHEN 6 THEN '{"message":"no source","level":"ERROR","timestamp":"2024-01-15T10:30:00Z"}'
+       WHEN 7 THEN '{"message":"bad time","level":"warn","timestamp":"2024-01-15 10:30:00"}'
+       ELSE concat('{"message":"ok ', CAST(event_id AS STRING),
+                   '","level":"debug","source":"db-service","timestamp":"2024-01-15T10:31:00Z"}') END AS payload""",
+)
+
+ACCESS_EXPRS = (
+    "event_id AS id",
+    "ts AS log_ts",
+    "CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS http_method",
+    f"element_at({_arr(ACCESS_PATHS)}, CAST(event_id % 5 + 1 AS INT)) AS http_path",
+    "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 400 ELSE 202 END AS http_status_code",
+    "floor(value * 40) AS duration_ms",
+    "concat('10.0.0.', CAST(user_id % 3 AS STRING)) AS http_remote_addr",
+    "CASE WHEN event_id % 11 = 0 THEN '' ELSE 'curl/8' END AS http_user_agent",
+)
 
 
 def logs_from_events(events: DataFrame) -> DataFrame:
     """``logs(id, log_ts, source, level, message)`` derived from ``events``."""
-    eid, uid, et, val = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("value")
-    src = F.element_at(F.array(*[F.lit(s) for s in SOURCES_BY_MOD8]), (uid % 8 + 1).cast("int"))
-    level = (F.when((et == "error") & (eid % 10 == 0), "fatal")
-              .when(et == "error", "error")
-              .when((uid % 8 == 0) & et.isin("click", "view"), "error")
-              .when((uid % 8 == 2) & (et == "click"), "error")
-              .when(et == "signup", "warn")
-              .when(et == "view", "debug")
-              .otherwise("info"))
-    m = eid % 7
-    message = (
-        F.when(m == 0, F.concat(F.lit("Database connection failed after "), _s(eid % 5), F.lit(" retries")))
-         .when(m == 1, F.concat(F.lit("Request timeout while processing /api/users (took "),
-                                _s(F.floor(val * 20)), F.lit("ms)")))
-         .when(m == 2, F.concat(F.lit("Failed login attempt for user admin from IP 192.168.1."), _s(uid % 255)))
-         .when(m == 3, F.concat(F.lit("User authentication successful for user_"), _s(uid)))
-         .when(m == 4, F.when(eid % 3 == 0, F.concat(F.lit("SQL injection attempt detected in parameter "), _s(uid)))
-                        .otherwise(F.concat(F.lit("Permission denied for object deadbeef"), _s(eid % 9 + 1000))))
-         .when(m == 5, F.concat(F.lit("Cache cleared successfully, duration: "), _s(F.floor(val)), F.lit("s")))
-         .otherwise(F.concat(F.lit("Disk space usage at "), _s(eid % 100), F.lit("% on server-01"))))
-    return events.select(eid.alias("id"), F.col("ts").alias("log_ts"), src.alias("source"),
-                         level.alias("level"), message.alias("message"))
+    return events.selectExpr(*LOGS_EXPRS)
 
 
 def raw_events_from_events(events: DataFrame) -> DataFrame:
     """``raw_events(id, payload)``: ingest payloads covering every accept/reject route."""
-    eid = F.col("event_id")
-    m = eid % 9
-    payload = (
-        F.when(m == 0, F.concat(F.lit('{"log":"legacy entry '), _s(eid), F.lit('"}')))
-         .when(m == 1, F.lit('{"invalid":"format"}'))
-         .when(m == 2, F.lit("invalid json"))
-         .when(m == 3, F.lit('{"message":"","level":"info"}'))
-         .when(m == 4, F.lit('{"message":"no level"}'))
-         .when(m == 5, F.lit('{"message":"mixed case","level":"Warn"}'))
-         .when(m == 6, F.lit('{"message":"no source","level":"ERROR","timestamp":"2024-01-15T10:30:00Z"}'))
-         .when(m == 7, F.lit('{"message":"bad time","level":"warn","timestamp":"2024-01-15 10:30:00"}'))
-         .otherwise(F.concat(F.lit('{"message":"ok '), _s(eid),
-                             F.lit('","level":"debug","source":"db-service","timestamp":"2024-01-15T10:31:00Z"}'))))
-    return events.select(eid.alias("id"), payload.alias("payload"))
-
-
-# fixed values: request paths assigned by event_id % 5 in the derived access view
-ACCESS_PATHS = ("/health", "/logs", "/ingest", "/a%20b", "/healthz")
+    return events.selectExpr(*RAW_EVENTS_EXPRS)
 
 
 def access_from_events(events: DataFrame) -> DataFrame:
     """``access(id, log_ts, http_method, http_path, http_status_code, duration_ms,
     http_remote_addr, http_user_agent)`` derived from ``events``."""
-    eid, et = F.col("event_id"), F.col("event_type")
-    path = F.element_at(F.array(*[F.lit(p) for p in ACCESS_PATHS]), (eid % 5 + 1).cast("int"))
-    return events.select(
-        eid.alias("id"), F.col("ts").alias("log_ts"),
-        F.when(et == "view", "GET").otherwise("POST").alias("http_method"),
-        path.alias("http_path"),
-        F.when(et == "error", 500).when(et == "signup", 400).otherwise(202).alias("http_status_code"),
-        F.floor(F.col("value") * 40).alias("duration_ms"),
-        F.concat(F.lit("10.0.0."), _s(F.col("user_id") % 3)).alias("http_remote_addr"),
-        F.when(eid % 11 == 0, "").otherwise("curl/8").alias("http_user_agent"),
-    )
+    return events.selectExpr(*ACCESS_EXPRS)
 
 
 def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
