@@ -90,3 +90,21 @@ def error_summary_by_source(df: DataFrame, hours: int = 24, as_of=None, top: int
     return (w.filter(F.col("level").isin("error", "fatal")).groupBy("source")
             .agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.col("count").desc(), F.col("source")).limit(top))
+
+
+def min_level_filter(df: DataFrame, min_level: str = "WARN") -> DataFrame:
+    """Rows at or above ``min_level`` in DEBUG < INFO < WARN < ERROR < FATAL
+    (levels compared case-insensitively; unknown names rank as INFO)."""
+    from ..functions import levels as L
+    threshold = L.LEVEL_ORDINALS.get(min_level.upper(), 1)
+    return df.filter(L.level_ordinal(F.upper(F.col("level"))) >= threshold)
+
+
+def level_parse(df: DataFrame, col: str = "level") -> DataFrame:
+    """How the service loggers read each level spelling: ordinal and
+    canonical name, with the number of rows carrying it."""
+    from ..functions import levels as L
+    o = L.level_ordinal(F.col(col))
+    return (df.filter(F.col(col).isNotNull())
+            .groupBy(F.col(col).alias("level_text"), o.alias("ordinal"), L.level_name(o).alias("level_name"))
+            .agg(F.count(F.lit(1)).alias("count")))

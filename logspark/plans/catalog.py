@@ -258,3 +258,24 @@ FROM (SELECT *, 19 * (n + 1) - j * 20 AS delta FROM (
 HAVING count(*) > 0""", extra=_rt_cte()))
 def _performance_indicators(spark, d):
     return TR.performance_indicators(_logs(spark, d))
+
+
+_ORD = ("CASE upper(level) WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 WHEN 'WARNING' THEN 2 "
+        "WHEN 'ERROR' THEN 3 WHEN 'FATAL' THEN 4 ELSE 1 END")
+
+
+@register("min_level_filter", S.with_views(f"SELECT {LOG_COLS} FROM logs WHERE {_ORD} >= 2"))
+def _min_level_filter(spark, d):
+    return E.min_level_filter(_logs(spark, d), "WARN").select("id", "log_ts", "level", "message", "source")
+
+
+@register("level_parse", S.with_views(
+    """SELECT level_text, ordinal, CASE ordinal WHEN 0 THEN 'DEBUG' WHEN 1 THEN 'INFO' WHEN 2 THEN 'WARN'
+   WHEN 3 THEN 'ERROR' WHEN 4 THEN 'FATAL' ELSE 'UNKNOWN' END AS level_name, count(*) AS count
+FROM (SELECT level_text, CASE level_text WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2
+   WHEN 'WARNING' THEN 2 WHEN 'ERROR' THEN 3 WHEN 'FATAL' THEN 4 ELSE 1 END AS ordinal
+ FROM (SELECT json_extract_string(payload, '$.level') AS level_text FROM raw_events WHERE json_valid(payload))
+ WHERE level_text IS NOT NULL) GROUP BY 1, 2""", logs=False, raw=True))
+def _level_parse(spark, d):
+    raw = load_raw_events(spark, d)
+    return E.level_parse(raw.select(F.get_json_object("payload", "$.level").alias("level")))
