@@ -44,6 +44,7 @@ RESPONSE_TIME_PATTERNS = (
     r"time=(\d+\.?\d*)ms",
 )
 
+NUMBER = r"\d+\.?\d*"
 WORD3 = r"\b[a-zA-Z]{3,}\b"
 WORD4 = r"\b[a-zA-Z]{4,}\b"
 
@@ -101,8 +102,12 @@ def response_time_sql(m: str = "message", unit_mode: str = "intended") -> str:
     parts = []
     for pat in RESPONSE_TIME_PATTERNS:
         scale = 1000.0 if (unit_mode == "reference" or "duration" in pat) else 1.0
-        # one regex evaluation per pattern: no match gives '' which try_cast turns into null
-        parts.append(f"try_cast(regexp_extract({_text(m)}, {lit_raw('(?i)' + pat)}, 1) AS DOUBLE) * {scale}")
+        # regexp_substr is null when the pattern does not occur; the number is
+        # then read from the short matched text (it is the pattern's only group),
+        # so the cast never sees an empty string and nothing is evaluated twice
+        whole = pat.replace("(", "").replace(")", "")
+        hit = f"regexp_substr({_text(m)}, {lit_raw('(?i)' + whole)})"
+        parts.append(f"CAST(regexp_extract({hit}, {lit_raw(NUMBER)}, 0) AS DOUBLE) * {scale}")
     return f"nullif(coalesce({', '.join(parts)}), 0.0)"
 
 

@@ -26,8 +26,9 @@ def source_error_rates(df: DataFrame) -> DataFrame:
                     (F.col("error_count") * 100.0 / F.col("total_logs")).alias("error_rate")))
 
 
-def high_error_rate_sources(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    r = source_error_rates(df)
+def high_error_rate_sources(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None) -> DataFrame:
+    from .facts import source_error_rates_from
+    r = source_error_rates(df) if facts is None else source_error_rates_from(facts)
     return (r.filter((F.col("error_rate") > cfg.high_error_rate_pct) & (F.col("total_logs") > cfg.min_source_logs))
             .select("source", "total_logs", "error_count", "error_rate",
                     F.when(F.col("error_rate") > 50, "high").otherwise("medium").alias("severity")))
@@ -47,10 +48,10 @@ def frequent_error_patterns(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataF
                     F.when(F.col("count") > F.col("threshold") * 2, "high").otherwise("medium").alias("severity"))
 
 
-def rule_anomalies(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def rule_anomalies(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None) -> DataFrame:
     """Both rule detectors in the wide anomaly layout."""
     e = _e(df)
-    a = high_error_rate_sources(e, cfg).select(
+    a = high_error_rate_sources(e, cfg, facts).select(
         F.lit("rules").alias("detector"), F.lit("high_error_rate").alias("type"), "source",
         F.lit(None).cast("string").alias("pattern"),
         F.col("error_count").alias("count"), "total_logs",

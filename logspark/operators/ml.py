@@ -39,24 +39,36 @@ def _join_on(a: DataFrame, b: DataFrame, keys):
 
 
 def features_by(df: DataFrame, keys=(), cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The eleven features per group of ``keys`` (one row when keys is empty)."""
-    e = _e(df, cfg).withColumn("hh", F.date_format("log_ts", "HH")).withColumn(
-        "hhmm", F.date_format("log_ts", "HH:mm"))
+    """The eleven features per group of ``keys`` (one row when keys is empty).
+
+    One scan: rows are first counted per (keys, signature, minute of day,
+    level, source) - partial aggregation makes this cheap and it is never
+    larger than the input - and every feature is derived from that frame.
+    The four derived aggregates share its exchange (Spark reuses it), so the
+    input and its regexes are read once.
+    """
     keys = list(keys)
-    lv = F.col("level")
-    base = e.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("is_narrow_error"), 1)).alias("n_err"),
+    e = _e(df, cfg)
+    pre = (e.groupBy(*keys, "signature", F.date_format("log_ts", "HH:mm").alias("hhmm"), "level", "source")
+           .agg(F.count(F.lit(1)).alias("c")))
+    narrow = L.is_narrow_error(F.col("level"))
+    base = pre.groupBy(*keys).agg(
+        F.sum("c").alias("n"),
+        F.sum(F.when(narrow, F.col("c")).otherwise(0)).alias("n_err"),
         F.countDistinct("source").alias("n_src"),
-        *[F.count(F.when(lv == x, 1)).alias(f"n_{x}") for x in LEVELS])
+        *[F.sum(F.when(F.col("level") == x, F.col("c")).otherwise(0)).alias(f"n_{x}") for x in LEVELS])
     # entropy = log2(N) - sum(c * log2 c) / N over signature counts c
-    sig = e.groupBy(*keys, "signature").agg(F.count(F.lit(1)).alias("c"))
+    sig = pre.groupBy(*keys, "signature").agg(F.sum("c").alias("c"))
     ent = sig.groupBy(*keys).agg(
         (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("message_entropy"))
-    hv = (e.filter(F.col("hh").isNotNull()).groupBy(*keys, "hh").agg(F.count(F.lit(1)).alias("c"))
-          .groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 1, F.var_pop("c")).otherwise(F.lit(0.0)).alias("tv")))
-    mv = (e.filter(F.col("hhmm").isNotNull()).groupBy(*keys, "hhmm").agg(F.count(F.lit(1)).alias("c"))
-          .groupBy(*keys).agg(F.when(F.count(F.lit(1)) > 1, F.var_pop("c")).otherwise(F.lit(0.0)).alias("vv")))
+    # rows without a timestamp form a null bucket, left out of the variances
+    # (no filter here: a filter would be pushed below ``pre`` and break the reuse)
+    def bucket_var(col, name):
+        b = pre.groupBy(*keys, col.alias("b")).agg(F.sum("c").alias("c"))
+        v = F.when(F.col("b").isNotNull(), F.col("c"))
+        return b.groupBy(*keys).agg(F.when(F.count(v) > 1, F.var_pop(v)).otherwise(F.lit(0.0)).alias(name))
+    hv = bucket_var(F.substring("hhmm", 1, 2), "tv")
+    mv = bucket_var(F.col("hhmm"), "vv")
     j = _join_on(_join_on(_join_on(base, ent, keys), hv, keys), mv, keys).filter(F.col("n") > 0)
     n = F.col("n")
     return j.select(
@@ -92,26 +104,42 @@ def _stack(feat: DataFrame, keys=()) -> DataFrame:
     return feat.selectExpr(*keys, expr)
 
 
+CURRENT = "current"
+
+
+def _windowed_features(df: DataFrame, days: int, as_of, cfg: EngineConfig) -> DataFrame:
+    """Features per history day in [as_of - 1 day - days, as_of - 1 day] and
+    for the current window (as_of - 1 day, as_of], in one pass
+    (group ``feature_day`` = the day, or 'current')."""
+    cut = as_of - _dt.timedelta(days=1)
+    start = cut - _dt.timedelta(days=days)
+    rows = df.filter(F.col("log_ts").between(ts_lit(start), ts_lit(as_of)))
+    g = F.when(F.col("log_ts") > ts_lit(cut), F.lit(CURRENT)).otherwise(F.date_format("log_ts", "yyyy-MM-dd"))
+    return features_by(rows.withColumn("feature_day", g), ("feature_day",), cfg)
+
+
+def _baseline_from(daily: DataFrame) -> DataFrame:
+    hist = daily.filter(F.col("feature_day") != CURRENT)
+    return (_stack(hist, ("feature_day",)).groupBy("feature")
+            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+                 F.count(F.lit(1)).alias("n_days")))
+
+
 def baseline_features(df: DataFrame, days: int = 7, as_of=None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Per feature: mean and population std of the daily feature vectors of
     the history window [as_of - 1 day - days, as_of - 1 day]."""
     as_of = newest_ts(df) if as_of is None else as_of
-    end = as_of - _dt.timedelta(days=1)
-    start = end - _dt.timedelta(days=days)
-    hist = df.filter(F.col("log_ts").between(ts_lit(start), ts_lit(end)))
-    daily = features_by(hist.withColumn("feature_day", F.to_date("log_ts")), ("feature_day",), cfg)
-    return (_stack(daily, ("feature_day",)).groupBy("feature")
-            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-                 F.count(F.lit(1)).alias("n_days")))
+    cut = as_of - _dt.timedelta(days=1)
+    return _baseline_from(_windowed_features(df.filter(F.col("log_ts") <= ts_lit(cut)), days, as_of, cfg))
 
 
 def statistical_anomalies(df: DataFrame, days: int = 7, as_of=None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Features of the last 24 h before ``as_of`` whose z-score against the
     baseline exceeds 2.5 in absolute value (high above 3)."""
     as_of = newest_ts(df) if as_of is None else as_of
-    cur = df.filter((F.col("log_ts") > ts_lit(as_of - _dt.timedelta(days=1))) & (F.col("log_ts") <= ts_lit(as_of)))
-    base = baseline_features(df, days, as_of, cfg)                     # at most 11 rows
-    cur_f = _stack(ml_features(cur, cfg))
+    daily = _windowed_features(df, days, as_of, cfg)
+    base = _baseline_from(daily)                                      # at most 11 rows
+    cur_f = _stack(daily.filter(F.col("feature_day") == CURRENT), ("feature_day",)).drop("feature_day")
     j = cur_f.join(F.broadcast(base), "feature")
     z = L.z_score(F.col("value"), F.col("mean"), F.col("std"))
     return (j.select("feature", "value", F.col("mean").alias("expected"), z.alias("z_score"))
@@ -128,10 +156,23 @@ def _with_pop_stats(counts: DataFrame, col: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(stats))                        # one-row broadcast
 
 
+def _window_signature_counts(df: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Rows and error/fatal rows per (tumbling window, message signature).
+
+    The pattern and the temporal detectors both derive from this frame, so
+    within one plan they share its exchange and read the input once.
+    """
+    e = _e(df, cfg)
+    win = F.window("log_ts", f"{cfg.window_minutes} minutes").start
+    return (e.groupBy(win.alias("window_start"), "signature")
+            .agg(F.count(F.lit(1)).alias("c"), F.count(F.when(F.col("is_narrow_error"), 1)).alias("c_err")))
+
+
 def pattern_anomalies(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Message signatures with population z > 2 (frequent) or z < -2 and a
     single occurrence (rare); nothing when all counts are equal."""
-    counts = _e(df, cfg).groupBy(F.col("signature").alias("pattern")).agg(F.count(F.lit(1)).alias("count"))
+    counts = (_window_signature_counts(df, cfg).groupBy(F.col("signature").alias("pattern"))
+              .agg(F.sum("c").alias("count")))
     s = _with_pop_stats(counts, "count").filter(F.col("std") > 0)
     z = (F.col("count") - F.col("mean")) / F.col("std")
     s = s.select("pattern", "count", F.col("mean").alias("expected"), z.alias("z_score"))
@@ -150,10 +191,11 @@ def pattern_anomalies(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 def volume_by_window(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Non-empty tumbling windows of ``window_minutes``: volume and error rate."""
-    e = _e(df, cfg).filter(F.col("log_ts").isNotNull())
-    return (e.groupBy(F.window("log_ts", f"{cfg.window_minutes} minutes").start.alias("window_start"))
-            .agg(F.count(F.lit(1)).alias("volume"),
-                 F.count(F.when(F.col("is_narrow_error"), 1)).alias("error_count"))
+    timed = F.col("window_start").isNotNull()
+    return (_window_signature_counts(df, cfg).groupBy("window_start")
+            .agg(F.sum(F.when(timed, F.col("c"))).alias("volume"),
+                 F.sum(F.when(timed, F.col("c_err"))).alias("error_count"))
+            .filter(F.col("volume").isNotNull())          # drops the bucket of rows without a timestamp
             .select("window_start", "volume", "error_count",
                     (F.col("error_count") / F.col("volume")).alias("error_rate")))
 

@@ -1,7 +1,8 @@
 """Reliability score and executive summary (one-row frames).
 
-Each input is a global aggregate of exactly one row, so the cross joins that
-combine them are one-row by construction.
+Both are derived from the log facts (see :mod:`logspark.operators.facts`):
+one scan of the input, and every cross join combines one-row aggregates of
+that small frame.
 """
 
 from __future__ import annotations
@@ -10,28 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
-from ..sources.normalize import enrich
-from .errors import error_frequency
+from . import facts as FT
 
 
-def _e(df: DataFrame) -> DataFrame:
-    return df if "hour" in df.columns else enrich(df)
+def _facts(df: DataFrame, facts: DataFrame | None) -> DataFrame:
+    return facts if facts is not None else FT.log_facts(df)
 
 
-def _hourly_stats(e: DataFrame) -> DataFrame:
-    h = e.filter(F.col("hour").isNotNull()).groupBy("hour").agg(F.count(F.lit(1)).alias("c"))
-    return h.agg(F.avg("c").alias("volume_mean"),
-                 F.coalesce(F.stddev_samp("c"), F.lit(0.0)).alias("volume_std"))
-
-
-def reliability_score(df: DataFrame) -> DataFrame:
+def reliability_score(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """error-rate factor max(0, 40 - 2*rate) + severity factor max(0, 20 - severity)
     + volume consistency (20, or max(0, 20 - 10*cv) when hourly std > 0)
     + source diversity min(20, 2 * sources); letter grade A..F."""
-    e = _e(df)
-    ef = error_frequency(e)
-    vs = _hourly_stats(e)
-    src = e.agg(F.countDistinct("source").alias("source_count"))
+    f = _facts(df, facts)
+    ef = FT.error_frequency_from(f)
+    vs = FT.hourly_from(f).agg(F.avg("c").alias("volume_mean"),
+                               F.coalesce(F.stddev_samp("c"), F.lit(0.0)).alias("volume_std"))
+    src = f.agg(F.countDistinct("source").alias("source_count"))
     j = ef.crossJoin(vs).crossJoin(src).filter(F.col("total_logs") > 0)
     out = j.select(
         "error_rate", "severity_score", "volume_std", "source_count",
@@ -46,18 +41,18 @@ def reliability_score(df: DataFrame) -> DataFrame:
     return out.select("*", score.alias("score")).select("*", L.reliability_grade(F.col("score")).alias("grade"))
 
 
-def report_summary(df: DataFrame) -> DataFrame:
+def report_summary(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Totals, ISO time range, health status, rounded error rate, most active
     source and peak hour (ties broken by name / hour ascending)."""
-    e = _e(df)
-    ef = error_frequency(e)
+    f = _facts(df, facts)
+    ef = FT.error_frequency_from(f)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
-    tr = e.agg(F.min("log_ts").alias("t0"), F.max("log_ts").alias("t1")).select(
+    tr = f.agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).select(
         F.coalesce(F.concat(F.date_format("t0", iso), F.lit(" to "), F.date_format("t1", iso)),
                    F.lit("Unknown")).alias("time_range"))
-    top_src = (e.groupBy("source").agg(F.count(F.lit(1)).alias("c"))
+    top_src = (f.groupBy("source").agg(F.sum("c").alias("c"))
                .agg(F.min_by("source", F.struct(-F.col("c"), F.col("source"))).alias("most_active_source")))
-    peak = (e.filter(F.col("hour").isNotNull()).groupBy("hour").agg(F.count(F.lit(1)).alias("c"))
+    peak = (FT.hourly_from(f)
             .agg(F.min_by("hour", F.struct(-F.col("c"), F.col("hour"))).alias("peak_activity_hour")))
     j = ef.crossJoin(tr).crossJoin(top_src).crossJoin(peak).filter(F.col("total_logs") > 0)
     return j.select(

@@ -111,7 +111,7 @@ FROM (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS mess
       FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents))
 WHERE message <> ''""", logs=False))
 def _text_lines_ingest(spark, d):
-    return IG.text_lines(read_table(spark, d, "documents"))
+    return IG.text_lines(read_table(spark, d, "documents", spread_rows=True))
 
 
 # ------------------------------------------------------------- access -------

@@ -1,7 +1,10 @@
 """Report assembly: recommendations, alerts and the one-row nested report.
 
-Every section is a small aggregate (one row, or one row per rule hit); the
-report is their cross join, so the driver only ever receives one row.
+Every section derives from the log facts (counts per source, level and
+hour; see :mod:`logspark.operators.facts`) plus one aggregate of error
+patterns, so a report scans its input twice however many sections it has.
+The facts are checkpointed once per report (a few hundred rows); the report
+is a cross join of one-row aggregates, so the driver only receives one row.
 """
 
 from __future__ import annotations
@@ -11,15 +14,12 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EngineConfig
-from ..functions import text as X
+from ..config import DEFAULT, EngineConfig, checkpoint_dir
 from ..operators import anomalies as AN
-from ..operators import errors as E
-from ..operators import performance as PF
+from ..operators import facts as FT
 from ..operators import reliability as RL
-from ..operators import security as SC
 from ..sources.normalize import enrich
-from ..sources.scans import newest_ts, ts_lit
+from ..sources.scans import ts_lit
 
 # fixed values: recommendation and alert texts of the dashboard
 REC_ERROR_RATE = "High error rate detected (%.1f%%). Investigate error patterns and implement fixes."
@@ -37,33 +37,41 @@ def _e(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     return df if "pattern" in df.columns else enrich(df, cfg)
 
 
-def _slow_count(e: DataFrame, cfg: EngineConfig) -> DataFrame:
-    rt = X.response_time("message", cfg.unit_mode)
-    return e.agg(F.count(F.when(rt > cfg.performance_threshold_ms, 1)).alias("slow_ops"))
+def _slow_count(f: DataFrame) -> DataFrame:
+    return f.agg(F.coalesce(F.sum("slow"), F.lit(0)).alias("slow_ops"))
 
 
-def _high_anomalies(e: DataFrame, cfg: EngineConfig) -> DataFrame:
+def _high_anomalies(e: DataFrame, cfg: EngineConfig, f: DataFrame) -> DataFrame:
     if not cfg.anomaly_detection_enabled:
-        return AN.rule_anomalies(e, cfg).limit(0)
-    return AN.rule_anomalies(e, cfg).filter(F.col("severity") == "high")
+        return AN.rule_anomalies(e, cfg, f).limit(0)
+    return AN.rule_anomalies(e, cfg, f).filter(F.col("severity") == "high")
 
 
-def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def facts_for_report(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The log facts, checkpointed: a few hundred rows at most, written once to
+    the shared checkpoint folder so that every report section reads them
+    instead of rescanning the input (and lineage is cut there)."""
+    checkpoint_dir(df.sparkSession)
+    return FT.log_facts(df, cfg).checkpoint(eager=True)
+
+
+def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None) -> DataFrame:
     """``(rank, recommendation)`` rows in the dashboard's order; the default
     line appears only when no rule fires.  The slow-operation rule counts all
     slow operations, not a truncated list."""
     e = _e(df, cfg)
-    ef = E.error_frequency(e)
+    f = facts if facts is not None else facts_for_report(df, cfg)
+    ef = FT.error_frequency_from(f)
     r1 = ef.filter(F.col("error_rate") > 10).select(
         F.lit(1).alias("rank"), F.format_string(REC_ERROR_RATE, F.col("error_rate")).alias("recommendation"))
-    top = (E.errors_by_source(e)
+    top = (FT.errors_by_source_from(f)
            .agg(F.min_by(F.struct("source", "count"), F.struct(-F.col("count"), F.col("source"))).alias("t"))
            .filter(F.col("t.count") > 5))
     r2 = top.select(F.lit(2).alias("rank"),
                     F.format_string(REC_TOP_SOURCE, F.col("t.source"), F.col("t.count")).alias("recommendation"))
-    r3 = _high_anomalies(e, cfg).select(F.lit(3).alias("rank"),
-                                         F.format_string(REC_ANOMALY, F.col("type")).alias("recommendation"))
-    r4 = _slow_count(e, cfg).filter(F.col("slow_ops") > 5).select(
+    r3 = _high_anomalies(e, cfg, f).select(F.lit(3).alias("rank"),
+                                            F.format_string(REC_ANOMALY, F.col("type")).alias("recommendation"))
+    r4 = _slow_count(f).filter(F.col("slow_ops") > 5).select(
         F.lit(4).alias("rank"), F.format_string(REC_SLOW, F.col("slow_ops")).alias("recommendation"))
     fired = r1.unionByName(r2).unionByName(r3).unionByName(r4)
     none = fired.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0).select(
@@ -71,23 +79,26 @@ def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return fired.unionByName(none)
 
 
-def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None) -> DataFrame:
+def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None, facts: DataFrame | None = None) -> DataFrame:
     """ALERT rows (alert_ts, rule, message, value, threshold).  ``alert_ts``
     defaults to the newest log time so reruns are reproducible."""
     e = _e(df, cfg)
-    ts = ts_lit(alert_ts if alert_ts is not None else newest_ts(e))
-    ef = E.error_frequency(e)
+    f = facts if facts is not None else facts_for_report(df, cfg)
+    if alert_ts is None:
+        alert_ts = f.agg(F.max("t1")).first()[0]
+    ts = ts_lit(alert_ts) if alert_ts is not None else F.lit(None).cast("timestamp_ntz")
+    ef = FT.error_frequency_from(f)
     a1 = ef.filter(F.col("error_rate") > cfg.alert_threshold).select(
         F.lit("error_rate").alias("rule"), F.format_string(ALERT_ERROR_RATE, F.col("error_rate")).alias("message"),
         F.col("error_rate").alias("value"), F.lit(float(cfg.alert_threshold)).alias("threshold"))
-    a2 = (_high_anomalies(e, cfg).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    a2 = (_high_anomalies(e, cfg, f).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
           .select(F.lit("high_severity_anomalies").alias("rule"), F.format_string(ALERT_ANOMALIES, F.col("n")).alias("message"),
                   F.col("n").cast("double").alias("value"), F.lit(0.0).alias("threshold")))
-    a3 = (SC.security_summary(e).filter(F.col("threats_detected") > 0)
+    a3 = (FT.security_from(f).filter(F.col("threats_detected") > 0)
           .select(F.lit("security_threats").alias("rule"),
                   F.format_string(ALERT_THREATS, F.col("threats_detected")).alias("message"),
                   F.col("threats_detected").cast("double").alias("value"), F.lit(0.0).alias("threshold")))
-    a4 = (_slow_count(e, cfg).filter(F.col("slow_ops") > 10)
+    a4 = (_slow_count(f).filter(F.col("slow_ops") > 10)
           .select(F.lit("slow_operations").alias("rule"), F.format_string(ALERT_SLOW, F.col("slow_ops")).alias("message"),
                   F.col("slow_ops").cast("double").alias("value"), F.lit(10.0).alias("threshold")))
     out = a1.unionByName(a2).unionByName(a3).unionByName(a4).select(ts.alias("alert_ts"), "*")
@@ -97,20 +108,22 @@ def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None) -> DataFra
 def report(df: DataFrame, cfg: EngineConfig = DEFAULT, as_of=None) -> DataFrame:
     """The comprehensive analysis as one row of nested structs."""
     e = _e(df, cfg)
-    as_of = as_of if as_of is not None else newest_ts(e)
-    summary = RL.report_summary(e).select(F.struct("*").alias("summary"))
-    errors = E.error_frequency(e).select(F.struct("*").alias("error_analysis"))
-    rel = RL.reliability_score(e).select(F.struct("*").alias("reliability_score"))
-    perf = PF.performance_summary(e, cfg).select(F.struct("*").alias("performance_analysis"))
-    sec = SC.security_summary(e).select(F.struct("*").alias("security_analysis"))
-    anom = AN.rule_anomalies(e, cfg).agg(
+    f = facts_for_report(df, cfg)
+    if as_of is None:
+        as_of = f.agg(F.max("t1")).first()[0]
+    summary = RL.report_summary(e, f).select(F.struct("*").alias("summary"))
+    errors = FT.error_frequency_from(f).select(F.struct("*").alias("error_analysis"))
+    rel = RL.reliability_score(e, f).select(F.struct("*").alias("reliability_score"))
+    perf = FT.performance_from(f).select(F.struct("*").alias("performance_analysis"))
+    sec = FT.security_from(f).select(F.struct("*").alias("security_analysis"))
+    anom = AN.rule_anomalies(e, cfg, f).agg(
         F.count(F.lit(1)).alias("anomalies"),
         F.count(F.when(F.col("severity") == "high", 1)).alias("high_severity")).select(
         F.struct("*").alias("anomaly_analysis"))
-    recs = recommendations(e, cfg).agg(
+    recs = recommendations(e, cfg, f).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "recommendation"))), lambda s: s["recommendation"])
         .alias("recommendations"))
-    n_alerts = alerts(e, cfg, as_of).agg(F.count(F.lit(1)).alias("alerts_raised"))
+    n_alerts = alerts(e, cfg, as_of, f).agg(F.count(F.lit(1)).alias("alerts_raised"))
     return (summary.crossJoin(errors).crossJoin(rel).crossJoin(perf).crossJoin(sec).crossJoin(anom)
             .crossJoin(recs).crossJoin(n_alerts)
             .select(ts_lit(as_of).alias("report_ts"), "*"))

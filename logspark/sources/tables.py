@@ -9,6 +9,7 @@ them with :func:`read_logs` instead.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,39 @@ from ..schema import LOG_SCHEMA
 _TABLE_CACHE: dict = {}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Re-lay out ``df`` over the cluster's cores when its scan yields fewer
+    splits than that (one unsplittable file or row group, e.g. a gzip'd log
+    or a single-row-group Parquet file).
+
+    A plain ``repartition`` is not enough: Catalyst pushes filters below it,
+    so the regex-heavy predicates would still run in the one scan task.  The
+    rows are therefore written once, round-robin, as a Parquet table in the
+    shared checkpoint folder (``spark.checkpoint.dir``) and read back; later
+    scans get one split per core with pruning and pushdown intact.  A large
+    table already has many splits, so at scale this returns ``df`` untouched.
+    """
+    from ..config import checkpoint_dir
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    path = os.path.join(checkpoint_dir(spark), "logspark", "spread", uuid.uuid4().hex)
+    df.repartition(target).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
     """A stored table.  The DataFrame (a lazy plan; no data is cached) is
     reused per session and path so repeated queries skip file listing and
     footer reads."""
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path)
+    key = (id(spark), path, spread_rows)
     df = _TABLE_CACHE.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(path)
+        if spread_rows:
+            df = spread(df)
         _TABLE_CACHE[key] = df
     return df
 
@@ -130,13 +155,25 @@ def access_from_events(events: DataFrame) -> DataFrame:
     return events.selectExpr(*ACCESS_EXPRS)
 
 
+_VIEW_CACHE: dict = {}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
+    key = (id(spark), sf_dir, name)
+    df = _VIEW_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spread(derive(read_table(spark, sf_dir, "events")))
+        _VIEW_CACHE[key] = df
+    return df
+
+
 def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs_from_events(read_table(spark, sf_dir, "events"))
+    return _view(spark, sf_dir, "logs", logs_from_events)
 
 
 def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_events_from_events(read_table(spark, sf_dir, "events"))
+    return _view(spark, sf_dir, "raw_events", raw_events_from_events)
 
 
 def load_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_from_events(read_table(spark, sf_dir, "events"))
+    return _view(spark, sf_dir, "access", access_from_events)
