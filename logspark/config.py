@@ -42,8 +42,6 @@ class EngineConfig:
     # timings switch to percentile_approx
     exact_quantile_max_rows: int = 50_000_000
     approx_accuracy: int = 100_000
-    # bucket used to split the per-source gap computation (see ml.error_gaps)
-    gap_bucket: str = "hour"
 
 
 DEFAULT = EngineConfig()

@@ -102,3 +102,30 @@ def test_features_invariants(spark):
     n_sig = df.select(F.countDistinct(F.expr("message"))).first()[0]
     import math
     assert 0 <= f.message_entropy <= math.log2(max(n_sig, 1)) + 1e-9
+
+
+def test_error_gaps_hot_source_is_split_and_exact(spark):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for i in range(3000):                     # 90 % of all errors come from one source
+        src = "hot" if i % 10 else f"cold{i % 3}"
+        rows.append((i, T0 + dt.timedelta(seconds=rnd.randint(0, 20000)), "error", "x", src))
+    df = logs(spark, rows)
+    got = {r.id: r.gap_seconds for r in ML.error_gaps(df, partitions=16).collect()}
+    # brute force: sort each source by (ts, id) and diff neighbours
+    by_src = {}
+    for r in rows:
+        by_src.setdefault(r[4], []).append((r[1], r[0]))
+    want = {}
+    for src, items in by_src.items():
+        items.sort()
+        want[items[0][1]] = None
+        for (t_prev, _), (t, i) in zip(items, items[1:]):
+            want[i] = (t - t_prev).total_seconds()
+    assert got == want
+    # the hot source is spread over several range partitions, not one task
+    e = ML._e(df).filter("is_narrow_error").select("source", "id", "log_ts")
+    parts = (e.repartitionByRange(16, "source", "log_ts", "id").filter("source = 'hot'")
+             .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert parts >= 8
