@@ -225,7 +225,11 @@ def _db_slow_ops(spark, d):
     return AC.slow_entries(AP.parse_json(AP.render_json(_entries(spark, d))))
 
 
-@register("merged_fields")
+@register("merged_fields", S.with_views(
+    """SELECT id, '{"duration_ms":"' || CAST(duration_ms AS VARCHAR) || '","http_method":"' || http_method ||
+  '","http_path":"redacted","http_remote_addr":"' || http_remote_addr || '","http_status_code":"' ||
+  CAST(http_status_code AS VARCHAR) || '","http_user_agent":"' || http_user_agent || '","request_id":"' ||
+  request_id || '"}' AS merged_fields FROM ent""", logs=False, access=True, extra=_ENTRY))
 def _merged_fields(spark, d):
     """Request fields overridden by context fields (context wins)."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")

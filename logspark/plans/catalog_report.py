@@ -14,7 +14,7 @@ from ..sources.scans import newest_ts
 from ..streaming import jobs as ST
 from . import report as RP
 from . import sqlbits as S
-from .catalog import MAX_TS, R, _logs, register
+from .catalog import MAX_TS, ORACLE as _ORACLE, R, _logs, register
 from .catalog_ingest import _ROUTED
 
 _RT = f"{S.response_time('message')}"
@@ -72,6 +72,11 @@ def _alerts(spark, d):
     return RP.alerts(_logs(spark, d))
 
 
+# the monitoring stream reads the single input file in one micro-batch (batch 0)
+ORACLE_ALERTS_FOR_STREAM = _ORACLE["alerts"].replace(
+    f"SELECT {MAX_TS} AS alert_ts, rule,", f"SELECT {MAX_TS} AS alert_ts, 0 AS batch_id, rule,", 1)
+
+
 @register("report")
 def _report(spark, d):
     """The comprehensive analysis as one row of nested structs."""
@@ -87,7 +92,26 @@ def _scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "logspark", name, uuid.uuid4().hex)
 
 
-@register("report_history")
+def _run_metrics(rel: str) -> str:
+    return f"""SELECT error_rate, f1 + f2 + f3 + f4 AS score FROM (
+  SELECT error_rate, GREATEST(0.0, 40.0 - error_rate * 2) AS f1, GREATEST(0.0, 20.0 - severity_score) AS f2,
+   CASE WHEN volume_std > 0 THEN GREATEST(0.0, 20.0 - volume_std / volume_mean * 10) ELSE 20.0 END AS f3,
+   LEAST(20.0, source_count * 2.0) AS f4
+  FROM (SELECT count(*) FILTER (WHERE {S.BROAD}) * 100.0 / count(*) AS error_rate,
+          avg({S.severity_weight()}) AS severity_score, count(DISTINCT source) AS source_count FROM {rel}),
+       (SELECT avg(c) AS volume_mean, COALESCE(stddev_samp(c), 0.0) AS volume_std
+          FROM (SELECT hour(log_ts) AS h, count(*) AS c FROM {rel} GROUP BY 1)))"""
+
+
+_PREV = f"prev_logs AS (SELECT * FROM logs WHERE log_ts <= {MAX_TS} - INTERVAL 1 DAY)"
+
+
+@register("report_history", S.with_views(
+    f"""SELECT run_ts, {R("error_rate")} AS error_rate, {R("score")} AS score,
+ {R("error_rate - lag(error_rate) OVER (ORDER BY run_ts)")} AS error_rate_change,
+ {R("score - lag(score) OVER (ORDER BY run_ts)")} AS score_change
+FROM (SELECT {MAX_TS} - INTERVAL 1 DAY AS run_ts, * FROM ({_run_metrics('prev_logs')})
+      UNION ALL SELECT {MAX_TS}, * FROM ({_run_metrics('logs')}))""", extra=_PREV))
 def _report_history(spark, d):
     """Two report runs (the day before the newest log, and now) stored in a
     history table, each compared with its predecessor."""
@@ -151,13 +175,28 @@ def _monitor(spark, d):
     return out
 
 
-@register("stream_monitor")
+_ANOMS = f"""anoms AS (
+ SELECT source FROM (SELECT source, count(*) AS t, count(*) FILTER (WHERE {S.NARROW}) * 100.0 / count(*) AS r
+   FROM logs GROUP BY source) WHERE r > 20 AND t > 5
+ UNION ALL
+ SELECT pattern FROM pc, (SELECT count(*) AS n_patterns, avg(count) + 2.0 * stddev_samp(count) AS threshold FROM pc) st
+   WHERE n_patterns > 1 AND count > threshold AND count > 3)"""
+
+
+@register("stream_monitor", S.with_views(
+    f"""SELECT count(*) AS total_logs, count(*) FILTER (WHERE {S.BROAD}) AS total_errors,
+ {R(f"avg(CASE WHEN {S.BROAD} THEN 100.0 ELSE 0.0 END)")} AS error_rate,
+ CASE WHEN avg(CASE WHEN {S.BROAD} THEN 100.0 ELSE 0.0 END) < 1 THEN 'excellent'
+      WHEN avg(CASE WHEN {S.BROAD} THEN 100.0 ELSE 0.0 END) < 5 THEN 'good'
+      WHEN avg(CASE WHEN {S.BROAD} THEN 100.0 ELSE 0.0 END) < 15 THEN 'warning' ELSE 'critical' END AS health_status,
+ (SELECT count(*) FROM anoms) AS anomalies, 0 AS batch_id FROM logs""",
+    enriched=True, extra=",\n".join([_PC, _ANOMS])))
 def _stream_monitor(spark, d):
     """Per micro-batch status line of the monitoring stream."""
     return spark.read.parquet(f"{_monitor(spark, d)}/status")
 
 
-@register("stream_alerts")
+@register("stream_alerts", ORACLE_ALERTS_FOR_STREAM)
 def _stream_alerts(spark, d):
     """Alerts raised by the monitoring stream, per micro-batch."""
     return spark.read.parquet(f"{_monitor(spark, d)}/alerts")
