@@ -120,3 +120,9 @@ def monitor_stream(logs: DataFrame, out_dir: str, checkpoint: str, cfg: EngineCo
 
     w = logs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
+
+
+def dedup_stream(logs: DataFrame, delay: str = "10 minutes", key: str = "id") -> DataFrame:
+    """Drop re-delivered rows (same ``key``) that arrive within the watermark
+    delay; state is bounded by the watermark."""
+    return _event_time(logs).withWatermark("log_ts", delay).dropDuplicatesWithinWatermark([key])
