@@ -6,7 +6,7 @@ http_status_code, duration_ms, http_remote_addr, http_user_agent, ...)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -100,3 +100,39 @@ def business_event_counts(accepted: DataFrame) -> DataFrame:
     log; count them by level and source."""
     return (accepted.groupBy(F.lit("log_ingested").alias("business_event"), "level", "source")
             .agg(F.count(F.lit(1)).alias("count")))
+
+
+def rank_within(df: DataFrame, keys, order, partitions: int | None = None) -> DataFrame:
+    """1-based position of each row inside its ``keys`` group in ``order``
+    (ties broken by the order columns, which should end with a unique id).
+
+    ``row_number()`` over ``partitionBy(keys)`` would sort a hot group in one
+    task.  Here rows are range-partitioned on keys + order (Spark samples the
+    bounds, so a dominant group is split into many ranges), ranked inside
+    each range, and offset by the number of rows of the same group in the
+    earlier ranges - a running sum over one row per (range, group).
+    """
+    keys, order = list(keys), list(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
+    local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (r.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+               .drop("_n"))
+    return (local.join(offsets, ["_part", *keys])
+            .withColumn("rank", (F.col("_local") + F.col("_offset")).cast("bigint"))
+            .drop("_part", "_local", "_offset"))
+
+
+def rate_limit_requests(acc: DataFrame, window: str | None = None, cfg: EngineConfig = DEFAULT,
+                        partitions: int | None = None) -> DataFrame:
+    """Per request: its position in the client's fixed window and the
+    decision (ok, high_rate from the 51st, rejected from the 101st)."""
+    window = window or cfg.rate_window
+    w = acc.select("id", "log_ts", "http_remote_addr", F.window("log_ts", window).start.alias("window_start"))
+    ranked = rank_within(w, ["http_remote_addr", "window_start"], ["log_ts", "id"], partitions)
+    n = F.col("rank")
+    return ranked.select(
+        "id", "http_remote_addr", "window_start", F.col("rank").alias("request_number"),
+        F.when(n > cfg.rate_limit, "rejected").when(n > cfg.rate_notice, "high_rate").otherwise("ok").alias("decision"))

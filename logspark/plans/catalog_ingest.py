@@ -237,3 +237,14 @@ def _merged_fields(spark, d):
     ctx = F.create_map(F.lit("request_id"), F.col("request_id"), F.lit("http_path"), F.lit("redacted"))
     m = AP.merged_fields(p.withColumn("extra", ctx))
     return m.select("id", F.to_json(F.col("merged_fields")).alias("merged_fields"))
+
+
+@register("rate_limit_requests", S.with_views(
+    """SELECT id, http_remote_addr, window_start, request_number,
+ CASE WHEN request_number > 100 THEN 'rejected' WHEN request_number > 50 THEN 'high_rate' ELSE 'ok' END AS decision
+FROM (SELECT id, http_remote_addr, time_bucket(INTERVAL '1 day', log_ts) AS window_start,
+  row_number() OVER (PARTITION BY http_remote_addr, time_bucket(INTERVAL '1 day', log_ts) ORDER BY log_ts, id) AS request_number
+ FROM access)""", logs=False, access=True))
+def _rate_limit_requests(spark, d):
+    """Per-request rate-limit decision in daily client windows."""
+    return AC.rate_limit_requests(load_access(spark, d), "1 day")
