@@ -41,10 +41,13 @@ def _slow_count(f: DataFrame) -> DataFrame:
     return f.agg(F.coalesce(F.sum("slow"), F.lit(0)).alias("slow_ops"))
 
 
-def _high_anomalies(e: DataFrame, cfg: EngineConfig, f: DataFrame) -> DataFrame:
-    if not cfg.anomaly_detection_enabled:
-        return AN.rule_anomalies(e, cfg, f).limit(0)
-    return AN.rule_anomalies(e, cfg, f).filter(F.col("severity") == "high")
+def _rules(e: DataFrame, cfg: EngineConfig, f: DataFrame, rules: DataFrame | None) -> DataFrame:
+    r = rules if rules is not None else AN.rule_anomalies(e, cfg, f)
+    return r if cfg.anomaly_detection_enabled else r.limit(0)
+
+
+def _high_anomalies(e: DataFrame, cfg: EngineConfig, f: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    return _rules(e, cfg, f, rules).filter(F.col("severity") == "high")
 
 
 def facts_for_report(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -55,7 +58,8 @@ def facts_for_report(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return FT.log_facts(df, cfg).checkpoint(eager=True)
 
 
-def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None) -> DataFrame:
+def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None,
+                    rules: DataFrame | None = None) -> DataFrame:
     """``(rank, recommendation)`` rows in the dashboard's order; the default
     line appears only when no rule fires.  The slow-operation rule counts all
     slow operations, not a truncated list."""
@@ -69,7 +73,7 @@ def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame
            .filter(F.col("t.count") > 5))
     r2 = top.select(F.lit(2).alias("rank"),
                     F.format_string(REC_TOP_SOURCE, F.col("t.source"), F.col("t.count")).alias("recommendation"))
-    r3 = _high_anomalies(e, cfg, f).select(F.lit(3).alias("rank"),
+    r3 = _high_anomalies(e, cfg, f, rules).select(F.lit(3).alias("rank"),
                                             F.format_string(REC_ANOMALY, F.col("type")).alias("recommendation"))
     r4 = _slow_count(f).filter(F.col("slow_ops") > 5).select(
         F.lit(4).alias("rank"), F.format_string(REC_SLOW, F.col("slow_ops")).alias("recommendation"))
@@ -79,7 +83,8 @@ def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame
     return fired.unionByName(none)
 
 
-def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None, facts: DataFrame | None = None) -> DataFrame:
+def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None, facts: DataFrame | None = None,
+           rules: DataFrame | None = None) -> DataFrame:
     """ALERT rows (alert_ts, rule, message, value, threshold).  ``alert_ts``
     defaults to the newest log time so reruns are reproducible."""
     e = _e(df, cfg)
@@ -91,7 +96,7 @@ def alerts(df: DataFrame, cfg: EngineConfig = DEFAULT, alert_ts=None, facts: Dat
     a1 = ef.filter(F.col("error_rate") > cfg.alert_threshold).select(
         F.lit("error_rate").alias("rule"), F.format_string(ALERT_ERROR_RATE, F.col("error_rate")).alias("message"),
         F.col("error_rate").alias("value"), F.lit(float(cfg.alert_threshold)).alias("threshold"))
-    a2 = (_high_anomalies(e, cfg, f).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+    a2 = (_high_anomalies(e, cfg, f, rules).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
           .select(F.lit("high_severity_anomalies").alias("rule"), F.format_string(ALERT_ANOMALIES, F.col("n")).alias("message"),
                   F.col("n").cast("double").alias("value"), F.lit(0.0).alias("threshold")))
     a3 = (FT.security_from(f).filter(F.col("threats_detected") > 0)
@@ -116,14 +121,17 @@ def report(df: DataFrame, cfg: EngineConfig = DEFAULT, as_of=None) -> DataFrame:
     rel = RL.reliability_score(e, f).select(F.struct("*").alias("reliability_score"))
     perf = FT.performance_from(f).select(F.struct("*").alias("performance_analysis"))
     sec = FT.security_from(f).select(F.struct("*").alias("security_analysis"))
-    anom = AN.rule_anomalies(e, cfg, f).agg(
+    # rule anomalies once per report: at most one row per source plus the
+    # flagged error patterns, checkpointed next to the facts
+    rules = AN.rule_anomalies(e, cfg, f).checkpoint(eager=True)
+    anom = _rules(e, cfg, f, rules).agg(
         F.count(F.lit(1)).alias("anomalies"),
         F.count(F.when(F.col("severity") == "high", 1)).alias("high_severity")).select(
         F.struct("*").alias("anomaly_analysis"))
-    recs = recommendations(e, cfg, f).agg(
+    recs = recommendations(e, cfg, f, rules).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "recommendation"))), lambda s: s["recommendation"])
         .alias("recommendations"))
-    n_alerts = alerts(e, cfg, as_of, f).agg(F.count(F.lit(1)).alias("alerts_raised"))
+    n_alerts = alerts(e, cfg, as_of, f, rules).agg(F.count(F.lit(1)).alias("alerts_raised"))
     return (summary.crossJoin(errors).crossJoin(rel).crossJoin(perf).crossJoin(sec).crossJoin(anom)
             .crossJoin(recs).crossJoin(n_alerts)
             .select(ts_lit(as_of).alias("report_ts"), "*"))
