@@ -156,3 +156,45 @@ def history_changes(spark, path: str) -> DataFrame:
     return h.select("run_ts", "error_rate", "score",
                     (F.col("error_rate") - F.lag("error_rate").over(w)).alias("error_rate_change"),
                     (F.col("score") - F.lag("score").over(w)).alias("score_change"))
+
+
+def render_text(df: DataFrame, cfg: EngineConfig = DEFAULT, verbose: bool = False) -> DataFrame:
+    """The CLI's text view as ``(section, line_no, text)`` rows: summary,
+    top-5 rule anomalies, top-3 merged ML anomalies, top-5 recommendations
+    and, with ``verbose``, per-level counts.  Every part is a small top-k."""
+    from ..operators import ml as ML
+    from ..operators import trends as TR
+    e = _e(df, cfg)
+    f = facts_for_report(df, cfg)
+    s = RL.report_summary(e, f)
+    summary = s.select(F.explode(F.array(
+        F.format_string("Total logs analyzed: %d", F.col("total_logs_analyzed")),
+        F.concat(F.lit("Time range: "), F.col("time_range")),
+        F.concat(F.lit("Health status: "), F.col("health_status")),
+        F.format_string("Error rate: %.2f%% (%d errors)", F.col("error_rate"), F.col("error_count")),
+        F.concat(F.lit("Most active source: "), F.col("most_active_source")),
+        F.concat(F.lit("Peak activity hour: "), F.coalesce(F.col("peak_activity_hour").cast("string"), F.lit("unknown"))),
+    )).alias("text")).select(F.lit("summary").alias("section"), "text")
+    sev_rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    anomalies = (_rules(e, cfg, f, None)
+                 .orderBy(sev_rank, F.col("type"), F.coalesce("source", "pattern")).limit(5)
+                 .select(F.lit("anomalies").alias("section"),
+                         F.format_string("[%s] %s: %s", F.upper("severity"), F.col("type"),
+                                         F.coalesce("source", "pattern")).alias("text")))
+    ml = (ML.merged_anomalies(df, cfg=cfg).orderBy(F.col("confidence").desc(), F.col("type"),
+                                                   F.col("description")).limit(3)
+          .select(F.lit("ml_anomalies").alias("section"),
+                  F.format_string("%s (confidence %.2f): %s", F.col("type"), F.col("confidence"),
+                                  F.col("description")).alias("text")))
+    recs = (recommendations(e, cfg, f).orderBy("rank", "recommendation").limit(5)
+            .select(F.lit("recommendations").alias("section"), F.col("recommendation").alias("text")))
+    parts = [summary, anomalies, ml, recs]
+    if verbose:
+        parts.append(TR.counts_by_level(e).orderBy("level").select(
+            F.lit("levels").alias("section"), F.format_string("%s: %d", F.col("level"), F.col("count")).alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = F.create_map(*[x for i, sname in enumerate(("summary", "anomalies", "ml_anomalies", "recommendations",
+                                                        "levels")) for x in (F.lit(sname), F.lit(i))])
+    return out.select("section", "text", F.element_at(order, F.col("section")).alias("section_no"))

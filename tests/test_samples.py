@@ -108,3 +108,15 @@ def test_malformed_rows(spark):
         "id bigint, level string, message string, source string").withColumn("log_ts", F.lit(None).cast("timestamp_ntz"))
     r = E.error_frequency(df).first()
     assert r.total_errors == 2
+
+
+def test_render_text_12(s12):
+    rows = RP.render_text(s12, verbose=True).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.section, []).append(r.text)
+    assert by["summary"][0] == "Total logs analyzed: 12"
+    assert "Health status: critical" in by["summary"]
+    assert by["recommendations"] == ["High error rate detected (75.0%). Investigate error patterns and implement fixes."]
+    assert "anomalies" not in by                       # the sample has no rule anomalies
+    assert sorted(by["levels"]) == ["error: 6", "fatal: 1", "info: 3", "warn: 2"]
