@@ -78,8 +78,8 @@ def span_metrics(entries: DataFrame) -> DataFrame:
     """Per operation (method + path) and outcome: count, mean and max duration,
     from parsed service-log entries whose ``fields`` hold the request data."""
     f = F.col("fields")
-    status = F.element_at(f, "http_status_code").cast("int")
-    dur = F.element_at(f, "duration_ms").cast("double")
+    status = F.element_at(f, "http_status_code").try_cast("int")
+    dur = F.element_at(f, "duration_ms").try_cast("double")
     op = F.concat_ws(" ", F.element_at(f, "http_method"), F.element_at(f, "http_path"))
     return (entries.filter(dur.isNotNull())
             .groupBy(op.alias("operation"), F.when(status >= 400, "error").otherwise("success").alias("status"))
@@ -90,7 +90,7 @@ def span_metrics(entries: DataFrame) -> DataFrame:
 def slow_entries(entries: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Service-log entries whose recorded duration exceeds the slow-operation
     limit of the database layer (100 ms)."""
-    dur = F.element_at(F.col("fields"), "duration_ms").cast("double")
+    dur = F.element_at(F.col("fields"), "duration_ms").try_cast("double")
     return (entries.filter(dur > cfg.db_slow_ms)
             .select("id", "request_id", dur.alias("duration_ms"), "message"))
 

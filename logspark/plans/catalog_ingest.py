@@ -195,7 +195,7 @@ def _render_app_log(spark, d):
 def _app_log_text(spark, d):
     p = AP.parse_text(AP.render_text(_entries(spark, d)))
     return p.select("id", "timestamp", "level", "service", "component", "file", "line", "function", "message",
-                    "request_id", F.element_at("fields", "duration_ms").cast("bigint").alias("duration_ms"),
+                    "request_id", F.element_at("fields", "duration_ms").try_cast("bigint").alias("duration_ms"),
                     F.element_at("fields", "http_path").alias("http_path"))
 
 
@@ -206,8 +206,8 @@ FROM ent""", logs=False, access=True, extra=_ENTRY))
 def _app_log_json(spark, d):
     p = AP.parse_json(AP.render_json(_entries(spark, d)))
     return p.select("id", "timestamp", "level", "message", "service", "component", "request_id",
-                    F.element_at("fields", "duration_ms").cast("bigint").alias("duration_ms"),
-                    F.element_at("fields", "http_status_code").cast("bigint").alias("http_status_code"))
+                    F.element_at("fields", "duration_ms").try_cast("bigint").alias("duration_ms"),
+                    F.element_at("fields", "http_status_code").try_cast("bigint").alias("http_status_code"))
 
 
 @register("span_metrics", S.with_views(

@@ -67,7 +67,7 @@ def parse_text(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return lines.select(
         *[c for c in lines.columns if c != line_col],
         g(1).alias("timestamp"), g(2).alias("level"), g(3).alias("service"), g(4).alias("component"),
-        g(5).alias("file"), g(6).cast("int").alias("line"), g(7).alias("function"), g(8).alias("message"),
+        g(5).alias("file"), g(6).try_cast("int").alias("line"), g(7).alias("function"), g(8).alias("message"),
         nz(g(9)).alias("trace_id"), nz(g(10)).alias("request_id"), nz(g(11)).alias("user_id"),
         F.from_json(nz(g(12)), "map<string,string>").alias("fields"))
 

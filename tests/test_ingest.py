@@ -62,3 +62,24 @@ def test_text_lines_keep_whole_texts(spark):
     kept = lines.select(F.sum(F.length("message"))).first()[0]
     newlines = docs.select(F.sum(F.length("text") - F.length(F.regexp_replace("text", "\n", "")))).first()[0]
     assert kept + newlines == total_chars
+
+
+def test_service_log_readers_tolerate_malformed_lines(spark):
+    from logspark.operators import access as AC
+    from logspark.sources import applog as AP
+    lines = spark.createDataFrame(
+        [(1, "[2024-01-01 00:00:00] INFO [svc/http] f.go:12 fn - ok [request=r1] fields={\"duration_ms\":150}"),
+         (2, "not a service log line at all"),
+         (3, "[2024-01-01 00:00:01] WARN [svc/http] :0  - slow fields={\"duration_ms\":\"abc\"}")],
+        "id bigint, line string")
+    t = {r.id: r for r in AP.parse_text(lines).collect()}
+    assert (t[1].level, t[1].line, t[1].request_id, t[1].fields["duration_ms"]) == ("INFO", 12, "r1", "150")
+    assert t[2].line is None and t[2].level == ""
+    assert t[3].message == "slow" and t[3].fields["duration_ms"] == "abc"
+    parsed = AP.parse_text(lines).withColumn("request_id", F.coalesce("request_id", F.lit("-")))
+    slow = {r.id for r in AC.slow_entries(parsed).collect()}
+    assert slow == {1}
+    js = spark.createDataFrame([(1, '{"message":"m","level":"INFO","fields":{"duration_ms":"x"}}'), (2, "{broken")],
+                               "id bigint, line string")
+    j = {r.id: r for r in AP.parse_json(js).collect()}
+    assert j[1].message == "m" and j[1]._corrupt is None and j[2]._corrupt == "{broken"
