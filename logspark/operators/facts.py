@@ -30,17 +30,34 @@ def _hit(etype: str):
     return cond
 
 
-def log_facts(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+ALL_MEASURES = ("timing", "security", "span")
+
+
+def log_facts(df: DataFrame, cfg: EngineConfig = DEFAULT, measures=ALL_MEASURES) -> DataFrame:
+    """Facts with the row count ``c`` plus the requested measure groups:
+    ``timing`` (rt_n, rt_sum, slow), ``security`` (sec_<type>), ``span`` (t0, t1)."""
     n = normalize_logs(df)
-    rt = X.response_time("message", cfg.unit_mode)
-    return (n.groupBy("source", "level", F.hour("log_ts").cast("bigint").alias("hour"))
-            .agg(F.count(F.lit(1)).alias("c"),
-                 F.count(rt).alias("rt_n"),
-                 F.sum(rt).alias("rt_sum"),
-                 F.count(F.when(rt > cfg.performance_threshold_ms, 1)).alias("slow"),
-                 *[F.count(F.when(_hit(t), 1)).alias(f"sec_{t}") for t in SECURITY_RULES],
-                 F.min("log_ts").alias("t0"),
-                 F.max("log_ts").alias("t1")))
+    aggs = [F.count(F.lit(1)).alias("c")]
+    if "timing" in measures:
+        rt = X.response_time("message", cfg.unit_mode)
+        aggs += [F.count(rt).alias("rt_n"), F.sum(rt).alias("rt_sum"),
+                 F.count(F.when(rt > cfg.performance_threshold_ms, 1)).alias("slow")]
+    if "security" in measures:
+        aggs += [F.count(F.when(_hit(t), 1)).alias(f"sec_{t}") for t in SECURITY_RULES]
+    if "span" in measures:
+        aggs += [F.min("log_ts").alias("t0"), F.max("log_ts").alias("t1")]
+    return n.groupBy("source", "level", F.hour("log_ts").cast("bigint").alias("hour")).agg(*aggs)
+
+
+def checkpointed_facts(df: DataFrame, cfg: EngineConfig = DEFAULT, measures=ALL_MEASURES) -> DataFrame:
+    """The log facts, checkpointed: a few hundred rows at most, written once to
+    the shared checkpoint folder so that every section derived from them
+    reads that instead of rescanning the input (and lineage is cut there).
+    Each consumer prunes different columns, so without this Spark could not
+    reuse one exchange and would scan the input once per section."""
+    from ..config import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return log_facts(df, cfg, measures).checkpoint(eager=True)
 
 
 def error_frequency_from(f: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from ..functions import levels as L
 from . import facts as FT
 
 
-def _facts(df: DataFrame, facts: DataFrame | None) -> DataFrame:
-    return facts if facts is not None else FT.log_facts(df)
+def _facts(df: DataFrame, facts: DataFrame | None, measures=()) -> DataFrame:
+    return facts if facts is not None else FT.checkpointed_facts(df, measures=measures)
 
 
 def reliability_score(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -44,7 +44,7 @@ def reliability_score(df: DataFrame, facts: DataFrame | None = None) -> DataFram
 def report_summary(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Totals, ISO time range, health status, rounded error rate, most active
     source and peak hour (ties broken by name / hour ascending)."""
-    f = _facts(df, facts)
+    f = _facts(df, facts, ("span",))
     ef = FT.error_frequency_from(f)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     tr = f.agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).select(

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EngineConfig, checkpoint_dir
+from ..config import DEFAULT, EngineConfig
 from ..operators import anomalies as AN
 from ..operators import facts as FT
 from ..operators import reliability as RL
@@ -51,11 +51,8 @@ def _high_anomalies(e: DataFrame, cfg: EngineConfig, f: DataFrame, rules: DataFr
 
 
 def facts_for_report(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The log facts, checkpointed: a few hundred rows at most, written once to
-    the shared checkpoint folder so that every report section reads them
-    instead of rescanning the input (and lineage is cut there)."""
-    checkpoint_dir(df.sparkSession)
-    return FT.log_facts(df, cfg).checkpoint(eager=True)
+    """Checkpointed log facts shared by every report section."""
+    return FT.checkpointed_facts(df, cfg)
 
 
 def recommendations(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: DataFrame | None = None,
