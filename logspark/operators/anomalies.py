@@ -13,13 +13,13 @@ from ..config import DEFAULT, EngineConfig
 from ..sources.normalize import enrich
 
 
-def _e(df: DataFrame) -> DataFrame:
-    return df if "pattern" in df.columns else enrich(df)
+def _e(df: DataFrame, *cols) -> DataFrame:
+    return enrich(df, cols=cols or ("is_narrow_error", "pattern"))
 
 
 def source_error_rates(df: DataFrame) -> DataFrame:
     """Per source: total logs, error+fatal count and rate (percent) - one aggregate."""
-    return (_e(df).groupBy("source")
+    return (_e(df, "is_narrow_error").groupBy("source")
             .agg(F.count(F.lit(1)).alias("total_logs"),
                  F.count(F.when(F.col("is_narrow_error"), 1)).alias("error_count"))
             .select("source", "total_logs", "error_count",

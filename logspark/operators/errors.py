@@ -16,8 +16,8 @@ from ..sources.normalize import enrich
 from ..sources.scans import newest_ts, ts_lit
 
 
-def _e(df: DataFrame) -> DataFrame:
-    return df if "is_broad_error" in df.columns else enrich(df)
+def _e(df: DataFrame, *cols) -> DataFrame:
+    return enrich(df, cols=cols or ("is_broad_error",))
 
 
 def error_logs(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def error_logs(df: DataFrame) -> DataFrame:
 
 def error_frequency(df: DataFrame) -> DataFrame:
     """One row: total logs, broad errors, error rate (percent), mean severity."""
-    e = _e(df)
+    e = _e(df, "is_broad_error", "severity_weight")
     return e.agg(
         F.count(F.lit(1)).alias("total_logs"),
         F.count(F.when(F.col("is_broad_error"), 1)).alias("total_errors"),
@@ -49,13 +49,13 @@ def errors_by_source(df: DataFrame) -> DataFrame:
 
 
 def error_time_distribution(df: DataFrame) -> DataFrame:
-    return (_e(df).filter(F.col("is_broad_error") & F.col("hour").isNotNull())
+    return (_e(df, "is_broad_error", "hour").filter(F.col("is_broad_error") & F.col("hour").isNotNull())
             .groupBy("hour").agg(F.count(F.lit(1)).alias("count")))
 
 
 def error_pattern_rows(df: DataFrame) -> DataFrame:
     """One row per broad error whose generalised pattern is non-empty."""
-    return (_e(df).filter(F.col("is_broad_error") & (F.col("pattern") != ""))
+    return (_e(df, "is_broad_error", "pattern").filter(F.col("is_broad_error") & (F.col("pattern") != ""))
             .select("id", "pattern", "message", "level", "source", "log_ts"))
 
 

@@ -30,8 +30,11 @@ FEATURES = ("error_rate", "message_entropy", "temporal_variance", "source_divers
             "total_volume", "volume_variance") + tuple(f"level_{lv}_ratio" for lv in LEVELS)
 
 
-def _e(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    return df if "signature" in df.columns else enrich(df, cfg)
+ML_COLUMNS = ("signature", "is_narrow_error")
+
+
+def _e(df: DataFrame, cfg: EngineConfig = DEFAULT, cols=ML_COLUMNS) -> DataFrame:
+    return enrich(df, cfg, cols)
 
 
 def _join_on(a: DataFrame, b: DataFrame, keys):
@@ -241,7 +244,7 @@ def error_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT, partitions: int | Non
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = _e(df, cfg).filter(F.col("is_narrow_error") & F.col("log_ts").isNotNull())
+    e = _e(df, cfg, ("is_narrow_error",)).filter(F.col("is_narrow_error") & F.col("log_ts").isNotNull())
     err = (e.select("source", "id", "log_ts").repartitionByRange(n, "source", "log_ts", "id")
            .withColumn("part", F.spark_partition_id()))
     inner = Window.partitionBy("part", "source").orderBy("log_ts", "id")
@@ -260,7 +263,7 @@ def error_time_clustering(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFra
     """Per source with >= 5 logs and >= 1 error: clustering score
     1 - (pop std / mean of error gaps) / 2, floored at 0; 1 when the mean gap
     is 0; 0 with fewer than two errors."""
-    e = _e(df, cfg)
+    e = _e(df, cfg, ("is_narrow_error",))
     per_src = (e.groupBy("source").agg(F.count(F.lit(1)).alias("total_logs"),
                                       F.count(F.when(F.col("is_narrow_error"), 1)).alias("error_count"))
                .filter((F.col("total_logs") >= cfg.min_source_logs) & (F.col("error_count") > 0)))

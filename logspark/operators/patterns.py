@@ -16,8 +16,8 @@ from ..functions import text as X
 from ..sources.normalize import enrich
 
 
-def _e(df: DataFrame) -> DataFrame:
-    return df if "pattern" in df.columns else enrich(df)
+def _e(df: DataFrame, *cols) -> DataFrame:
+    return enrich(df, cols=cols)
 
 
 def frequent_terms(df: DataFrame, top: int = 20) -> DataFrame:
@@ -29,7 +29,7 @@ def frequent_terms(df: DataFrame, top: int = 20) -> DataFrame:
 
 def error_signatures(df: DataFrame) -> DataFrame:
     """Error/fatal patterns seen more than once: count, sources, first/last seen."""
-    e = _e(df).filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
+    e = _e(df, "is_narrow_error", "pattern").filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
     return (e.groupBy("pattern")
             .agg(F.count(F.lit(1)).alias("count"),
                  F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
@@ -39,19 +39,19 @@ def error_signatures(df: DataFrame) -> DataFrame:
 
 
 def message_signature_counts(df: DataFrame) -> DataFrame:
-    return (_e(df).groupBy("signature").agg(F.count(F.lit(1)).alias("count")))
+    return (_e(df, "signature").groupBy("signature").agg(F.count(F.lit(1)).alias("count")))
 
 
 def message_clusters(df: DataFrame, top: int = 10) -> DataFrame:
     """Top ``top`` clusters (3 sorted distinct 4+-letter words) with > 1 message."""
-    return (_e(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
+    return (_e(df, "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("count"))
             .filter(F.col("count") > 1)
             .orderBy(F.col("count").desc(), F.col("cluster")).limit(top))
 
 
 def cluster_samples(df: DataFrame, top: int = 10, k: int = 3) -> DataFrame:
     """First ``k`` messages (by id) of each of the top clusters."""
-    e = _e(df)
+    e = _e(df, "cluster")
     tops = message_clusters(e, top).select("cluster")          # at most ``top`` rows
     w = Window.partitionBy("cluster").orderBy("id")
     firsts = (e.select("cluster", "id", "message")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from ..sources.normalize import enrich
+from ..sources.normalize import enrich, normalize_logs
 from . import quantiles as Q
 
 
-def _e(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    return df if "hour" in df.columns else enrich(df, cfg)
+def _e(df: DataFrame, cfg: EngineConfig = DEFAULT, cols=("hour",)) -> DataFrame:
+    return enrich(df, cfg, cols)
 
 
 def _count(df: DataFrame, *keys) -> DataFrame:
@@ -19,11 +19,11 @@ def _count(df: DataFrame, *keys) -> DataFrame:
 
 
 def counts_by_level(df: DataFrame) -> DataFrame:
-    return _count(_e(df), "level")
+    return _count(normalize_logs(df), "level")
 
 
 def counts_by_source(df: DataFrame) -> DataFrame:
-    return _count(_e(df), "source")
+    return _count(normalize_logs(df), "source")
 
 
 throughput_by_source = counts_by_source
@@ -35,12 +35,12 @@ def hourly_distribution(df: DataFrame) -> DataFrame:
 
 
 def daily_distribution(df: DataFrame) -> DataFrame:
-    return _count(_e(df).filter(F.col("day").isNotNull()), "day")
+    return _count(_e(df, cols=("day",)).filter(F.col("day").isNotNull()), "day")
 
 
 def error_trend(df: DataFrame) -> DataFrame:
     """Per hour of day: total, error+fatal count and rate (percent), by hour."""
-    return (_e(df).filter(F.col("hour").isNotNull()).groupBy("hour")
+    return (_e(df, cols=("hour", "is_narrow_error")).filter(F.col("hour").isNotNull()).groupBy("hour")
             .agg(F.count(F.lit(1)).alias("total_logs"),
                  F.count(F.when(F.col("is_narrow_error"), 1)).alias("error_count"))
             .select("hour", "total_logs", "error_count",
@@ -66,13 +66,13 @@ def temporal_patterns(df: DataFrame) -> DataFrame:
 
 
 def source_patterns(df: DataFrame) -> DataFrame:
-    return _count(_e(df), "source", "level")
+    return _count(normalize_logs(df), "source", "level")
 
 
 def performance_indicators(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Mean, median, p95 (exclusive 20-quantile when n >= 20, else max) and
     count above 1 s of the response times found in messages."""
-    rt = _e(df, cfg).select(F.col("response_time").alias("v")).filter(F.col("v").isNotNull())
+    rt = _e(df, cfg, ("response_time",)).select(F.col("response_time").alias("v")).filter(F.col("v").isNotNull())
     n = rt.count()
     if n == 0:
         return rt.agg(F.avg("v").alias("avg_response_time"),

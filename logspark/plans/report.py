@@ -34,7 +34,7 @@ ALERT_SLOW = "Performance degradation detected: %d slow operations"
 
 
 def _e(df: DataFrame, cfg: EngineConfig) -> DataFrame:
-    return df if "pattern" in df.columns else enrich(df, cfg)
+    return enrich(df, cfg, ("is_narrow_error", "pattern"))
 
 
 def _slow_count(f: DataFrame) -> DataFrame:

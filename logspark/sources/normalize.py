@@ -20,23 +20,33 @@ def normalize_logs(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"{fixes[c]} AS {c}" if c in fixes else f"`{c}`" for c in df.columns])
 
 
-def enrich(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Add every derived per-row column once (pattern, signatures, timings,
-    error flags, severity weight, hour and day).
-
-    Catalyst prunes the ones a downstream query does not read, so a query
-    that needs only the hour never evaluates the regexes.
+def _derived_sql(cfg: EngineConfig) -> dict:
+    return {
+        "pattern": X.error_pattern_sql("message"),
+        "signature": X.message_signature_sql("message"),
+        "cluster": X.cluster_signature_sql("message"),
+        "response_time": X.response_time_sql("message", cfg.unit_mode),
+        "is_broad_error": L.BROAD_SQL,
+        "is_narrow_error": L.NARROW_SQL,
+        "severity_weight": L.severity_weight_sql("level"),
+        "hour": "CAST(hour(log_ts) AS BIGINT)",
+        "day": "date_format(log_ts, 'yyyy-MM-dd')",
+    }
+
+
+DERIVED = tuple(_derived_sql(DEFAULT))
+
+
+def enrich(df: DataFrame, cfg: EngineConfig = DEFAULT, cols=None) -> DataFrame:
+    """Add derived per-row columns (pattern, signatures, timing, error flags,
+    severity weight, hour, day) - all of them, or only ``cols``.
+
+    Columns already present are kept, so operators can call this on a frame
+    that an earlier step enriched.  Deriving only what a query reads keeps
+    plan construction cheap; Catalyst would prune the rest anyway.
     """
-    n = normalize_logs(df)
-    return n.selectExpr(
-        "*",
-        f"{X.error_pattern_sql('message')} AS pattern",
-        f"{X.message_signature_sql('message')} AS signature",
-        f"{X.cluster_signature_sql('message')} AS cluster",
-        f"{X.response_time_sql('message', cfg.unit_mode)} AS response_time",
-        f"{L.BROAD_SQL} AS is_broad_error",
-        f"{L.NARROW_SQL} AS is_narrow_error",
-        f"{L.severity_weight_sql('level')} AS severity_weight",
-        "CAST(hour(log_ts) AS BIGINT) AS hour",
-        "date_format(log_ts, 'yyyy-MM-dd') AS day",
-    )
+    want = [c for c in (cols or DERIVED) if c not in df.columns]
+    if not want:
+        return df
+    exprs = _derived_sql(cfg)
+    return normalize_logs(df).selectExpr("*", *[f"{exprs[c]} AS {c}" for c in want])
