@@ -129,3 +129,25 @@ def test_error_gaps_hot_source_is_split_and_exact(spark):
     parts = (e.repartitionByRange(16, "source", "log_ts", "id").filter("source = 'hot'")
              .select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts >= 8
+
+
+def test_statistical_anomaly_fires_on_error_burst(spark):
+    # 8 quiet days (5 % errors, hourly spread) then a last day with 80 % errors
+    rows, k = [], 0
+    for day in range(9):
+        for i in range(200):
+            ts = T0 + dt.timedelta(days=day, minutes=7 * i)
+            bad = (i % 20 == 0) if day < 8 else (i % 5 != 0)
+            rows.append((k, ts, "error" if bad else "info", f"msg {i % 7}", f"s{i % 3}"))
+            k += 1
+    df = logs(spark, rows)
+    base = {r.feature: r for r in ML.baseline_features(df, 7).collect()}
+    # [as_of - 8 days, as_of - 1 day] is not day-aligned: 7 full days plus a partial first day
+    assert base["error_rate"].n_days == 8 and base["error_rate"].mean < 0.06
+    an = {r.feature: r for r in ML.statistical_anomalies(df, 7).collect()}
+    assert "error_rate" in an
+    e = an["error_rate"]
+    assert e.severity == "high" and e.confidence == 1.0 and e.value > 0.5
+    assert e.description.startswith("Statistical anomaly in error_rate: ")
+    merged = ML.merged_anomalies(df, 7).filter("type = 'statistical_anomaly'").collect()
+    assert {r.feature for r in merged} == set(an)
