@@ -40,6 +40,9 @@ def finalize(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the engine works in UTC: parsed offsets, day windows and ISO
+            # renderings must not depend on the caller's session zone
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finalize(fn(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
