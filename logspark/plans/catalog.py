@@ -9,7 +9,6 @@ bits of aggregates such as stddev).
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULT, EngineConfig
 from ..sources import scans
 from ..sources.normalize import enrich
-from ..sources.tables import load_access, load_logs, load_raw_events, read_table
+from ..sources.tables import load_logs, load_raw_events
 from . import sqlbits as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

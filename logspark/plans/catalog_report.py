@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..config import checkpoint_dir
-from ..schema import LOG_SCHEMA  # noqa: F401
 from ..sources import tables as TB
 from ..sources.scans import newest_ts
 from ..streaming import jobs as ST
