@@ -53,7 +53,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    b = (b.config("spark.sql.session.timeZone", "UTC")
+    # driver-side settings only take effect when this call starts the JVM
+    b = (b.config("spark.driver.memory", os.environ.get("LOGSPARK_DRIVER_MEMORY", "8g"))
+          .config("spark.sql.ui.retainedExecutions", "50")
+          .config("spark.ui.retainedJobs", "100")
+          .config("spark.ui.retainedStages", "200")
+          .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
