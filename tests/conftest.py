@@ -17,6 +17,8 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.checkpoint.dir", ck)
+         .config("spark.driver.memory", "8g")
+         .config("spark.sql.ui.retainedExecutions", "50")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
