@@ -19,9 +19,15 @@ PATH_SAFE = r"^[A-Za-z0-9\-._~!$&'()*+,;=:@/]*$"
 
 
 def access_severity(acc: DataFrame) -> DataFrame:
-    """Requests per outcome class: >= 500 error, >= 400 warn, else info."""
-    return (acc.groupBy(L.status_severity(F.col("http_status_code")).alias("severity"))
-            .agg(F.count(F.lit(1)).alias("requests"), F.avg("duration_ms").alias("avg_duration_ms")))
+    """Requests per outcome class: >= 500 error, >= 400 warn, else info.
+
+    When the frame carries the logged size columns (``content_length``,
+    ``response_size``) their totals and means are added per class."""
+    aggs = [F.count(F.lit(1)).alias("requests"), F.avg("duration_ms").alias("avg_duration_ms")]
+    for c in ("content_length", "response_size"):
+        if c in acc.columns:
+            aggs += [F.sum(c).alias(f"total_{c}"), F.avg(c).alias(f"avg_{c}")]
+    return acc.groupBy(L.status_severity(F.col("http_status_code")).alias("severity")).agg(*aggs)
 
 
 def access_slow(acc: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

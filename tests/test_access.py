@@ -44,3 +44,12 @@ def test_suspicious_requests(spark):
                                       "http_user_agent string")
     got = {r.id: (r.empty_user_agent, r.url_encoding) for r in AC.access_suspicious(acc).collect()}
     assert got == {1: (False, True), 2: (True, False)}
+
+
+def test_access_severity_with_size_columns(spark):
+    rows = [(1, 200, 10, 100, 1000), (2, 404, 20, 50, 10), (3, 503, 30, 0, 5), (4, 201, 40, 300, 3000)]
+    acc = spark.createDataFrame(rows, "id bigint, http_status_code int, duration_ms bigint, "
+                                      "content_length bigint, response_size bigint")
+    got = {r.severity: r for r in AC.access_severity(acc).collect()}
+    assert (got["info"].requests, got["info"].total_response_size, got["info"].avg_content_length) == (2, 4000, 200.0)
+    assert (got["warn"].requests, got["error"].avg_duration_ms) == (1, 30.0)
