@@ -20,7 +20,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EngineConfig
+from ..config import DEFAULT, EngineConfig, checkpoint_dir
 from ..functions import levels as L
 from ..schema import LEVELS
 from ..sources.normalize import enrich
@@ -162,9 +162,12 @@ def _with_pop_stats(counts: DataFrame, col: str) -> DataFrame:
 def _window_signature_counts(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Rows and error/fatal rows per (tumbling window, message signature).
 
-    The pattern and the temporal detectors both derive from this frame, so
-    within one plan they share its exchange and read the input once.
+    The pattern and the temporal detectors both derive from this frame.
+    Passing it in precomputed (``counts=``) lets several detectors share one
+    scan; :func:`ml_anomalies` does that with a checkpointed copy.
     """
+    if "c_err" in df.columns:                     # already the counts frame
+        return df
     e = _e(df, cfg)
     win = F.window("log_ts", f"{cfg.window_minutes} minutes").start
     return (e.groupBy(win.alias("window_start"), "signature")
@@ -315,9 +318,13 @@ def ml_anomalies(df: DataFrame, days: int = 7, as_of=None, with_baseline: bool =
     if with_baseline:
         st = statistical_anomalies(df, days, as_of, cfg).select("*", F.lit("statistical_anomaly").alias("type"))
         parts.append(_wide(st, "statistical", 1))
-    parts.append(_wide(pattern_anomalies(e, cfg), "pattern", 2))
-    parts.append(_wide(temporal_volume_anomalies(e, cfg), "temporal", 3, value="volume"))
-    parts.append(_wide(temporal_error_spikes(e, cfg), "temporal", 4, value="error_rate"))
+    # one (window, signature) aggregate feeds three detectors; each prunes it
+    # differently, so it is materialized once instead of rescanning the input
+    checkpoint_dir(df.sparkSession)
+    wsc = _window_signature_counts(e, cfg).checkpoint(eager=True)
+    parts.append(_wide(pattern_anomalies(wsc, cfg), "pattern", 2))
+    parts.append(_wide(temporal_volume_anomalies(wsc, cfg), "temporal", 3, value="volume"))
+    parts.append(_wide(temporal_error_spikes(wsc, cfg), "temporal", 4, value="error_rate"))
     parts.append(_wide(clustering_anomalies(e, cfg), "clustering", 5))
     out = parts[0]
     for p in parts[1:]:
