@@ -44,3 +44,16 @@ def test_stream_windows_subset_of_batch(spark):
 def test_monitor_writes_status(spark):
     st = E.queries()["stream_monitor"](spark, SF).collect()
     assert len(st) >= 1 and st[0].total_logs > 0
+
+
+def test_monitor_with_processing_time_trigger(spark):
+    base = os.path.join(checkpoint_dir(spark), "t", uuid.uuid4().hex)
+    schema = TB.read_table(spark, SF, "events").schema
+    logs = TB.logs_from_events(ST.read_stream(spark, SF, schema, glob="events.parquet"))
+    q = ST.monitor_stream(logs, f"{base}/out", f"{base}/ck", available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    st = spark.read.parquet(f"{base}/out/status").collect()
+    assert sum(r.total_logs for r in st) == TB.load_logs(spark, SF).count()
