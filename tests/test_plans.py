@@ -80,3 +80,13 @@ def test_watermark_dedup(spark):
     q.awaitTermination()
     got = spark.read.parquet(f"{out}/data")
     assert got.count() == load_logs(spark, SF).count()
+
+
+def test_spread_is_noop_for_well_split_inputs(spark, log_table):
+    from logspark.sources.tables import spread
+    many = spark.read.parquet(log_table).repartition(16)
+    assert spread(many, min_partitions=8) is many          # enough splits: untouched, nothing written
+    one = spark.read.parquet(log_table).coalesce(1)
+    laid = spread(one, min_partitions=8)
+    assert laid is not one and laid.rdd.getNumPartitions() >= 2
+    assert laid.count() == one.count()
