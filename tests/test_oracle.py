@@ -8,10 +8,11 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from logspark.plans.registry import all_oracle_sql  # noqa: E402
 from oracle_check import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(all_oracle_sql())
 
 
 @pytest.fixture(scope="module")
