@@ -75,7 +75,7 @@ _R_INV = np.uint64(pow(int(_R), -1, 2**64))
 _STEP = 1 << 19
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -86,7 +86,7 @@ _POW: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        _POW[:] = [_powers(_R, n), _powers(_R_INV, n)]
+        _POW[:] = [powers(_R, n), powers(_R_INV, n)]
     return _POW[0], _POW[1]
 
 
