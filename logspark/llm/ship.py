@@ -18,11 +18,12 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="logspark-py-"), "logspark_llm.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="logspark-py-"), "logspark.zip")
     with zipfile.ZipFile(path, "w") as out:
-        out.write(os.path.join(package, "__init__.py"), "logspark/__init__.py")
-        for name in sorted(os.listdir(os.path.join(package, "llm"))):
-            if name.endswith(".py"):
-                out.write(os.path.join(package, "llm", name), f"logspark/llm/{name}")
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
