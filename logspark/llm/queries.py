@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fair_mix, license_scan, oracles, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, fair_mix, license_scan, near_dedup, oracles, substring_dedup, token_counts
 from .ship import ship
 
 
@@ -27,6 +27,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_fair_mix": op6_fair_mix,
     "op7_decontaminate": op7_decontaminate,

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .numbering import numbered
 from .scratch import Scratch
 from .words import flat_words, mix, plain_words, powers, sequence_hash, text_slices
 
@@ -228,23 +229,13 @@ def removed_spans(places: DataFrame, window: int) -> DataFrame:
     return places.select("row", "start", "runs").mapInArrow(run, "row long, start int, end int")
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(row, text) with rows in the order of the documents, and (row, doc_id)
-    where the row is not the doc_id itself."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    odd = ids.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
-    if not odd:
-        return docs.select(F.col("doc_id").cast("long").alias("row"), "text"), None
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
-    kept = scratch.write(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    return kept.select("row", "text"), kept.select("row", "doc_id")
-
-
 def find(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS,
          shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(rows, ids, spans): numbered documents and the word spans to remove."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    rows, ids = numbered(docs, scratch)
+    docs, plain = numbered(docs, scratch)
+    rows = docs.select(F.col("_row").alias("row"), "text")
+    ids = None if plain else docs.select(F.col("_row").alias("row"), "doc_id")
     every = all_segments(rows, window)
     repeated = (every.groupBy("key").agg(F.count("*").alias("seen"), F.max("twice").alias("twice"))
                 .where("seen > 1 or twice").select("key"))
