@@ -105,3 +105,58 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+CHAT = r"""
+WITH RECURSIVE messages AS (
+    SELECT conv_id, turn, role, text, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS raw
+    FROM conversations),
+lines AS (
+    SELECT conv_id, turn, i, raw[i] AS line, regexp_extract(raw[i], '^((?:[ \t]*>)+)', 1) AS marks
+    FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM messages)),
+levels AS (
+    SELECT conv_id, turn, i, len(marks) - len(replace(marks, '>', '')) AS level, substr(line, len(marks) + 1) AS body FROM lines),
+flagged AS (
+    SELECT *, lead(level) OVER m AS next_level, lag(level) OVER m AS last_level FROM levels
+    WINDOW m AS (PARTITION BY conv_id, turn ORDER BY i)),
+own AS (
+    SELECT * FROM flagged WHERE level = 0 AND NOT (coalesce(next_level, 0) > 0 AND regexp_matches(body,
+    '(?i)^\s*(on\b.{0,200}\bwrote|le\b.{0,200}\ba écrit|am\b.{0,200}\bschrieb.{0,80}|el\b.{0,200}\bescribió)\s*:\s*$'))),
+bodies AS (SELECT conv_id, turn, string_agg(body, chr(10) ORDER BY i) AS body FROM own GROUP BY conv_id, turn),
+runs AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM last_level THEN 1 ELSE 0 END) OVER
+         (PARTITION BY conv_id, turn ORDER BY i) AS run FROM flagged),
+quoted AS (
+    SELECT DISTINCT conv_id, turn, level, unit FROM (
+        SELECT conv_id, turn, level, string_agg(body, chr(10) ORDER BY i) AS unit FROM runs WHERE level > 0
+        GROUP BY conv_id, turn, level, run
+        UNION ALL SELECT conv_id, turn, level, body FROM runs WHERE level > 0)),
+quotes AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM quoted
+           WHERE trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) <> ''),
+own_units AS (
+    SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS unit FROM (
+        SELECT conv_id, turn, body AS unit FROM bodies
+        UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(body, '\n\s*\n')) FROM bodies
+        UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM bodies)),
+links AS (
+    SELECT q.conv_id, q.turn, q.level, q.unit, max(o.turn) AS source FROM quotes q JOIN own_units o
+    ON q.conv_id = o.conv_id AND q.unit = o.unit AND o.turn < q.turn GROUP BY ALL),
+votes AS (SELECT conv_id, turn, level, source, sum(len(unit)) AS votes, count(*) AS n FROM links GROUP BY ALL),
+parents AS (
+    SELECT conv_id, turn, first(source ORDER BY level, votes DESC, source DESC) AS parent, sum(n) AS n_linked
+    FROM votes GROUP BY conv_id, turn),
+chains AS (
+    SELECT conv_id, turn, parent AS root FROM parents
+    UNION ALL SELECT c.conv_id, c.turn, p.parent FROM chains c JOIN parents p ON c.conv_id = p.conv_id AND c.root = p.turn),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY conv_id, turn),
+counted AS (SELECT conv_id, turn, count(*) AS n_quoted FROM quotes GROUP BY conv_id, turn),
+joined AS (
+    SELECT m.conv_id, m.turn, m.role, parent, coalesce(root, m.turn) AS root, n_quoted, n_linked,
+           CASE WHEN contains(m.text, '>') THEN trim(coalesce(body, '')) ELSE trim(coalesce(m.text, '')) END AS text
+    FROM messages m LEFT JOIN parents p ON m.conv_id = p.conv_id AND m.turn = p.turn
+    LEFT JOIN roots r ON m.conv_id = r.conv_id AND m.turn = r.turn
+    LEFT JOIN counted c ON m.conv_id = c.conv_id AND m.turn = c.turn
+    LEFT JOIN bodies b ON m.conv_id = b.conv_id AND m.turn = b.turn)
+SELECT conv_id, turn, role, parent AS parent_turn, root AS root_turn,
+       row_number() OVER (PARTITION BY conv_id ORDER BY root, turn) - 1 AS position,
+       coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, text
+FROM joined
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fair_mix, license_scan, near_dedup, oracles, substring_dedup, token_counts, toxicity
+from . import chat_quotes, decontaminate, exact_dedup, fair_mix, license_scan, near_dedup, oracles, substring_dedup, token_counts, toxicity
 from .ship import ship
 
 
@@ -47,6 +47,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """``tokenizer``: path of the vocabulary file; the public byte-level BPE by default."""
     if tokenizer is None:
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_fair_mix": op6_fair_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat_quotes": op8_chat_quotes,
     "op9_token_counts": op9_token_counts,
 }
 
@@ -72,4 +77,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": oracles.EXACT,
     "op6_fair_mix": oracles.MIX,
     "op7_decontaminate": oracles.LEAKS,
+    "op8_chat_quotes": oracles.CHAT,
 }
