@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, decontaminate, exact_dedup, fair_mix, license_scan, near_dedup, oracles, substring_dedup, token_counts, toxicity
+from . import chat_quotes, decontaminate, exact_dedup, fair_mix, html_extract, license_scan, near_dedup, oracles, substring_dedup, token_counts, toxicity
 from .ship import ship
 
 
@@ -60,6 +60,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_chat_quotes": op8_chat_quotes,
     "op9_token_counts": op9_token_counts,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLES: dict[str, str] = {
