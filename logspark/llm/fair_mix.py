@@ -160,9 +160,9 @@ def repeated(docs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` that the mix takes, each as many
     times as it takes them, with a ``mix_pass`` column from 0."""
     mixed = mix(docs, max_passes).where("taken > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    same = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"])
+    times = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(
+        F.max((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
+    same = docs["doc_id"].eqNullSafe(times["_mix_id"]) & docs["source"].eqNullSafe(times["_mix_source"])
     return (docs.where(text_size(F.col("text")) > 0).join(times, same)
-            .withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+            .withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
             .select(*docs.columns, "mix_pass"))

@@ -252,10 +252,10 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with ``_row``, (row, class) of all rows that are alike to another)."""
+    """(``docs`` with ``_logspark_row``, (row, class) of all rows that are alike to another)."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     docs, _ = numbered(docs, scratch)
-    rows = docs.select(F.col("_row").alias("row"), "text")
+    rows = docs.select(F.col("_logspark_row").alias("row"), "text")
     signed = scratch.write(sign(rows), "signed")
     same = signed.groupBy("digest", "total").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = scratch.write(signed.select("row", "digest", "total").join(same, ["digest", "total"]).select("row", "first"),
@@ -301,17 +301,17 @@ def report(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     class_size and kept for every document."""
     docs, found = classes(docs, threshold)
     size = found.groupBy("class").agg(F.count("*").alias("n"))
-    ids = docs.select("_row", "doc_id")
-    full = (ids.join(found.withColumnRenamed("row", "_row"), "_row", "left")
-            .withColumn("class", F.coalesce("class", "_row")).join(size, "class", "left"))
-    names = ids.select(F.col("_row").alias("class"), F.col("doc_id").alias("class_id"))
+    ids = docs.select("_logspark_row", "doc_id")
+    full = (ids.join(found.withColumnRenamed("row", "_logspark_row"), "_logspark_row", "left")
+            .withColumn("class", F.coalesce("class", "_logspark_row")).join(size, "class", "left"))
+    names = ids.select(F.col("_logspark_row").alias("class"), F.col("doc_id").alias("class_id"))
     return full.join(names, "class").select(
-        "doc_id", "class_id", F.coalesce("n", F.lit(1)).alias("class_size"), (F.col("_row") == F.col("class")).alias("kept"))
+        "doc_id", "class_id", F.coalesce("n", F.lit(1)).alias("class_size"), (F.col("_logspark_row") == F.col("class")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents that stay: all but those alike to a smaller one of their class."""
     columns = docs.columns
     docs, found = classes(docs, threshold)
-    gone = found.where("row <> class").select(F.col("row").alias("_row"))
-    return docs.join(gone, "_row", "left_anti").select(*columns)
+    gone = found.where("row <> class").select(F.col("row").alias("_logspark_row"))
+    return docs.join(gone, "_logspark_row", "left_anti").select(*columns)

@@ -9,7 +9,7 @@ from .scratch import Scratch
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """``docs`` with a long column ``_row`` that is unique and in the order of
+    """``docs`` with a long column ``_logspark_row`` that is unique and in the order of
     doc_id, and whether it is the doc_id itself.
 
     With null or repeated doc_ids a sorted copy is written and numbered (null
@@ -18,6 +18,6 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     doc_id = F.col("doc_id").cast("long")
     odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not odd:
-        return docs.withColumn("_row", doc_id), True
+        return docs.withColumn("_logspark_row", doc_id), True
     ordered = docs.orderBy(doc_id, F.xxhash64("text"))
-    return scratch.write(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered"), False
+    return scratch.write(ordered.withColumn("_logspark_row", F.monotonically_increasing_id()), "numbered"), False

@@ -234,8 +234,8 @@ def find(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS
     """(rows, ids, spans): numbered documents and the word spans to remove."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs, plain = numbered(docs, scratch)
-    rows = docs.select(F.col("_row").alias("row"), "text")
-    ids = None if plain else docs.select(F.col("_row").alias("row"), "doc_id")
+    rows = docs.select(F.col("_logspark_row").alias("row"), "text")
+    ids = None if plain else docs.select(F.col("_logspark_row").alias("row"), "doc_id")
     every = all_segments(rows, window)
     repeated = (every.groupBy("key").agg(F.count("*").alias("seen"), F.max("twice").alias("twice"))
                 .where("seen > 1 or twice").select("key"))
