@@ -19,13 +19,18 @@ throws again to twice the rank.
 shares no band with probability (1 - 0.8**5)**32 < 4e-6.
 
 1. Documents with equal shingles and weights are collapsed to the smallest.
-2. In each band bucket all are paired with the bucket's smallest document;
-   candidates are verified by their exact similarity, components are formed.
+2. In each band bucket all are paired with the bucket's centre, the document
+   that shares most buckets with others (the original of a group of altered
+   copies); candidates are verified by their exact similarity, components
+   are formed.
 3. A bucket whose documents still fall into several components has its other
-   pairs across components compared by signature, in blocks of bounded size;
-   those that may reach the threshold are verified as well.  Hence any two
-   documents that share a band and are similar end in one class, and no
-   group's pairs are all written out.
+   pairs across components compared by a longer signature, in blocks of
+   bounded size; those that may reach the threshold are verified as well.
+   Hence any two documents that share a band and are similar end in one
+   class, and no group's pairs are all written out.
+
+The texts of documents that share a bucket are shuffled once and kept beside
+for the exact comparisons.
 
 A class is named by its smallest document, which stays.  Texts without words
 are alike to none.  Null texts count as empty; repeated rows are separate
@@ -52,7 +57,8 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 DOCS_AT_ONCE = 1024
 BLOCK = 512                                               # documents on each side of a block of a bucket
-SLACK = 0.16                                              # 5 standard errors of the estimate
+LONG = 1024                                               # coordinates of the longer signature, a byte each
+SLACK = 0.0625                                            # 5 standard errors of its estimate
 _HALF = np.uint64(1) << np.uint64(48)
 
 
@@ -145,30 +151,43 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """(row, digest, total, bands, signature) of the texts that have words.
-    ``digest`` is equal for equal weighted sets; the signature is cut to 32
-    bits a coordinate."""
+    """(row, digest, total, bands) of the texts that have words.  ``digest``
+    is equal for equal weighted sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 4 << 20):
-                for at in range(0, part.num_rows, DOCS_AT_ONCE):
-                    few = part.slice(at, DOCS_AT_ONCE)
-                    doc, element, weight = shingles(few.column(1))
-                    sign = signatures(doc, element, weight, few.num_rows)
-                    total = np.bincount(doc, weight, few.num_rows).astype(np.int64)
-                    digest = np.zeros(few.num_rows, np.uint64)
-                    np.add.at(digest, doc, mix(element) * weight.astype(np.uint64))
-                    full = np.flatnonzero(total)
-                    hashes = bands(sign[full]).view(np.int64)
-                    offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
-                    yield pa.RecordBatch.from_arrays(
-                        [few.column(0).take(pa.array(full)), pa.array(digest[full].view(np.int64)),
-                         pa.array(total[full]), pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel())),
-                         pa.array([s.tobytes() for s in sign[full].astype(np.uint32)], pa.binary())],
-                        ["row", "digest", "total", "bands", "signature"])
-
-    return rows.mapInArrow(run, "row long, digest long, total long, bands array<long>, signature binary")
+        for few, (doc, element, weight) in weighted_sets(batches, DOCS_AT_ONCE):
+            total = np.bincount(doc, weight, few.num_rows).astype(np.int64)
+            digest = np.zeros(few.num_rows, np.uint64)
+            np.add.at(digest, doc, mix(element) * weight.astype(np.uint64))
+            full = np.flatnonzero(total)
+            hashes = bands(signatures(doc, element, weight, few.num_rows)[full]).view(np.int64)
+            offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [few.column(0).take(pa.array(full)), pa.array(digest[full].view(np.int64)), pa.array(total[full]),
+                 pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel()))], ["row", "digest", "total", "bands"])
+
+    return rows.mapInArrow(run, "row long, digest long, total long, bands array<long>")
+
+
+def weighted_sets(batches: Iterator[pa.RecordBatch], most: int):
+    """Parts of the batches (row, text) of at most ``most`` rows, with their shingles."""
+    for batch in batches:
+        for part in text_slices(batch, "text", 4 << 20):
+            for at in range(0, part.num_rows, most):
+                few = part.slice(at, most)
+                yield few, shingles(few.column(1))
+
+
+def sign_long(rows: DataFrame) -> DataFrame:
+    """(row, signature): ``LONG`` coordinates, cut to one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few, (doc, element, weight) in weighted_sets(batches, DOCS_AT_ONCE // 8):
+            signed = signatures(doc, element, weight, few.num_rows, LONG).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array([x.tobytes() for x in signed], pa.binary())],
+                                             ["row", "signature"])
+
+    return rows.mapInArrow(run, "row long, signature binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -224,7 +243,7 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
 
     def pairs(block: list[tuple]) -> Iterator[tuple[int, int]]:
         rows, comps = (np.array([r[i] for r in block], np.int64) for i in (0, 1))
-        signs = np.frombuffer(b"".join(r[2] for r in block), np.uint32).reshape(len(block), -1)
+        signs = np.frombuffer(b"".join(r[2] for r in block), np.uint8).reshape(len(block), -1)
         for i in range(len(block) - 1):
             rest = np.flatnonzero(comps[i + 1:] != comps[i]) + i + 1
             if len(rest):
@@ -261,37 +280,43 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame,
     copies = scratch.write(signed.select("row", "digest", "total").join(same, ["digest", "total"]).select("row", "first"),
                            "copies")
     gone = copies.where("row <> first").select("row")
-    single = scratch.write(signed.select("row", "bands", "signature").join(gone, "row", "left_anti"), "single")
-    scratch.drop("signed")
-    banded = single.select("row", F.explode("bands").alias("band"))
-    buckets = scratch.write(banded.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).where("n > 1"),
-                            "buckets")
-    star = banded.join(buckets.select("band", "a"), "band").where("row <> a").select("a", F.col("row").alias("b")).distinct()
-    star = scratch.write(star, "star")
-    links = scratch.write(verified(star, rows, threshold), "links")
+    banded = signed.select("row", "bands").join(gone, "row", "left_anti").select("row", F.explode("bands").alias("band"))
+    buckets = scratch.write(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = scratch.write(banded.join(buckets, "band").select("band", "row", "n"), "shared")
+    scratch.drop("signed", "buckets")
+    scratch.free_shuffles()
+    # A merge join at every size: what shares a bucket grows with the documents.
+    texts = scratch.write(rows.join(shared.select("row").distinct().hint("merge"), "row"), "texts")
+    scratch.free_shuffles()
+    degree = shared.groupBy("row").agg(F.sum("n").alias("degree"))
+    best = F.max(F.struct("degree", (-F.col("row")).alias("minus")))
+    centres = scratch.write(shared.join(degree, "row").groupBy("band").agg(best.alias("best"))
+                            .select("band", (-F.col("best.minus")).alias("centre")), "centres")
+    placed = shared.join(centres, "band").where("row <> centre")
+    star = scratch.write(placed.select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct(), "star")
+    links = scratch.write(verified(star, texts, threshold), "links")
     scratch.free_shuffles()
     label = components(links, scratch)
     # Buckets of three or more whose documents are still in several components.
-    large = banded.join(buckets.where("n > 2").select("band", "n", F.col("a").alias("centre")), "band")
-    placed = large.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn(
-        "component", F.coalesce("component", "row"))
-    torn = (placed.where("row <> centre").groupBy("band")
+    placed = (placed.where("n > 2").join(label.withColumnRenamed("node", "row"), "row", "left")
+              .select("band", "row", "n", F.coalesce("component", "row").alias("component")))
+    torn = (placed.groupBy("band")
             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("n"))
             .where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")))
-    torn = scratch.write(torn, "torn")
-    if torn.limit(1).count():
-        members = (placed.where("row <> centre").join(torn, "band").select("band", "row", "component", "chunks")
-                   .join(single.select("row", "signature"), "row"))
-        more = scratch.write(across(members, threshold).join(star, ["a", "b"], "left_anti"), "more")
+    members = scratch.write(placed.join(torn, "band").select("band", "row", "component", "chunks"), "members")
+    if members.limit(1).count():
+        long = scratch.write(sign_long(texts.join(members.select("row").distinct(), "row")), "long")
+        tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = scratch.write(across(members.join(long, "row"), threshold).join(tested, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
-            links = links.unionByName(scratch.write(verified(more, rows, threshold), "more-links"))
+            links = links.unionByName(scratch.write(verified(more, texts, threshold), "more-links"))
             label = components(links, scratch, "components2")
     label = label.select(F.col("node").alias("first"), "component")
     merged = (copies.join(label, "first", "left").select("row", F.coalesce("component", "first").alias("class"))
               .unionByName(label.join(copies.where("row = first").select("first"), "first", "left_anti")
                            .select(F.col("first").alias("row"), F.col("component").alias("class"))))
     out = scratch.write(merged, "classes")
-    scratch.drop("single", "buckets", "star", "links", "more", "more-links", "torn", "copies")
+    scratch.drop("shared", "texts", "centres", "star", "links", "members", "long", "more", "more-links", "copies")
     scratch.free_shuffles()
     return docs, out
 
@@ -314,4 +339,4 @@ def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     columns = docs.columns
     docs, found = classes(docs, threshold)
     gone = found.where("row <> class").select(F.col("row").alias("_logspark_row"))
-    return docs.join(gone, "_logspark_row", "left_anti").select(*columns)
+    return docs.join(gone.hint("merge"), "_logspark_row", "left_anti").select(*columns)

@@ -77,7 +77,7 @@ def test_classes_equal_brute_force(make_docs):
 
 def test_pairs_across_components_are_found_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "SLACK", 0.0)
-    signs = np.random.default_rng(3).integers(0, 2**32, (40, 160), dtype=np.uint32)
+    signs = np.random.default_rng(3).integers(0, 256, (40, 1024), dtype=np.uint8)
     for i in range(0, 40, 4):
         signs[i + 1] = signs[i]
     rows = [(7, i, i, bytes(signs[i].tobytes()), 3) for i in range(40)]
