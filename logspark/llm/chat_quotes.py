@@ -56,9 +56,10 @@ def parsed_lines(text) -> F.Column:
 
 def own_lines(lines) -> F.Column:
     """The lines of level 0, without a line that announces a quote."""
-    kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(
-        F.coalesce(F.try_element_at(lines, i + 2)["level"] > 0, F.lit(False)) & x["body"].rlike(ATTRIBUTION)))
-    return F.transform(kept, lambda x: x["body"])
+    following = F.slice(F.transform(lines, lambda x: x["level"]), 2, F.size(lines))
+    told = F.zip_with(lines, following, lambda x, after: F.when(
+        (x["level"] == 0) & ~((F.coalesce(after, F.lit(0)) > 0) & x["body"].rlike(ATTRIBUTION)), x["body"]))
+    return F.filter(told, lambda body: body.isNotNull())
 
 
 def joined(lines) -> F.Column:
@@ -73,29 +74,30 @@ def own_units(lines) -> F.Column:
 
 
 def quoted_units(lines) -> F.Column:
-    """array<struct<level, unit>>: quoted passages and their lines, normalised."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (F.element_at(lines, i)["level"] > 0) & (
-        (i == 1) | (F.try_element_at(lines, i - 1)["level"] != F.element_at(lines, i)["level"])))
-
-    def passage(start):
-        level = F.element_at(lines, start)["level"]
-        rest = F.slice(lines, start, F.size(lines))
-        other = F.filter(F.sequence(F.lit(1), F.size(rest)), lambda i: F.element_at(rest, i)["level"] != level)
-        size = F.coalesce(F.try_element_at(other, F.lit(1)) - 1, F.size(rest))
-        text = F.array_join(F.transform(F.slice(rest, 1, size), lambda x: x["body"]), "\n")
-        return F.struct(level.alias("level"), normal(text).alias("unit"))
-
-    single = F.transform(F.filter(lines, lambda x: x["level"] > 0),
-                         lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("unit")))
-    both = F.concat(F.transform(starts, passage), single)
-    return F.array_distinct(F.filter(both, lambda u: u["unit"] != ""))
+    """array<struct<level, unit>>: quoted passages and their lines, normalised.
+
+    The lines are written one after the other, a line of another level than
+    the one before behind a mark and its level, and cut at the marks again:
+    one passage for each run of lines of one level, in linear time."""
+    clear = F.transform(lines, lambda x: F.struct(x["level"].alias("level"),
+                                                  F.translate(x["body"], "\x01\x02", "").alias("body")))
+    before = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x["level"]))
+    marked = F.zip_with(clear, F.slice(before, 1, F.size(lines)), lambda x, last: F.when(
+        x["level"] == last, F.concat(F.lit("\n"), x["body"])).otherwise(
+        F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["body"])))
+    runs = F.split(F.array_join(marked, ""), "\x01", -1)
+    passages = F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.struct(
+        F.substring_index(r, "\x02", 1).cast("int").alias("level"),
+        normal(F.substring_index(r, "\x02", -1)).alias("unit")))
+    single = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("unit")))
+    return F.filter(F.concat(passages, single), lambda u: (u["level"] > 0) & (u["unit"] != ""))
 
 
 def quotes(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, hash, weight) of all quoted units."""
     quoting = messages.where(F.contains("text", F.lit(">"))).select("conv", "turn", parsed_lines(F.col("text")).alias("lines"))
     return (quoting.select("conv", "turn", F.explode(quoted_units(F.col("lines"))).alias("u"))
-            .select("conv", "turn", "u.level", F.md5("u.unit").alias("hash"), F.length("u.unit").alias("weight")))
+            .select("conv", "turn", "u.level", F.md5("u.unit").alias("hash"), F.length("u.unit").alias("weight")).distinct())
 
 
 def links(messages: DataFrame, found: DataFrame) -> DataFrame:
