@@ -8,6 +8,7 @@ service ships with.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from dataclasses import dataclass
 
@@ -38,10 +39,6 @@ class EngineConfig:
     # response-time unit handling: 'intended' (only seconds are scaled) or
     # 'reference' (every matched pattern is scaled by 1000, as the service does)
     unit_mode: str = "intended"
-    # exact quantiles keep a value->count map per group; above this many
-    # timings switch to percentile_approx
-    exact_quantile_max_rows: int = 50_000_000
-    approx_accuracy: int = 100_000
 
 
 DEFAULT = EngineConfig()
@@ -73,17 +70,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered, so the same code runs unchanged on a cluster.
+    A session on several machines must name it.  A local session, whose only
+    machine is this one, may leave it unset; its scratch folder is then made
+    below the system's temporary folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="logspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="logspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)
     return d

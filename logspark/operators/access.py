@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import levels as L
+from .buckets import ROWS_PER_BUCKET, bucketed
 
 # fixed values: paths the middleware does not inspect
 HEALTH_PATHS = ("/health", "/healthz")
@@ -52,7 +53,7 @@ def access_suspicious(acc: DataFrame) -> DataFrame:
 
 
 def rate_limit_decisions(acc: DataFrame, window: str | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Per client and fixed window: requests allowed, flagged as high rate
+    """Per client and fixed window: requests ok (served unflagged), flagged as high rate
     (the 51st to 100th) and rejected (beyond the 100th).
 
     The n-th request of a window is classified by n alone, so the class
@@ -65,7 +66,7 @@ def rate_limit_decisions(acc: DataFrame, window: str | None = None, cfg: EngineC
     n = F.col("requests")
     return c.select(
         "http_remote_addr", "window_start", "requests",
-        F.least(n, F.lit(cfg.rate_notice)).alias("allowed"),
+        F.least(n, F.lit(cfg.rate_notice)).alias("ok"),
         F.least(F.greatest(n - cfg.rate_notice, F.lit(0)), F.lit(cfg.rate_limit - cfg.rate_notice)).alias("high_rate"),
         F.greatest(n - cfg.rate_limit, F.lit(0)).alias("rejected"))
 
@@ -108,36 +109,35 @@ def business_event_counts(accepted: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def rank_within(df: DataFrame, keys, order, partitions: int | None = None) -> DataFrame:
-    """1-based position of each row inside its ``keys`` group in ``order``
-    (ties broken by the order columns, which should end with a unique id).
+def rank_within(df: DataFrame, keys, order, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """1-based position of each row inside its ``keys`` group in ``order``,
+    whose first column is the time (ties broken by the other order columns,
+    which should end with a unique id).
 
     ``row_number()`` over ``partitionBy(keys)`` would sort a hot group in one
-    task.  Here rows are range-partitioned on keys + order (Spark samples the
-    bounds, so a dominant group is split into many ranges), ranked inside
-    each range, and offset by the number of rows of the same group in the
-    earlier ranges - a running sum over one row per (range, group).
+    task.  Here rows are ranked inside fixed time buckets of their group and
+    offset by the rows of the group's earlier buckets - a running sum over
+    one row per (group, bucket).
     """
-    keys, order = list(keys), list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
-    local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (r.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    order = list(order)
+    r = bucketed(df, keys, order[0], rows_per_bucket)
+    local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy(*order)))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (r.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                .drop("_n"))
-    return (local.join(offsets, ["_part", *keys])
+    return (local.join(offsets, ["_key", "_bucket"])
             .withColumn("rank", (F.col("_local") + F.col("_offset")).cast("bigint"))
-            .drop("_part", "_local", "_offset"))
+            .drop("_key", "_bucket", "_local", "_offset"))
 
 
 def rate_limit_requests(acc: DataFrame, window: str | None = None, cfg: EngineConfig = DEFAULT,
-                        partitions: int | None = None) -> DataFrame:
+                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per request: its position in the client's fixed window and the
     decision (ok, high_rate from the 51st, rejected from the 101st)."""
     window = window or cfg.rate_window
     w = acc.select("id", "log_ts", "http_remote_addr", F.window("log_ts", window).start.alias("window_start"))
-    ranked = rank_within(w, ["http_remote_addr", "window_start"], ["log_ts", "id"], partitions)
+    ranked = rank_within(w, ["http_remote_addr", "window_start"], ["log_ts", "id"], rows_per_bucket)
     n = F.col("rank")
     return ranked.select(
         "id", "http_remote_addr", "window_start", F.col("rank").alias("request_number"),

@@ -25,6 +25,7 @@ from ..functions import levels as L
 from ..schema import LEVELS
 from ..sources.normalize import enrich
 from ..sources.scans import newest_ts, ts_lit
+from .buckets import ROWS_PER_BUCKET, bucketed
 
 FEATURES = ("error_rate", "message_entropy", "temporal_variance", "source_diversity",
             "total_volume", "volume_variance") + tuple(f"level_{lv}_ratio" for lv in LEVELS)
@@ -233,30 +234,24 @@ def temporal_error_spikes(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFra
                         F.col("error_rate") * 100, F.col("mean") * 100).alias("description"))
 
 
-def error_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT, partitions: int | None = None) -> DataFrame:
+def error_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Seconds since the previous error/fatal of the same source (ordered by
     time, id).  The first error of a source has no gap (null).
 
     A window partitioned by source would put a hot source into one task.
-    Instead the errors are range-partitioned on (source, log_ts, id): Spark
-    samples the bounds, so a source holding most rows is cut into many
-    contiguous ranges of similar size.  ``lag`` runs inside each range; the
-    first row of a (range, source) takes the last timestamp of the same
-    source in the previous non-empty range, from a frame with one row per
-    (range, source).
+    ``lag`` runs inside fixed time buckets of the source instead; the first
+    row of a bucket takes the last timestamp of the source's previous bucket,
+    from a frame with one row per (source, bucket).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = _e(df, cfg, ("is_narrow_error",)).filter(F.col("is_narrow_error") & F.col("log_ts").isNotNull())
-    err = (e.select("source", "id", "log_ts").repartitionByRange(n, "source", "log_ts", "id")
-           .withColumn("part", F.spark_partition_id()))
-    inner = Window.partitionBy("part", "source").orderBy("log_ts", "id")
+    err = bucketed(e.select("source", "id", "log_ts"), ["source"], "log_ts", rows_per_bucket)
+    inner = Window.partitionBy("_key", "_bucket").orderBy("log_ts", "id")
     g = err.withColumn("prev_ts", F.lag("log_ts").over(inner))
-    edges = (err.groupBy("part", "source").agg(F.max("log_ts").alias("last_ts"))
-             .withColumn("prev_part_last", F.lag("last_ts").over(Window.partitionBy("source").orderBy("part")))
-             .select("part", "source", "prev_part_last"))       # one row per (range, source)
-    j = g.join(edges, ["part", "source"], "left")
-    prev = F.coalesce(F.col("prev_ts"), F.col("prev_part_last"))
+    edges = (err.groupBy("_key", "_bucket").agg(F.max("log_ts").alias("last_ts"))
+             .withColumn("prev_last", F.lag("last_ts").over(Window.partitionBy("_key").orderBy("_bucket")))
+             .select("_key", "_bucket", "prev_last"))
+    j = g.join(edges, ["_key", "_bucket"])
+    prev = F.coalesce(F.col("prev_ts"), F.col("prev_last"))
     gap = F.expr("timestampdiff(MICROSECOND, prev, log_ts)") / 1e6
     return j.select("source", "id", "log_ts", prev.alias("prev")).select(
         "source", "id", "log_ts", gap.alias("gap_seconds"))

@@ -21,19 +21,10 @@ def response_times(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 def response_time_distribution(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """average, min, max and nearest-rank p50/p95/p99 (element int(q*n))."""
-    rt = response_times(df, cfg).select("response_time")
-    n = rt.count()
-    if n == 0:
-        return rt.agg(*[F.avg("response_time").alias(c) for c in
-                        ("average", "min", "max", "p50", "p95", "p99")]).limit(0)
-    return rt.agg(
-        F.avg("response_time").alias("average"),
-        F.min("response_time").alias("min"),
-        F.max("response_time").alias("max"),
-        Q.nth("response_time", n // 2, n, cfg).alias("p50"),
-        Q.nth("response_time", Q.nearest_rank_index(n, 0.95), n, cfg).alias("p95"),
-        Q.nth("response_time", Q.nearest_rank_index(n, 0.99), n, cfg).alias("p99"),
-    )
+    n = F.col("n")
+    return Q.order_statistics(response_times(df, cfg), "response_time", {
+        "p50": F.floor(n / 2), "p95": Q.nearest_rank(n, 0.95), "p99": Q.nearest_rank(n, 0.99),
+    }).select("average", "min", "max", "p50", "p95", "p99")
 
 
 def _slow(df: DataFrame, cfg: EngineConfig) -> DataFrame:

@@ -1,50 +1,68 @@
-"""Exact order statistics as aggregate expressions.
+"""Exact order statistics of any number of values.
 
-``percentile_disc(p)`` returns the smallest value whose cumulative share is
->= p, i.e. element ceil(p*n)-1 of the sorted values, so element k is
-selected exactly by p = (k + 0.5) / n.  It aggregates a value->count map per
-partition and merges the maps, so memory follows the number of distinct
-values, not rows.  Above ``cfg.exact_quantile_max_rows`` values the same
-positions are taken from ``percentile_approx`` instead.
-
-The caller supplies ``n`` (one scalar count) because the percentage of a
-Spark percentile must be a constant.
+The values are counted once (value, how often); the counts are summed in
+``STEPS`` equal steps between the smallest and the largest value, which tells
+the step that holds a wanted rank, and only the values of that step are
+summed up one by one.  So no task holds all distinct values, nothing is
+approximated at any size, and the rows are read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EngineConfig
+STEPS = 1024
+
+
+def order_statistics(values: DataFrame, col: str, ranks: Mapping[str, Column]) -> DataFrame:
+    """One row: n, average, min, max, and for each name the element with that
+    0-based rank of the sorted values; ranks are expressions of ``n``.  No
+    row without values."""
+    counts = (values.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    totals = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("average"),
+                        F.min("v").alias("min"), F.max("v").alias("max")).filter(F.col("n") > 0)
+    width = F.col("max") - F.col("min")
+    step = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("min")) / width * STEPS), F.lit(STEPS - 1))).otherwise(0)
+    cells = counts.crossJoin(F.broadcast(totals)).select("v", "c", step.alias("step"))
+    steps = (cells.groupBy("step").agg(F.sum("c").alias("c"))
+             .withColumn("upto", F.sum("c").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))))
+    wanted = totals.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("k")) for name, rank in ranks.items()])).alias("w"))
+    places = (steps.join(F.broadcast(wanted.select("w.name", "w.k")),
+                         (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("c")))
+              .select("step", "name", "k", (F.col("upto") - F.col("c")).alias("before")))
+    upto = F.sum("c").over(Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = (cells.join(F.broadcast(places), "step").withColumn("upto", F.col("before") + upto)
+             .filter(F.col("upto") > F.col("k")).groupBy("name").agg(F.min("v").cast("double").alias("v")))
+    picked = found.agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return totals.crossJoin(F.broadcast(picked))
+
+
+def median_ranks(n: Column) -> dict[str, Column]:
+    """The ranks whose mean is the median."""
+    return {"lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2)}
 
 
-def nth(col: str, k: int, n: int, cfg: EngineConfig = DEFAULT) -> Column:
-    """Element k (0-based) of the n sorted values of ``col``."""
-    k = max(0, min(int(k), n - 1))
-    p = (k + 0.5) / n
-    if n > cfg.exact_quantile_max_rows:
-        return F.percentile_approx(F.col(col), F.lit(p), F.lit(cfg.approx_accuracy)).cast("double")
-    return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY `{col}`)").cast("double")
+def exclusive_ranks(n: Column, i: int, m: int) -> dict[str, Column]:
+    """The ranks between which cut point i of m quantiles lies by the
+    'exclusive' method (n >= 2)."""
+    j = _exclusive_j(n, i, m)
+    return {"cut_lower": F.greatest(j - 1, F.lit(0)), "cut_upper": F.greatest(F.least(j, n - 1), F.lit(0))}
 
 
-def median_expr(col: str, n: int, cfg: EngineConfig = DEFAULT) -> Column:
-    """statistics.median: middle element, or mean of the two middle ones."""
-    if n % 2 == 1:
-        return nth(col, n // 2, n, cfg)
-    return (nth(col, n // 2 - 1, n, cfg) + nth(col, n // 2, n, cfg)) / 2.0
+def exclusive_quantile(n: Column, i: int, m: int) -> Column:
+    delta = (n + 1) * i - _exclusive_j(n, i, m) * m
+    return (F.col("cut_lower") * (m - delta) + F.col("cut_upper") * delta) / F.lit(float(m))
 
 
-def exclusive_quantile_expr(col: str, n: int, i: int, m: int, cfg: EngineConfig = DEFAULT) -> Column:
-    """Cut point i of m quantiles by the 'exclusive' method (n >= 2)."""
-    mm = n + 1
-    j = i * mm // m
-    j = 1 if j < 1 else (n - 1 if j > n - 1 else j)
-    delta = i * mm - j * m
-    lo, hi = nth(col, j - 1, n, cfg), nth(col, j, n, cfg)
-    return (lo * float(m - delta) + hi * float(delta)) / float(m)
+def _exclusive_j(n: Column, i: int, m: int) -> Column:
+    return F.greatest(F.lit(1), F.least(F.floor((n + 1) * i / m), n - 1))
 
 
-def nearest_rank_index(n: int, q: float) -> int:
-    """0-based index int(q * n) used by the performance distribution."""
-    return min(int(n * q), n - 1)
+def nearest_rank(n: Column, q: float) -> Column:
+    """0-based rank int(q * n) used by the performance distribution."""
+    return F.least(F.floor(n * F.lit(q)), n - 1)

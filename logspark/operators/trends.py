@@ -73,20 +73,12 @@ def performance_indicators(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFr
     """Mean, median, p95 (exclusive 20-quantile when n >= 20, else max) and
     count above 1 s of the response times found in messages."""
     rt = _e(df, cfg, ("response_time",)).select(F.col("response_time").alias("v")).filter(F.col("v").isNotNull())
-    n = rt.count()
-    if n == 0:
-        return rt.agg(F.avg("v").alias("avg_response_time"),
-                      F.avg("v").alias("median_response_time"),
-                      F.avg("v").alias("p95_response_time"),
-                      F.count(F.lit(1)).alias("slow_requests")).limit(0)
-    median = Q.median_expr("v", n, cfg)
-    if n >= 20:
-        p95 = Q.exclusive_quantile_expr("v", n, 19, 20, cfg)
-    else:
-        p95 = F.max("v")
-    return rt.agg(
-        F.avg("v").alias("avg_response_time"),
-        median.alias("median_response_time"),
-        p95.alias("p95_response_time"),
-        F.count(F.when(F.col("v") > cfg.slow_request_ms, 1)).alias("slow_requests"),
+    n = F.col("n")
+    stats = Q.order_statistics(rt, "v", {**Q.median_ranks(n), **Q.exclusive_ranks(n, 19, 20)})
+    slow = rt.agg(F.count(F.when(F.col("v") > cfg.slow_request_ms, 1)).alias("slow_requests"))
+    return stats.crossJoin(F.broadcast(slow)).select(
+        F.col("average").alias("avg_response_time"),
+        ((F.col("lower") + F.col("upper")) / 2.0).alias("median_response_time"),
+        F.when(n >= 20, Q.exclusive_quantile(n, 19, 20)).otherwise(F.col("max")).alias("p95_response_time"),
+        "slow_requests",
     )

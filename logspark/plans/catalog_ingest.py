@@ -111,7 +111,7 @@ FROM (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS mess
       FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents))
 WHERE message <> ''""", logs=False))
 def _text_lines_ingest(spark, d):
-    return IG.text_lines(read_table(spark, d, "documents", spread_rows=True))
+    return IG.text_lines(read_table(spark, d, "documents"))
 
 
 # ------------------------------------------------------------- access -------
@@ -154,7 +154,7 @@ def _access_suspicious(spark, d):
 
 @register("rate_limit_decisions", S.with_views(
     """SELECT http_remote_addr, time_bucket(INTERVAL '1 day', log_ts) AS window_start, count(*) AS requests,
- LEAST(count(*), 50) AS allowed, LEAST(GREATEST(count(*) - 50, 0), 50) AS high_rate,
+ LEAST(count(*), 50) AS ok, LEAST(GREATEST(count(*) - 50, 0), 50) AS high_rate,
  GREATEST(count(*) - 100, 0) AS rejected FROM access GROUP BY 1, 2""", logs=False, access=True))
 def _rate_limit_decisions(spark, d):
     return AC.rate_limit_decisions(load_access(spark, d), "1 day")
@@ -232,7 +232,6 @@ def _db_slow_ops(spark, d):
   request_id || '"}' AS merged_fields FROM ent""", logs=False, access=True, extra=_ENTRY))
 def _merged_fields(spark, d):
     """Request fields overridden by context fields (context wins)."""
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     p = AP.parse_json(AP.render_json(_entries(spark, d)))
     ctx = F.create_map(F.lit("request_id"), F.col("request_id"), F.lit("http_path"), F.lit("redacted"))
     m = AP.merged_fields(p.withColumn("extra", ctx))

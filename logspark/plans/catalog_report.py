@@ -128,7 +128,7 @@ def _report_history(spark, d):
 # ------------------------------------------------------------ streaming -----
 def _events_stream(spark, d):
     schema = TB.read_table(spark, d, "events").schema
-    return ST.read_stream(spark, d, schema, glob="events.parquet")
+    return ST.read_table_stream(spark, os.path.join(d, "events.parquet"), schema)
 
 
 @register("stream_ingest", S.with_views("SELECT * FROM acc", logs=False, raw=True, extra=_ROUTED))
@@ -154,7 +154,7 @@ def _stream_window_counts(spark, d):
 
 
 @register("stream_rate_limit", S.with_views(
-    f"""SELECT http_remote_addr, window_start, count(*) AS requests, LEAST(count(*), 50) AS allowed,
+    f"""SELECT http_remote_addr, window_start, count(*) AS requests, LEAST(count(*), 50) AS ok,
  LEAST(GREATEST(count(*) - 50, 0), 50) AS high_rate, GREATEST(count(*) - 100, 0) AS rejected
 FROM (SELECT *, time_bucket(INTERVAL '1 day', log_ts) AS window_start FROM access)
 GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(log_ts) FROM access) - INTERVAL 1 HOUR""",

@@ -1,7 +1,8 @@
 """Sinks: the log table, the quarantine table, alerts and report export.
 
-Writes are idempotent per unit of work (a date partition, a batch id or a
-report time) so a retried task or job replaces its earlier output.
+Tables are appended to.  A caller that may run twice passes
+``mode="overwrite"`` with a path of its own unit of work (the streaming jobs
+write one ``batch_id=`` folder each), so that a retry replaces its output.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import functions as F
 def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append logs to a Parquet table partitioned by day (``created_at`` is
     stamped here, like the store's column default).  Day partitions let
-    time-range reads prune files; rows are clustered by day before writing
-    so each task writes few files."""
+    time-range reads prune files.  Rows are clustered by day and hour before
+    writing, so a day that holds most rows is written by many tasks and a
+    task still writes few files."""
     out = df.withColumn("created_at", F.coalesce(
         F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp_ntz"),
         F.current_timestamp().cast("timestamp_ntz")))
     out = out.withColumn("date", F.to_date("log_ts"))
-    (out.repartition("date").write.mode(mode).partitionBy("date").parquet(path))
+    (out.repartition("date", F.hour("log_ts")).write.mode(mode).partitionBy("date").parquet(path))
 
 
 def write_rejects(rejects: DataFrame, path: str, mode: str = "append") -> None:

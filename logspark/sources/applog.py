@@ -84,4 +84,7 @@ def parse_json(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 def merged_fields(entries: DataFrame, extra_col: str = "extra") -> DataFrame:
     """Logger fields overridden by per-call fields (later keys win)."""
-    return entries.select("*", F.map_concat(F.col("fields"), F.col(extra_col)).alias("merged_fields"))
+    fields, extra = F.col("fields"), F.col(extra_col)
+    own = F.transform_values(fields, lambda k, v: F.when(F.map_contains_key(extra, k), extra[k]).otherwise(v))
+    new = F.map_filter(extra, lambda k, _: ~F.map_contains_key(fields, k))
+    return entries.select("*", F.map_concat(own, new).alias("merged_fields"))

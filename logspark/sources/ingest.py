@@ -34,7 +34,7 @@ INVALID_LEVEL = "invalid log level"
 STORE_FAILED = "Failed to store log entry"
 HANDLER_FAILED = "Internal server error"
 
-RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 DEFAULT_INGEST_TS = "2024-02-01 00:00:00"
 
 

@@ -9,51 +9,16 @@ them with :func:`read_logs` instead.
 from __future__ import annotations
 
 import os
-import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import LOG_SCHEMA
 
 
-_TABLE_CACHE: dict = {}
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Re-lay out ``df`` over the cluster's cores when its scan yields fewer
-    splits than that (one unsplittable file or row group, e.g. a gzip'd log
-    or a single-row-group Parquet file).
-
-    A plain ``repartition`` is not enough: Catalyst pushes filters below it,
-    so the regex-heavy predicates would still run in the one scan task.  The
-    rows are therefore written once, round-robin, as a Parquet table in the
-    shared checkpoint folder (``spark.checkpoint.dir``) and read back; later
-    scans get one split per core with pruning and pushdown intact.  A large
-    table already has many splits, so at scale this returns ``df`` untouched.
-    """
-    from ..config import checkpoint_dir
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    path = os.path.join(checkpoint_dir(spark), "logspark", "spread", uuid.uuid4().hex)
-    df.repartition(target).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    """A stored table.  The DataFrame (a lazy plan; no data is cached) is
-    reused per session and path so repeated queries skip file listing and
-    footer reads."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (id(spark), path, spread_rows)
-    df = _TABLE_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        if spread_rows:
-            df = spread(df)
-        _TABLE_CACHE[key] = df
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table, listed anew on every call: rows appended since are read."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -63,19 +28,37 @@ def read_logs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return spark.read.format(fmt).load(path)
 
 
-def read_jdbc_logs(spark: SparkSession, url: str, table: str = "logs", user: str | None = None,
-                   password: str | None = None, num_partitions: int = 64,
-                   lower_id: int = 0, upper_id: int = 1 << 40) -> DataFrame:
-    """The original service's Postgres table, read in id ranges in parallel."""
-    r = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
-         .option("partitionColumn", "id").option("lowerBound", lower_id)
-         .option("upperBound", upper_id).option("numPartitions", num_partitions)
-         .option("fetchsize", 10_000))
-    if user:
-        r = r.option("user", user)
-    if password:
-        r = r.option("password", password)
-    return r.load().withColumnRenamed("timestamp", "log_ts")
+@dataclass(frozen=True)
+class JdbcSource:
+    """Where the original service's Postgres table is."""
+    url: str
+    table: str = "logs"
+    user: str | None = None
+    password: str | None = None
+    driver: str = "org.postgresql.Driver"
+    num_partitions: int = 64
+    fetch_size: int = 10_000
+
+    def options(self) -> dict[str, str]:
+        out = {"url": self.url, "driver": self.driver, "fetchsize": str(self.fetch_size)}
+        if self.user:
+            out |= {"user": self.user, "password": self.password or ""}
+        return out
+
+    def ranges(self, lower: int, upper: int) -> dict[str, str]:
+        """Options that cut ids ``lower`` to ``upper`` into ranges of equal length."""
+        return {"partitionColumn": "id", "lowerBound": str(lower), "upperBound": str(upper + 1),
+                "numPartitions": str(max(1, min(self.num_partitions, upper - lower + 1)))}
+
+
+def read_jdbc_logs(spark: SparkSession, source: JdbcSource) -> DataFrame:
+    """The stored table, read in id ranges in parallel; the bounds are the
+    table's own smallest and largest id, asked for first."""
+    ask = f"(SELECT min(id) AS lo, max(id) AS hi FROM {source.table}) AS bounds"
+    bounds = spark.read.format("jdbc").options(**source.options()).option("dbtable", ask).load().first()
+    lower, upper = (bounds["lo"], bounds["hi"]) if bounds and bounds["lo"] is not None else (0, 0)
+    return (spark.read.format("jdbc").options(**source.options(), **source.ranges(lower, upper))
+            .option("dbtable", source.table).load().withColumnRenamed("timestamp", "log_ts"))
 
 
 # fixed values: log sources assigned by user_id % 8 in the derived log view
@@ -154,25 +137,13 @@ def access_from_events(events: DataFrame) -> DataFrame:
     return events.selectExpr(*ACCESS_EXPRS)
 
 
-_VIEW_CACHE: dict = {}
-
-
-def _view(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
-    key = (id(spark), sf_dir, name)
-    df = _VIEW_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spread(derive(read_table(spark, sf_dir, "events")))
-        _VIEW_CACHE[key] = df
-    return df
-
-
 def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "logs", logs_from_events)
+    return logs_from_events(read_table(spark, sf_dir, "events"))
 
 
 def load_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "raw_events", raw_events_from_events)
+    return raw_events_from_events(read_table(spark, sf_dir, "events"))
 
 
 def load_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, "access", access_from_events)
+    return access_from_events(read_table(spark, sf_dir, "events"))

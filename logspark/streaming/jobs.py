@@ -38,6 +38,18 @@ def read_stream(spark: SparkSession, directory: str, schema, glob: str | None =
     return r.parquet(directory)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """A stored Parquet table as a stream: a folder of part files, with files
+    that come later, or one file (a stream reads folders, so its own folder
+    is read with the other files left out)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hadoop).isDirectory():
+        return read_stream(spark, path, schema, max_files=max_files)
+    folder, _, name = path.rpartition("/")
+    return read_stream(spark, folder, schema, glob=name, max_files=max_files)
+
+
 def _trigger(writer, available_now: bool, interval: str | None):
     if available_now:
         return writer.trigger(availableNow=True)
@@ -89,7 +101,7 @@ def rate_limit_stream(access: DataFrame, out_dir: str, checkpoint: str, window:
     n = F.col("requests")
     out = agg.select(
         "http_remote_addr", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "requests",
-        F.least(n, F.lit(cfg.rate_notice)).alias("allowed"),
+        F.least(n, F.lit(cfg.rate_notice)).alias("ok"),
         F.least(F.greatest(n - cfg.rate_notice, F.lit(0)), F.lit(cfg.rate_limit - cfg.rate_notice)).alias("high_rate"),
         F.greatest(n - cfg.rate_limit, F.lit(0)).alias("rejected"))
     w = (out.writeStream.outputMode("append").format("parquet").option("path", out_dir)

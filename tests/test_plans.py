@@ -70,9 +70,9 @@ def test_top_k_per_group_is_limited_before_shuffle(spark):
 
 def test_watermark_dedup(spark):
     from logspark.sources.tables import read_table, logs_from_events
-    from logspark.streaming.jobs import dedup_stream, read_stream
+    from logspark.streaming.jobs import dedup_stream, read_table_stream
     schema = read_table(spark, SF, "events").schema
-    s = read_stream(spark, SF, schema, glob="events.parquet")
+    s = read_table_stream(spark, f"{SF}/events.parquet", schema)
     logs = logs_from_events(s)
     doubled = logs.unionByName(logs)                    # every event delivered twice
     out = os.path.join(checkpoint_dir(spark), "t", uuid.uuid4().hex)
@@ -81,13 +81,3 @@ def test_watermark_dedup(spark):
     q.awaitTermination()
     got = spark.read.parquet(f"{out}/data")
     assert got.count() == load_logs(spark, SF).count()
-
-
-def test_spread_is_noop_for_well_split_inputs(spark, log_table):
-    from logspark.sources.tables import spread
-    many = spark.read.parquet(log_table).repartition(16)
-    assert spread(many, min_partitions=8) is many          # enough splits: untouched, nothing written
-    one = spark.read.parquet(log_table).coalesce(1)
-    laid = spread(one, min_partitions=8)
-    assert laid is not one and laid.rdd.getNumPartitions() >= 2
-    assert laid.count() == one.count()

@@ -57,3 +57,23 @@ def test_monitor_with_processing_time_trigger(spark):
         q.stop()
     st = spark.read.parquet(f"{base}/out/status").collect()
     assert sum(r.total_logs for r in st) == TB.load_logs(spark, SF).count()
+
+
+def test_streams_and_stats_read_folder_tables_and_appended_rows(spark, tmp_path):
+    """A table of many part files, and one that grows between two calls."""
+    import duckdb
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    half = events.filter("event_id % 2 = 0")
+    half.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    q = E.queries()
+    before = q["table_stats"](spark, str(tmp_path)).collect()
+    events.filter("event_id % 2 = 1").repartition(3).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert q["table_stats"](spark, str(tmp_path)).collect() != before
+    assert q["table_stats"](spark, str(tmp_path)).collect() == q["table_stats"](spark, SF).collect()
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("stream_ingest", "stream_window_counts", "stream_rate_limit"):
+        got = q[name](spark, str(tmp_path)).count()
+        assert got == con.execute(f"SELECT count(*) FROM ({E.oracle_sql()[name]})").fetchone()[0] > 0, name
