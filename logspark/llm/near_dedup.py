@@ -231,24 +231,29 @@ def verified(candidates: DataFrame, rows: DataFrame, threshold: float) -> DataFr
 
 def across(members: DataFrame, threshold: float) -> DataFrame:
     """Candidates (a, b) between components inside buckets.  ``members``: (band,
-    row, component, signature, chunks); a bucket's documents are cut into
-    chunks and every two chunks meet in one block."""
+    row, component, signature, bands, chunks); a bucket's documents are cut
+    into chunks and every two chunks meet in one block.  A pair is looked at
+    in the first of the bands that it shares."""
     spark = members.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunk = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
     dealt = (members.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("band", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"),
-                     "chunk", "row", "component", "signature"))
+                     "row", "component", "signature", "bands"))
     least = threshold - SLACK
 
-    def pairs(block: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(band: int, block: list[tuple]) -> list[tuple[int, int]]:
         rows, comps = (np.array([r[i] for r in block], np.int64) for i in (0, 1))
         signs = np.frombuffer(b"".join(r[2] for r in block), np.uint8).reshape(len(block), -1)
+        own = np.array([r[3] for r in block], np.int64)
+        out = []
         for i in range(len(block) - 1):
             rest = np.flatnonzero(comps[i + 1:] != comps[i]) + i + 1
+            rest = rest[(signs[rest] == signs[i]).mean(1) >= least]
             if len(rest):
-                for j in rest[(signs[rest] == signs[i]).mean(1) >= least]:
-                    yield (rows[i], rows[j]) if rows[i] < rows[j] else (rows[j], rows[i])
+                first = own[i][(own[rest] == own[i]).argmax(1)]
+                out += [(int(rows[i]), int(rows[j])) for j in rest[first == band]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(found):
@@ -257,17 +262,18 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
 
         held, block = None, []
         for batch in batches:
-            found = []
-            for band, x, y, row, component, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held != (band, x, y):
-                    found += pairs(block) if len(block) > 1 else ()
-                    held, block = (band, x, y), []
-                block.append((row, component, signature))
-            yield batch_of(sorted(set(found)))
-        yield batch_of(sorted(set(pairs(block))) if len(block) > 1 else [])
+            for at in range(0, batch.num_rows, BLOCK):
+                for band, x, y, *member in zip(*(c.to_pylist() for c in batch.slice(at, BLOCK).columns), strict=True):
+                    if held != (band, x, y):
+                        if len(block) > 1:
+                            yield batch_of(pairs(held[0], block))
+                        held, block = (band, x, y), []
+                    block.append(member)
+        if len(block) > 1:
+            yield batch_of(pairs(held[0], block))
 
     return (dealt.repartition(parts, "band", "x", "y").sortWithinPartitions("band", "x", "y", "row")
-            .select("band", "x", "y", "row", "component", "signature").mapInArrow(run, "a long, b long").distinct())
+            .select("band", "x", "y", "row", "component", "signature", "bands").mapInArrow(run, "a long, b long").distinct())
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +289,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame,
     banded = signed.select("row", "bands").join(gone, "row", "left_anti").select("row", F.explode("bands").alias("band"))
     buckets = scratch.write(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = scratch.write(banded.join(buckets, "band").select("band", "row", "n"), "shared")
-    scratch.drop("signed", "buckets")
+    scratch.drop("buckets")
     scratch.free_shuffles()
     # A merge join at every size: what shares a bucket grows with the documents.
     texts = scratch.write(rows.join(shared.select("row").distinct().hint("merge"), "row"), "texts")
@@ -307,7 +313,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame,
     if members.limit(1).count():
         long = scratch.write(sign_long(texts.join(members.select("row").distinct(), "row")), "long")
         tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = scratch.write(across(members.join(long, "row"), threshold).join(tested, ["a", "b"], "left_anti"), "more")
+        more = scratch.write(across(members.join(long.join(signed.select("row", "bands"), "row"), "row"), threshold).join(tested, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
             links = links.unionByName(scratch.write(verified(more, texts, threshold), "more-links"))
             label = components(links, scratch, "components2")
@@ -316,7 +322,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame,
               .unionByName(label.join(copies.where("row = first").select("first"), "first", "left_anti")
                            .select(F.col("first").alias("row"), F.col("component").alias("class"))))
     out = scratch.write(merged, "classes")
-    scratch.drop("shared", "texts", "centres", "star", "links", "members", "long", "more", "more-links", "copies")
+    scratch.drop("signed", "shared", "texts", "centres", "star", "links", "members", "long", "more", "more-links", "copies")
     scratch.free_shuffles()
     return docs, out
 
