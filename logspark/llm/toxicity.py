@@ -257,7 +257,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
-    sample = scratch.write(learning_sample(docs, labels).repartition(8, F.xxhash64("text")), "sample")
+    sample = scratch.write(learning_sample(docs, labels).repartition(32, F.xxhash64("text")), "sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
