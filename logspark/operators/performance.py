@@ -22,7 +22,8 @@ def response_times(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def response_time_distribution(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """average, min, max and nearest-rank p50/p95/p99 (element int(q*n))."""
     n = F.col("n")
-    return Q.order_statistics(response_times(df, cfg), "response_time", {
+    timed = normalize_logs(df).select(X.response_time("message", cfg.unit_mode).alias("response_time"))
+    return Q.order_statistics(timed, "response_time", {
         "p50": F.floor(n / 2), "p95": Q.nearest_rank(n, 0.95), "p99": Q.nearest_rank(n, 0.99),
     }).select("average", "min", "max", "p50", "p95", "p99")
 

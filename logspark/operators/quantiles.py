@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 STEPS = 1024
 
 
-def order_statistics(values: DataFrame, col: str, ranks: Mapping[str, Column]) -> DataFrame:
+def order_statistics(values: DataFrame, col: str, ranks: Mapping[str, Column],
+                     more: Mapping[str, Column] | None = None) -> DataFrame:
     """One row: n, average, min, max, and for each name the element with that
-    0-based rank of the sorted values; ranks are expressions of ``n``.  No
-    row without values."""
-    counts = (values.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")))
+    0-based rank of the sorted values; ranks are expressions of ``n``.
+    ``more``: further aggregates over (v, c), a value and how often it stands.
+    No row without values; nulls are not values."""
+    # Nulls are left out by their count: a filter on the value itself would be
+    # pushed below and evaluate the value's expression a second time per row.
+    counts = values.groupBy(F.col(col).alias("v")).agg(F.count(col).alias("c")).filter(F.col("c") > 0)
     totals = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("average"),
-                        F.min("v").alias("min"), F.max("v").alias("max")).filter(F.col("n") > 0)
+                        F.min("v").alias("min"), F.max("v").alias("max"),
+                        *[c.alias(name) for name, c in (more or {}).items()]).filter(F.col("n") > 0)
     width = F.col("max") - F.col("min")
     step = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("min")) / width * STEPS), F.lit(STEPS - 1))).otherwise(0)
     cells = counts.crossJoin(F.broadcast(totals)).select("v", "c", step.alias("step"))

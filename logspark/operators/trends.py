@@ -72,11 +72,11 @@ def source_patterns(df: DataFrame) -> DataFrame:
 def performance_indicators(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Mean, median, p95 (exclusive 20-quantile when n >= 20, else max) and
     count above 1 s of the response times found in messages."""
-    rt = _e(df, cfg, ("response_time",)).select(F.col("response_time").alias("v")).filter(F.col("v").isNotNull())
+    rt = _e(df, cfg, ("response_time",)).select(F.col("response_time").alias("v"))
     n = F.col("n")
-    stats = Q.order_statistics(rt, "v", {**Q.median_ranks(n), **Q.exclusive_ranks(n, 19, 20)})
-    slow = rt.agg(F.count(F.when(F.col("v") > cfg.slow_request_ms, 1)).alias("slow_requests"))
-    return stats.crossJoin(F.broadcast(slow)).select(
+    slow = F.coalesce(F.sum(F.when(F.col("v") > cfg.slow_request_ms, F.col("c"))), F.lit(0))
+    stats = Q.order_statistics(rt, "v", {**Q.median_ranks(n), **Q.exclusive_ranks(n, 19, 20)}, {"slow_requests": slow})
+    return stats.select(
         F.col("average").alias("avg_response_time"),
         ((F.col("lower") + F.col("upper")) / 2.0).alias("median_response_time"),
         F.when(n >= 20, Q.exclusive_quantile(n, 19, 20)).otherwise(F.col("max")).alias("p95_response_time"),
