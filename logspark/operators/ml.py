@@ -90,16 +90,29 @@ def ml_features(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return features_by(df, (), cfg)
 
 
-def message_entropy(df: DataFrame) -> DataFrame:
-    return ml_features(df).select("message_entropy")
+def message_entropy(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """The entropy feature alone: one count per signature."""
+    counts = enrich(df, cfg, ("signature",)).groupBy("signature").agg(F.count(F.lit(1)).alias("c"))
+    entropy = F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")
+    return (counts.agg(F.sum("c").alias("n"), entropy.alias("h")).filter(F.col("n") > 0)
+            .select(F.greatest(F.col("h"), F.lit(0.0)).alias("message_entropy")))
+
+
+def _variance_alone(df: DataFrame, fmt: str, name: str) -> DataFrame:
+    counts = df.groupBy(F.date_format("log_ts", fmt).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    timed = F.when(F.col("b").isNotNull(), F.col("c"))
+    return (counts.agg(F.sum("c").alias("n"), F.count(timed).alias("k"), F.var_pop(timed).alias("v"))
+            .filter(F.col("n") > 0).select(F.when(F.col("k") > 1, F.col("v")).otherwise(F.lit(0.0)).alias(name)))
 
 
 def temporal_variance(df: DataFrame) -> DataFrame:
-    return ml_features(df).select("temporal_variance")
+    """The variance of the counts per hour of day alone."""
+    return _variance_alone(df, "HH", "temporal_variance")
 
 
 def volume_variance(df: DataFrame) -> DataFrame:
-    return ml_features(df).select("volume_variance")
+    """The variance of the counts per minute of day alone."""
+    return _variance_alone(df, "HH:mm", "volume_variance")
 
 
 def _stack(feat: DataFrame, keys=()) -> DataFrame:

@@ -54,8 +54,8 @@ def cluster_samples(df: DataFrame, top: int = 10, k: int = 3) -> DataFrame:
     e = _e(df, "cluster")
     tops = message_clusters(e, top).select("cluster")          # at most ``top`` rows
     w = Window.partitionBy("cluster").orderBy("id")
-    firsts = (e.select("cluster", "id", "message")
+    # only the messages of the chosen clusters are ranked
+    firsts = (e.select("cluster", "id", "message").join(F.broadcast(tops), "cluster")
               .withColumn("sample_rank", F.row_number().over(w))
               .filter(F.col("sample_rank") <= k))
-    return firsts.join(F.broadcast(tops), "cluster").select(
-        "cluster", F.col("sample_rank").cast("bigint").alias("sample_rank"), "id", "message")
+    return firsts.select("cluster", F.col("sample_rank").cast("bigint").alias("sample_rank"), "id", "message")
