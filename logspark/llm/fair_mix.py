@@ -26,7 +26,7 @@ from .words import PLAIN_SQL
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 BUCKETS = 4096                 # per level of the search for the cut
 SEED = "mix:"
 
