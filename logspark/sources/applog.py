@@ -10,7 +10,7 @@ readers are single-pass column expressions (``regexp_extract`` /
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
@@ -88,3 +88,99 @@ def merged_fields(entries: DataFrame, extra_col: str = "extra") -> DataFrame:
     own = F.transform_values(fields, lambda k, v: F.when(F.map_contains_key(extra, k), extra[k]).otherwise(v))
     new = F.map_filter(extra, lambda k, _: ~F.map_contains_key(fields, k))
     return entries.select("*", F.map_concat(own, new).alias("merged_fields"))
+
+
+# fixed values: how the service's logger words its records
+DATABASE_OPERATION = "Database operation: %s"
+SLOW_DATABASE_OPERATION = "Slow database operation detected"
+BUSINESS_EVENT = "Business event: %s"
+PERFORMANCE = "Performance: %s"
+SLOW_DATABASE_MS = 100
+
+
+def service_records(acc: DataFrame) -> DataFrame:
+    """The records that the service logs while it handles requests, one row
+    each, with trace, user and string fields: the span of every request, the
+    database insert of every second one (a warning when it was slow) and a
+    business event for every fifth.  A fixture view of the access rows."""
+    text = lambda c: F.col(c).cast("string")
+    insert_ms = F.col("duration_ms") % 200
+    operation = F.concat_ws(" ", "http_method", "http_path")
+    event = F.when(F.col("id") % 10 == 0, "alert_raised").otherwise("log_ingested")
+
+    def record(when, level, message, **fields):
+        pairs = [x for k, v in fields.items() for x in (F.lit(k), v)]
+        return F.when(when, F.struct(level.alias("level"), message.alias("message"), F.create_map(*pairs).alias("fields")))
+
+    records = F.array(
+        record(F.lit(True), F.lit("INFO"), F.format_string(PERFORMANCE, operation), operation=operation,
+               duration_ms=text("duration_ms"),
+               status=F.when(F.col("http_status_code") >= 400, "error").otherwise("success")),
+        record(F.col("id") % 2 == 0, F.when(insert_ms > SLOW_DATABASE_MS, "WARN").otherwise("DEBUG"),
+               F.when(insert_ms > SLOW_DATABASE_MS, SLOW_DATABASE_OPERATION).otherwise(
+                   F.format_string(DATABASE_OPERATION, F.lit("INSERT"))),
+               operation=F.lit("INSERT"), table=F.lit("logs"), duration_ms=insert_ms.cast("string")),
+        record(F.col("id") % 5 == 0, F.lit("INFO"), F.format_string(BUSINESS_EVENT, event), business_event=event,
+               entity_id=F.concat(F.lit("log-"), text("id"))))
+    return acc.select(
+        "id", F.date_format("log_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(SERVICE).alias("service"),
+        F.lit("worker").alias("component"), F.concat(F.lit("trace-"), text("id")).alias("trace_id"),
+        F.concat(F.lit("req-"), text("id")).alias("request_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("user-"), (F.col("id") % 7).cast("string"))).alias("user_id"),
+        F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("*", "r.*").drop("r")
+
+
+def render_record_json(records: DataFrame) -> DataFrame:
+    """One JSON line per record; absent trace, request or user are left out."""
+    names = ("timestamp", "level", "message", "service", "component", "trace_id", "request_id", "user_id", "fields")
+    return records.select(F.to_json(F.struct(*names)).alias("line"))
+
+
+def render_record_text(records: DataFrame) -> DataFrame:
+    """One text line per record, tags only where there is something to tag."""
+    ts = F.regexp_replace(F.regexp_replace("timestamp", "T", " "), "Z$", "")
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f" [{name}="), F.col(c), F.lit("]")), F.lit(""))
+    return records.select(F.concat(
+        F.lit("["), ts, F.lit("] "), "level", F.lit(" ["), "service", F.lit("/"), "component", F.lit("] store.go:48 StoreLog - "),
+        "message", tag("trace", "trace_id"), tag("request", "request_id"), tag("user", "user_id"),
+        F.lit(" fields="), F.to_json("fields")).alias("line"))
+
+
+def read_text_log(spark: SparkSession, path: str) -> DataFrame:
+    """Service-log files in the text layout."""
+    return parse_text(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+def read_json_log(spark: SparkSession, path: str) -> DataFrame:
+    """Service-log files with one JSON object per line."""
+    return parse_json(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+def _field(name: str):
+    return F.element_at("fields", name)
+
+
+def span_durations(entries: DataFrame) -> DataFrame:
+    """Per operation and outcome of the performance records: count, mean and
+    longest duration."""
+    spans = entries.filter(F.col("message").startswith(PERFORMANCE % ""))
+    ms = _field("duration_ms").try_cast("double")
+    return spans.groupBy(_field("operation").alias("operation"), _field("status").alias("status")).agg(
+        F.count(F.lit(1)).alias("count"), F.avg(ms).alias("avg_duration_ms"), F.max(ms).alias("max_duration_ms"))
+
+
+def database_operations(entries: DataFrame) -> DataFrame:
+    """Per operation and table of the database records: count, slow ones, mean
+    duration."""
+    ms = _field("duration_ms").try_cast("double")
+    return entries.filter(_field("table").isNotNull()).groupBy(
+        _field("operation").alias("operation"), _field("table").alias("table_name")).agg(
+        F.count(F.lit(1)).alias("count"), F.count(F.when(ms > SLOW_DATABASE_MS, 1)).alias("slow"),
+        F.avg(ms).alias("avg_duration_ms"))
+
+
+def business_events(entries: DataFrame) -> DataFrame:
+    """Counts of the business-event records and of the entities they name."""
+    event = _field("business_event")
+    return entries.filter(event.isNotNull()).groupBy(event.alias("business_event")).agg(
+        F.count(F.lit(1)).alias("count"), F.countDistinct(_field("entity_id")).alias("entities"))
