@@ -9,9 +9,10 @@ from ..sources import applog as AP
 from ..sources import ingest as IG
 from ..sources.tables import load_access, load_raw_events, read_table
 from . import sqlbits as S
+from .oracle_values import PATH_SAFE, RFC3339
 from .catalog import R, register
 
-_RFC = IG.RFC3339
+_RFC = RFC3339
 _NOW = f"TIMESTAMP '{IG.DEFAULT_INGEST_TS}'"
 
 
@@ -139,7 +140,7 @@ def _access_non_health(spark, d):
     return AC.access_non_health(load_access(spark, d))
 
 
-_SAFE = AC.PATH_SAFE[1:-1]
+_SAFE = PATH_SAFE
 
 
 @register("access_suspicious", S.with_views(

@@ -9,9 +9,9 @@ from ..operators import patterns as PT
 from ..operators import performance as PF
 from ..operators import reliability as RL
 from ..operators import security as SC
-from ..operators.security import SECURITY_RULES
 from . import sqlbits as S
 from .catalog import MAX_TS, R, _elogs, _logs, register
+from .oracle_values import SECURITY_RULES
 
 # ------------------------------------------------------------- patterns -----
 

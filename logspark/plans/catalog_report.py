@@ -15,6 +15,7 @@ from . import report as RP
 from . import sqlbits as S
 from .catalog import MAX_TS, ORACLE as _ORACLE, R, _logs, register
 from .catalog_ingest import _ROUTED
+from .oracle_values import SECURITY_RULES
 
 _RT = f"{S.response_time('message')}"
 _HIGH = f"""high_anoms AS (
@@ -46,8 +47,7 @@ def _recommendations(spark, d):
     return RP.recommendations(_logs(spark, d))
 
 
-_SEC = ", ".join(f"({S.q(p)})" for t in ("suspicious", "injection") for p in __import__(
-    "logspark.operators.security", fromlist=["SECURITY_RULES"]).SECURITY_RULES[t])
+_SEC = ", ".join(f"({S.q(p)})" for t in ("suspicious", "injection") for p in SECURITY_RULES[t])
 
 
 @register("alerts", S.with_views(
@@ -61,8 +61,7 @@ _SEC = ", ".join(f"({S.q(p)})" for t in ("suspicious", "injection") for p in __i
  SELECT 'security_threats', printf({S.q(RP.ALERT_THREATS)}, n), n * 1.0, 0.0 FROM (
    SELECT count(*) AS n FROM (SELECT DISTINCT l.id, p.t FROM logs l JOIN (VALUES {_SEC}) AS s(phrase)
      ON contains(lower(l.message), s.phrase) JOIN (VALUES
-     {", ".join(f"({S.q(p)}, {S.q(t)})" for t in ("suspicious", "injection") for p in __import__(
-        "logspark.operators.security", fromlist=["SECURITY_RULES"]).SECURITY_RULES[t])}) AS p(phrase, t)
+     {", ".join(f"({S.q(p)}, {S.q(t)})" for t in ("suspicious", "injection") for p in SECURITY_RULES[t])}) AS p(phrase, t)
      ON p.phrase = s.phrase)) WHERE n > 0
  UNION ALL
  SELECT 'slow_operations', printf({S.q(RP.ALERT_SLOW)}, n), n * 1.0, 10.0 FROM slow WHERE n > 10)""",

@@ -6,8 +6,8 @@ so agreement with the Spark plan is a real check, not a tautology.
 
 from __future__ import annotations
 
-from ..functions.text import (ERROR_PATTERN_RULES, RESPONSE_TIME_PATTERNS, SIGNATURE_RULES,
-                              SIGNATURE_STOP_WORDS, TERM_STOP_WORDS)
+from .oracle_values import (ERROR_PATTERN_RULES, RESPONSE_TIME_PATTERNS, SIGNATURE_RULES, SIGNATURE_STOP_WORDS,
+                            TERM_STOP_WORDS)
 
 # The three views of the test fixtures, derived from ``events``.
 LOGS_SQL = """SELECT event_id AS id, ts AS log_ts,

@@ -83,3 +83,37 @@ def test_service_log_readers_tolerate_malformed_lines(spark):
                                "id bigint, line string")
     j = {r.id: r for r in AP.parse_json(js).collect()}
     assert j[1].message == "m" and j[1]._corrupt is None and j[2]._corrupt == "{broken"
+
+
+def test_lower_case_time_letters_are_rejected(spark):
+    from logspark.sources import ingest as IG
+    rows = [(1, '{"message":"m","level":"info","timestamp":"2024-01-15T10:30:00Z"}'),
+            (2, '{"message":"m","level":"info","timestamp":"2024-01-15t10:30:00Z"}'),
+            (3, '{"message":"m","level":"info","timestamp":"2024-01-15T10:30:00z"}')]
+    out = IG.route_payloads(spark.createDataFrame(rows, "id bigint, payload string")).collect()
+    assert {r.id: r.reason for r in out} == {1: None, 2: IG.INVALID_STRUCTURED, 3: IG.INVALID_STRUCTURED}
+
+
+def test_jdbc_ranges_follow_the_ids_of_the_table():
+    from logspark.sources.tables import JdbcSource
+    source = JdbcSource("jdbc:postgresql://db/logs", user="u", password="p", num_partitions=8)
+    assert source.ranges(100, 899) == {"partitionColumn": "id", "lowerBound": "100", "upperBound": "900", "numPartitions": "8"}
+    assert source.ranges(5, 6)["numPartitions"] == "2" and source.ranges(0, 0)["numPartitions"] == "1"
+    assert source.options()["user"] == "u" and "user" not in JdbcSource("jdbc:postgresql://db/logs").options()
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    import os
+
+    from logspark.sinks.writers import write_logs
+    logs = spark.range(5000).selectExpr(
+        "id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id * 17 AS int)) AS log_ts",
+        "'info' AS level", "'m' AS message", "'s' AS source")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_logs(logs, f"{tmp_path}/logs")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    day = [f for f in os.listdir(f"{tmp_path}/logs/date=2024-01-01") if f.endswith(".parquet")]
+    assert len(day) >= 3 and spark.read.parquet(f"{tmp_path}/logs").count() == 5000
