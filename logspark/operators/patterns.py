@@ -38,6 +38,15 @@ def error_signatures(df: DataFrame) -> DataFrame:
             .filter(F.col("count") > 1))
 
 
+def error_signature_sources(df: DataFrame) -> DataFrame:
+    """The sources of each error/fatal pattern seen more than once, one row
+    each with their count: the list of :func:`error_signatures` as rows."""
+    e = _e(df, "is_narrow_error", "pattern").filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
+    per = e.groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("count"))
+    seen = per.groupBy("pattern").agg(F.sum("count").alias("seen")).filter(F.col("seen") > 1)
+    return per.join(seen.select("pattern"), "pattern").select("pattern", "source", "count")
+
+
 def message_signature_counts(df: DataFrame) -> DataFrame:
     return (_e(df, "signature").groupBy("signature").agg(F.count(F.lit(1)).alias("count")))
 

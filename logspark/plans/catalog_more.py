@@ -31,6 +31,14 @@ def _error_signatures(spark, d):
     return PT.error_signatures(_logs(spark, d))
 
 
+@register("error_signature_sources", S.with_views(
+    """SELECT pattern, source, count(*) AS count FROM elogs WHERE is_narrow_error AND pattern <> ''
+ AND pattern IN (SELECT pattern FROM elogs WHERE is_narrow_error GROUP BY pattern HAVING count(*) > 1)
+GROUP BY pattern, source""", enriched=True))
+def _error_signature_sources(spark, d):
+    return PT.error_signature_sources(_logs(spark, d))
+
+
 @register("message_signature_counts", S.with_views(
     "SELECT signature, count(*) AS count FROM elogs GROUP BY signature", enriched=True))
 def _message_signature_counts(spark, d):
