@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
                        r"| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 LIMIT = 1024
-CACHE = 400_000                                           # pieces, and pairs, that a Python worker remembers
+CACHE = 1_000_000                                          # pieces, and pairs, that a Python worker remembers
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long"
 
 
