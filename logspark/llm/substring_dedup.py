@@ -41,7 +41,7 @@ from .words import flat_words, mix, plain_words, powers, sequence_hash, text_sli
 WINDOW = 20
 GRAM = 8
 SEGMENT_WINDOWS = 64
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 HOT_SEGMENTS = 20_000
 RUNS = "runs array<struct<at:int,n:int,doc:long,place:int>>"
 RUN = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc", pa.int64()), ("place", pa.int32())]))
