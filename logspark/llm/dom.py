@@ -6,10 +6,14 @@ import html
 import re
 from math import log1p
 
-RAW = "script|style|noscript|template|svg|title|textarea|iframe|select|math|object|canvas"
+RAW = "script|style|noscript|title|textarea|iframe"       # text up to their end tag, or to the page's end without one
+DROPPED = frozenset(("svg", "select", "template"))         # never text where closed, else ordinary tags
+REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+DROPPED_START = re.compile(r"<(?:svg|select|template)[\s/>]", re.I)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|</(?P<end>[a-z][^\s/>]*)[^>]*>|<(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:title|style)(?=[\s/>]){REST}(?<=/)>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>]){REST}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|</(?P<end>[a-z][^\s/>]*)[^>]*>|<(?P<tag>[a-z][^\s/>]*)(?P<rest>{REST})>"
     r"|<(?P<odd>[a-z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -79,6 +83,34 @@ class Node:
             parent.children.append(self)
 
 
+def dropped_parts(source: str) -> dict[int, int]:
+    """Where each closed svg, select and template begins, and where it ends.
+
+    An end tag belongs to the last open tag of its name.  A block tag ends an
+    svg (but not within its foreignObject): it was never closed."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    count = dict.fromkeys((*DROPPED, "foreignobject"), 0)
+    for token in TOKEN.finditer(source):
+        name = (token["tag"] or token["odd"] or token["end"] or "").lower()
+        if name in count:
+            if not token["end"]:
+                if name in ("select", "template") or not (token["rest"] or "").endswith("/"):
+                    opened.append((name, token.start()))
+                    count[name] += 1
+            elif count[name]:
+                last = None
+                while last != name:
+                    last, start = opened.pop()
+                    count[last] -= 1
+                ends[start] = token.end()
+        elif name in BLOCKS and name != "option":
+            while opened and opened[-1][0] == "svg":
+                opened.pop()
+                count["svg"] -= 1
+    return ends
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """All block nodes (parents first) and the texts of the page in order, each
     with the node that holds it directly; text that no block begins or ends
@@ -86,6 +118,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("html", 0, None)
     nodes, pieces, current, at, in_link = [root], [], root, 0, False
     buffer: list[str] = []
+    ends = dropped_parts(source) if DROPPED_START.search(source) else {}
 
     def flush():
         if buffer:
@@ -98,6 +131,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
 
     for token in TOKEN.finditer(source):
         start = token.start()
+        if start < at:                                    # inside a dropped part
+            continue
         if start > at:
             text = source[at:start]
             buffer.append(text)
@@ -123,7 +158,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 buffer.append(" ")
             continue
         if tag == "raw":
-            if token["raw"].lower() in ("textarea", "select"):
+            if token["raw"].lower() == "textarea":
                 current.controls += 1
             continue
         name = (token["tag"] or token["odd"]).lower()
@@ -154,8 +189,10 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             in_link = True
         elif name in BREAKS:
             buffer.append(" ")
-        elif name == "input":
+        elif name in ("input", "select"):
             current.controls += 1
+        if name in DROPPED:
+            at = ends.get(start, at)
     if at < len(source):
         buffer.append(source[at:])
     flush()

@@ -89,6 +89,29 @@ def test_markup_errors_and_references():
     assert parse("")[1] == [] and parse("<div")[1] and parse("1 < 2 <p>x")[1][0][1] == "1 < 2"
 
 
+@pytest.mark.parametrize("source, texts", [
+    ("<p>a<svg-icon name=x></svg-icon> b</p><title-bar>c</title-bar><object-card>d</object-card><p>e", ["a b", "cd", "e"]),
+    ("<p>a <svg width=1 /> b</p><p>c <math/> d", ["a b", "c d"]),
+    ("<p>a <svg><title/><text>no</text></svg> b</p><p>c", ["a b", "c"]),
+    ("<p>a <svg><g><svg>no</svg>no</g></svg> b", ["a b"]),
+    ("<p>a <svg><path d=''> b</p><p>c <svg>no</svg> d", ["a b", "c d"]),
+    ("<p>a <svg><foreignObject><div>no</div></foreignObject></svg> b", ["a b"]),
+    ("<p>a <!-- <svg> --> b <svg><!-- <svg> --></svg> c", ["a b c"]),
+    ("<p>a</p><select><option>b</p><p>c</p><select><option>no</select><p>d", ["a", "b", "c", "d"]),
+    ("<p>a</p><template><p>no</p><template>no</template><p>no</template><template>b<p>c", ["a", "b", "c"]),
+    ("<p>a <math><mi>x</mi></math> b <object data=y>c</object> d <canvas>e</canvas> f", ["a x b c d e f"]),
+    ("<p>a <object data=y> b</p><p>c <canvas> d</p><p>e <math> f", ["a b", "c d", "e f"]),
+    ("<title>no</title x><p>a</p><script>no</scripts></script><p>b</p><style>no<p>no", ["a", "b"]),
+])
+def test_only_closed_parts_and_raw_text_are_dropped(source, texts):
+    assert [t for _, t in parse(source)[1]] == texts
+
+
+def test_many_unclosed_parts_take_linear_time():
+    source = "<svg><select>x</template>" * 20_000
+    assert sum(len(t) for _, t in parse(source)[1]) == 20_000
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "no markup at all"), (None, "u", "<p>"), (5, "u", "<div>" * 3000 + "deep"),
             (6, "u", "<article><p>" + "word " * 50_000 + "</p></article>"), (6, "u", "<article><p>" + "word " * 50_000 + "</p></article>")]
