@@ -5,13 +5,17 @@ often the whole corpus holds them:
 
 * base phrases (``BASE``) are found wherever their words stand
   consecutively, by the prefix-filtered phrase join;
-* a block (a line of the text) meets a template (``TEMPLATES``) when it
-  holds at least ``threshold`` of the template's distinct words.  A block
-  that does must hold one of the template's ``n - need + 1`` rarest words
-  (prefix filter), must have ``need`` distinct words (length filter), and
-  from the place of the rarest shared word in the template's order at most
-  the rest of that order can still be shared (positional filter).
-
+* a block (``SPAN`` times the template's words in a row, wherever lines
+  break) meets a template (``TEMPLATES``) when it holds at least
+  ``threshold`` of the template's distinct words.  A text with such a block
+  must hold one of the template's ``n - need + 1`` rarest words (prefix
+  filter), must have ``need`` distinct words (length filter), and from the
+  place of the rarest shared word in the template's order at most the rest
+  of that order can still be shared (positional filter).  A window is then
+  moved over the words around each of those rarest words.
+
+A template's blocks are told from left to right and do not overlap, each by
+the line of its first word: the fullest of the windows that begin in it.
 Labels are those of the base phrases and of the templates met.  The score
 is the largest containment of a template that is met, 1 with a base phrase,
 else 0.  Null texts count as empty: no words, no labels, score 0.  Repeated
@@ -20,7 +24,10 @@ rows give repeated results; further columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,6 +63,7 @@ TEMPLATES = (
     ("All rights reserved", "all-rights-reserved"),
 )
 THRESHOLD = 0.8
+SPAN = 2                                                  # words of a window, in those of the template
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
           "labels array<string>, score double, blocks array<struct<line:int,label:string,containment:double>>")
 
@@ -64,29 +72,73 @@ class TemplateIndex:
     """Templates as word sets in rarity order, under their prefix words."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float):
-        self.templates = []
+        self.templates, self.spans, self.prefixes = [], [], []
         self.entries: dict[bytes, list[tuple[int, int]]] = {}
         for nr, (text, label) in enumerate(templates):
-            words = sorted(set(folded_words(text)), key=lambda w: (counts.get(w, 0), w))
+            sequence = folded_words(text)
+            words = sorted(set(sequence), key=lambda w: (counts.get(w, 0), w))
             need = max(1, -int(-threshold * len(words) // 1))
             self.templates.append((frozenset(words), need, len(words), label))
+            self.spans.append(SPAN * len(sequence))
+            self.prefixes.append(frozenset(words[:len(words) - need + 1]))
             for place, word in enumerate(words[:len(words) - need + 1]):
                 self.entries.setdefault(word, []).append((nr, place))
 
-    def met(self, block: set[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of each template that the block meets."""
+    def shared(self, block: set[bytes]) -> Iterator[tuple[int, int]]:
+        """(number, distinct words held) of each template that a word set meets."""
         first: dict[int, int] = {}
         for word in block & self.entries.keys():
             for nr, place in self.entries[word]:
                 first[nr] = min(place, first.get(nr, place))
-        out = []
         for nr in sorted(first):
-            words, need, size, label = self.templates[nr]
+            words, need, size, _ = self.templates[nr]
             if len(block) >= need and size - first[nr] >= need:
-                shared = len(words & block)
-                if shared >= need:
-                    out.append((label, shared / size))
-        return out
+                held = len(words & block)
+                if held >= need:
+                    yield nr, held
+
+    def met(self, block: set[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of each template that the block meets."""
+        return [(self.templates[nr][3], held / self.templates[nr][2]) for nr, held in self.shared(block)]
+
+    def blocks(self, words: list[bytes]) -> list[tuple[int, str, float]]:
+        """(first word, label, containment) of each block of a text that meets a template."""
+        out = []
+        for nr, _ in self.shared(set(words)):
+            wanted, span, near, until = self.templates[nr][0], self.spans[nr], [], 0
+            for place, word in enumerate(words):
+                if word in self.prefixes[nr]:
+                    near += [i for i in range(max(until, place - span + 1), min(len(words), place + span)) if words[i] in wanted]
+                    until = place + span
+            out += [(start, self.templates[nr][3], held / len(wanted)) for start, held in self.windows(nr, words, near)]
+        return sorted(out)
+
+    def windows(self, nr: int, words: list[bytes], hits: list[int]) -> Iterator[tuple[int, int]]:
+        """(first word, distinct words held) of a template's blocks, from the places of its words."""
+        _, need, size, _ = self.templates[nr]
+        held: Counter[bytes] = Counter()
+        at = left = most = after = start = limit = 0
+        while True:
+            ended = at == len(hits)
+            if not ended:
+                held[words[hits[at]]] += 1
+                while hits[left] <= hits[at] - self.spans[nr] or held[words[hits[left]]] > 1:
+                    word = words[hits[left]]
+                    held[word] -= 1
+                    if not held[word]:
+                        del held[word]
+                    left += 1
+            if most and (ended or hits[left] > limit or most == size):
+                yield start, most
+                held.clear()
+                at = left = after
+                most = 0
+                continue
+            if ended:
+                return
+            if len(held) >= need and len(held) > most:
+                most, start, after, limit = len(held), hits[left], at + 1, hits[at]
+            at += 1
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, threshold: float = THRESHOLD) -> DataFrame:
@@ -109,11 +161,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, threshold: float = THR
                 own = {base[nr][1] for _, nr in starts}
                 blocks = []
                 if not prefix.isdisjoint(words):
-                    for line, part in enumerate(text.split("\n")):
-                        block = set(folded_words(part))
-                        if not prefix.isdisjoint(block):
-                            blocks += [{"line": line, "label": label, "containment": share}
-                                       for label, share in wanted.met(block)]
+                    met = wanted.blocks(words)
+                    ends = list(accumulate(len(folded_words(line)) for line in text.split("\n"))) if met else []
+                    blocks = [{"line": bisect_right(ends, start), "label": label, "containment": share}
+                              for start, label, share in met]
                 score = 1.0 if starts else max((b["containment"] for b in blocks), default=0.0)
                 rows.append((doc_id, len(words), len(starts), min(starts)[0] if starts else None,
                              max(starts)[0] if starts else None, sorted(own),

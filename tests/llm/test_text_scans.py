@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -94,6 +96,41 @@ def test_template_filters_equal_plain_containment():
             assert sorted(index.met(block)) == plain
 
 
+def test_wrapped_notices_are_met_and_scattered_words_are_not(make_docs):
+    notices = [t for t, _ in L.TEMPLATES]
+    docs = [(nr, "Some words before.\n\n" + "\n".join(f" # {line}" for line in textwrap.wrap(t, 30)) + "\nwords after")
+            for nr, t in enumerate(notices)]
+    docs += [(100, "all " + "of a line " * 50 + "rights " + "of a line " * 50 + "reserved"),
+             (101, "Released under the\nMIT License. " * 2 + "\n" * 5 + "word " * 40 + "\nreleased\nunder the mit\nlicense")]
+    found = {r["doc_id"]: r for r in L.scan(make_docs(docs)).collect()}
+    for nr, (_, label) in enumerate(L.TEMPLATES):
+        assert (2, label, 1.0) in [tuple(b) for b in found[nr]["blocks"]] and label in found[nr]["labels"], label
+        assert found[nr]["score"] == 1.0
+    assert found[100]["labels"] == [] and found[100]["score"] == 0.0 and found[100]["blocks"] == []
+    assert [tuple(b) for b in found[101]["blocks"] if b["label"] == "mit"] == [(0, "mit", 1.0), (1, "mit", 1.0), (8, "mit", 1.0)]
+
+
+def test_windows_equal_plain_search():
+    rng = random.Random(7)
+    index = L.TemplateIndex(L.TEMPLATES, {}, 0.8)
+    vocabulary = [f"x{i}".encode() for i in range(5)] + sorted({w for t, _ in L.TEMPLATES for w in L.folded_words(t)})
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            part = L.folded_words(rng.choice(L.TEMPLATES)[0])
+            words += [w for w in part if rng.random() < 0.93 for w in [w] + rng.choices(vocabulary, k=rng.choice((0, 0, 1, 3)))]
+        plain = {}
+        for text, label in L.TEMPLATES:
+            n, size = len(L.folded_words(text)), len(set(L.folded_words(text)))
+            share = max(len(set(L.folded_words(text)) & set(words[i:i + 2 * n])) / size for i in range(len(words)))
+            if share >= 0.8:
+                plain.setdefault(label, []).append(share)
+        got = {}
+        for _, label, share in index.blocks(words):
+            got.setdefault(label, []).append(share)
+        assert {k: max(v) for k, v in got.items()} == {k: max(v) for k, v in plain.items()}
+
+
 def test_licence_scan_of_odd_and_empty_tables(odd_docs, no_docs):
     assert L.scan(odd_docs).count() == 12
     assert L.scan(no_docs).count() == 0
