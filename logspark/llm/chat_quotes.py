@@ -4,11 +4,14 @@ Only DataFrame functions are used.
 
 1. *Parse.*  A line's quote level is the number of ``>`` it begins with.
    Consecutive lines of one level above 0 are a quoted passage.
-2. *Hash.*  A passage, and each of its lines, is normalised (lower case,
-   white space runs to one blank) and hashed; so are a message's own body,
-   paragraphs and lines, for those hashes that some message quotes.
+2. *Hash.*  A passage, each of its lines, and each of its paragraphs (cut at
+   its empty lines) is normalised (lower case, white space runs to one
+   blank) and hashed; so are a message's own body, paragraphs and lines, for
+   those hashes that some message quotes.
 3. *Link.*  Each quoted unit is linked to the latest earlier message of its
-   conversation that holds it.  The units of a message's lowest linked level
+   conversation that holds it.  A paragraph counts as a unit where neither
+   its whole passage nor all of its lines are found (part of a message,
+   wrapped anew); else those tell of it.  The units of a message's lowest linked level
    vote with their length: the message with most is the one replied to (of
    equal ones the latest).
 4. *Order.*  Following the links leads to the message that began a thread.
@@ -73,12 +76,12 @@ def own_units(lines) -> F.Column:
     return F.array_distinct(F.filter(F.transform(units, normal), lambda u: u != ""))
 
 
-def quoted_units(lines) -> F.Column:
-    """array<struct<level, unit>>: quoted passages and their lines, normalised.
+def passages(lines) -> F.Column:
+    """array<struct<level, body>>: one passage for each run of lines of a level.
 
     The lines are written one after the other, a line of another level than
-    the one before behind a mark and its level, and cut at the marks again:
-    one passage for each run of lines of one level, in linear time."""
+    the one before behind a mark and its level, and cut at the marks again,
+    in linear time."""
     clear = F.transform(lines, lambda x: F.struct(x["level"].alias("level"),
                                                   F.translate(x["body"], "\x01\x02", "").alias("body")))
     before = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x["level"]))
@@ -86,30 +89,69 @@ def quoted_units(lines) -> F.Column:
         x["level"] == last, F.concat(F.lit("\n"), x["body"])).otherwise(
         F.concat(F.lit("\x01"), x["level"].cast("string"), F.lit("\x02"), x["body"])))
     runs = F.split(F.array_join(marked, ""), "\x01", -1)
-    passages = F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.struct(
-        F.substring_index(r, "\x02", 1).cast("int").alias("level"),
-        normal(F.substring_index(r, "\x02", -1)).alias("unit")))
+    return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.struct(
+        F.substring_index(r, "\x02", 1).cast("int").alias("level"), F.substring_index(r, "\x02", -1).alias("body")))
+
+
+def quoted_units(lines) -> F.Column:
+    """array<struct<level, unit>>: quoted passages and their lines, normalised."""
+    whole = F.transform(passages(lines), lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("unit")))
     single = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("unit")))
-    return F.filter(F.concat(passages, single), lambda u: (u["level"] > 0) & (u["unit"] != ""))
+    return F.filter(F.concat(whole, single), lambda u: (u["level"] > 0) & (u["unit"] != ""))
 
 
 def quotes(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash, weight) of all quoted units."""
+    """(conv, turn, level, hash, weight) of all quoted passages and lines."""
     quoting = messages.where(F.contains("text", F.lit(">"))).select("conv", "turn", parsed_lines(F.col("text")).alias("lines"))
     return (quoting.select("conv", "turn", F.explode(quoted_units(F.col("lines"))).alias("u"))
             .select("conv", "turn", "u.level", F.md5("u.unit").alias("hash"), F.length("u.unit").alias("weight")).distinct())
 
 
+def paragraphs(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, weight, passage, line): the paragraphs of
+    several lines in quoted passages of several paragraphs, once for each
+    line, with the hashes of the passage and of the line."""
+    quoting = messages.where(F.contains("text", F.lit(">"))).select("conv", "turn", parsed_lines(F.col("text")).alias("lines"))
+    whole = (quoting.select("conv", "turn", F.explode(passages(F.col("lines"))).alias("p"))
+             .select("conv", "turn", "p.level", "p.body", F.md5(normal(F.col("p.body"))).alias("passage"))
+             .where((F.col("level") > 0) & F.col("body").rlike(r"\n\s*\n")))
+    cut = (whole.select("conv", "turn", "level", "passage", F.explode(F.split("body", r"\n\s*\n", -1)).alias("body"))
+           .where(F.contains("body", F.lit("\n"))).withColumn("unit", normal(F.col("body"))).where("unit != ''")
+           .select("conv", "turn", "level", "passage", F.md5("unit").alias("hash"), F.length("unit").alias("weight"), "body"))
+    lines = F.filter(F.transform(F.split("body", "\n", -1), normal), lambda x: x != "")
+    return (cut.select("conv", "turn", "level", "hash", "weight", "passage", F.explode(lines).alias("line"))
+            .withColumn("line", F.md5("line")).distinct())
+
+
+def with_paragraphs(found: DataFrame, cut: DataFrame) -> DataFrame:
+    """``found`` and the paragraphs that are no passage or line: these are ``extra``."""
+    more = cut.select("conv", "turn", "level", "hash", "weight", F.lit(True).alias("extra"))
+    return (found.withColumn("extra", F.lit(False)).unionByName(more).groupBy("conv", "turn", "level", "hash")
+            .agg(F.max("weight").alias("weight"), F.min("extra").alias("extra")))
+
+
+def telling(linked: DataFrame, cut: DataFrame) -> DataFrame:
+    """``linked`` without those paragraphs whose passage or lines are all found."""
+    known = linked.where("not extra").select("conv", "turn", "level", "hash")
+    lost = cut.select("conv", "turn", "level", "hash", "passage", "line")
+    for part in ("line", "passage"):
+        lost = lost.join(known.withColumnRenamed("hash", part), ["conv", "turn", "level", part], "left_anti")
+    more = linked.where("extra").join(lost.select("conv", "turn", "level", "hash").distinct(), ["conv", "turn", "level", "hash"],
+                                      "left_semi")
+    return linked.where("not extra").unionByName(more.select(*linked.columns))
+
+
 def links(messages: DataFrame, found: DataFrame) -> DataFrame:
-    """(conv, turn, level, weight, source): each quoted unit with the turn of
-    the latest earlier message that holds it."""
+    """(conv, turn, level, hash, weight, extra, source): each quoted unit with
+    the turn of the latest earlier message that holds it."""
     wanted = found.select("conv", "hash").distinct()
     own = (messages.select("conv", "turn", F.explode(own_units(parsed_lines(F.col("text")))).alias("unit"))
            .select("conv", F.md5("unit").alias("hash"), "turn").join(wanted, ["conv", "hash"], "left_semi").distinct())
     block = F.floor(F.col("turn") / BLOCK)
     events = (own.select("conv", "hash", "turn", F.col("turn").alias("held"), F.lit(None).cast("int").alias("level"),
-                         F.lit(None).cast("int").alias("weight"))
-              .unionByName(found.select("conv", "hash", "turn", F.lit(None).cast("long").alias("held"), "level", "weight"))
+                         F.lit(None).cast("int").alias("weight"), F.lit(None).cast("boolean").alias("extra"))
+              .unionByName(found.select("conv", "hash", "turn", F.lit(None).cast("long").alias("held"), "level", "weight",
+                                        "extra"))
               .withColumn("block", block))
     before = Window.partitionBy("conv", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (events.groupBy("conv", "hash", "block").agg(F.max("held").alias("last"))
@@ -117,7 +159,7 @@ def links(messages: DataFrame, found: DataFrame) -> DataFrame:
     inside = Window.partitionBy("conv", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     return (events.withColumn("near", F.max("held").over(inside)).where("level is not null")
             .join(carried, ["conv", "hash", "block"])
-            .select("conv", "turn", "level", "weight", F.coalesce("near", "carried").alias("source"))
+            .select("conv", "turn", "level", "hash", "weight", "extra", F.coalesce("near", "carried").alias("source"))
             .where("source is not null"))
 
 
@@ -175,7 +217,11 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     found = scratch.write(quotes(messages), "quotes")
     counted = found.groupBy("conv", "turn").agg(F.count("*").alias("n_quoted"))
     if found.limit(1).count():
-        linked = scratch.write(parents(links(messages, found)), "parents")
+        cut = scratch.write(paragraphs(messages), "paragraphs")
+        units = telling(scratch.write(links(messages, with_paragraphs(found, cut)), "links"), cut)
+        counted = (found.select("conv", "turn").unionByName(units.where("extra").select("conv", "turn"))
+                   .groupBy("conv", "turn").agg(F.count("*").alias("n_quoted")))
+        linked = scratch.write(parents(units), "parents")
         threads = linked.join(roots(linked, scratch), ["conv", "turn"])
         told = counted.join(threads, ["conv", "turn"], "left")
     else:

@@ -60,6 +60,30 @@ def test_equals_sql(spark, monkeypatch, block):
     assert rows_of(out.columns, [tuple(r) for r in out.collect()]) == expected
 
 
+def test_paragraphs_wrapped_anew_lead_to_their_message(spark):
+    parts = ["Hello all,", "the first part is long and\nruns over two lines.", "The second part runs over\ntwo lines as well.", "Bye\nAnn"]
+    again = ["the first part\nis long and runs over two\nlines.", "The second part\nruns over two lines as well."]
+    rows = [(1, 0, "user", "\n\n".join(parts)), (1, 1, "user", "Something else."),
+            (1, 2, "user", quote("\n\n".join(again)) + "\nYes."),                       # without greeting and name
+            (1, 3, "user", quote(quote("\n\n".join(again)) + "\nYes.") + "\nNo."),
+            (1, 4, "user", quote("nobody\nsaid this\n\nThe  second part runs\nover two lines as well.\n\nor this\none") + "\nBut."),
+            (2, 0, "user", "\n\n".join(parts)), (2, 1, "user", parts[1]),
+            (2, 2, "user", quote("\n\n".join(parts)) + "\nas it stands"),                # the whole message: as before
+            (2, 3, "user", quote("\n\n".join(parts[1:3])) + "\nwith its own lines")]     # found line by line: as before
+    out = by_turn(spark, rows)
+    assert [out[1, t]["parent_turn"] for t in range(5)] == [None, None, 0, 2, 0]
+    assert [out[1, t]["root_turn"] for t in range(5)] == [0, 1, 0, 0, 0]
+    assert [out[1, t]["position"] for t in range(5)] == [0, 4, 1, 2, 3]
+    assert [out[1, t]["n_linked"] for t in (2, 3, 4)] == [2, 3, 1]
+    assert [out[1, t]["n_quoted"] for t in (2, 4)] == [1 + 5 + 2, 1 + 6 + 1]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame([r for r in rows if r[0] == 2], columns=["conv_id", "turn", "role", "text"]))
+    cur = con.execute(oracles.CHAT)
+    expected = rows_of([d[0] for d in cur.description], cur.fetchall())
+    names = sorted(out[2, 0].asDict())
+    assert rows_of(names, [tuple(r[n] for n in names) for k, r in out.items() if k[0] == 2]) == expected
+
+
 def test_odd_rows(spark):
     rows = [(None, 0, "user", "a"), (None, None, "user", None), (1, 0, None, ""), (1, 0, None, ""), (1, 1, "user", "> "),
             (1, 2, "user", ">" * 50 + " deep"), (2, 0, "user", "x y\n" * 20_000), (2, 1, "user", "> x y\nyes")]
