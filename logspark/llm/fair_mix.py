@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .scratch import Scratch
 from .words import PLAIN_SQL
 
@@ -71,11 +72,11 @@ def source_targets(sizes: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
             .select("key", "source_size", "source_rows", "weight", "target", "total"))
 
 
-def queue(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, key, size, place, upto (the source's cumulative size with this
+def queue(docs: DataFrame, scratch: Scratch, *carried: str) -> DataFrame:
+    """The ``carried`` columns, doc_id, key, size, place, upto (the source's cumulative size with this
     document), source_size, target, total: the shuffled queue of each source."""
     key = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    sizes = scratch.write(docs.select("doc_id", key.alias("key"), text_size(F.col("text")).alias("size")), "sizes")
+    sizes = scratch.write(docs.select(*carried, "doc_id", key.alias("key"), text_size(F.col("text")).alias("size")), "sizes")
     targets = scratch.write(source_targets(sizes).coalesce(1), "targets")
     buckets = F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))
     placed = (sizes.join(targets, "key").withColumn("place", shuffle_value(F.col("doc_id")))
@@ -83,11 +84,11 @@ def queue(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sums = placed.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("key", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size", *carried).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ordered = placed.withColumn("within", F.sum("size").over(inside))
     return (ordered.join(starts, ["key", "bucket"]).withColumn("upto", F.col("start") + F.col("within"))
-            .select("doc_id", "key", "size", "place", "upto", "source_size", "target", "total"))
+            .select(*carried, "doc_id", "key", "size", "place", "upto", "source_size", "target", "total"))
 
 
 def finish_time(nr) -> F.Column:
@@ -97,9 +98,13 @@ def finish_time(nr) -> F.Column:
 
 
 def mix(docs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words) for every row."""
-    scratch = Scratch(docs.sparkSession, "fair-mix")
-    queued = scratch.write(queue(docs, scratch), "queue")
+    """doc_id, source, size, source_size, target, taken (words) for every row."""
+    return decided(docs, Scratch(docs.sparkSession, "fair-mix"), max_passes)
+
+
+def decided(docs: DataFrame, scratch: Scratch, max_passes: int, *carried: str) -> DataFrame:
+    """``mix`` with the ``carried`` columns of ``docs``."""
+    queued = scratch.write(queue(docs, scratch, *carried), "queue")
     # At time 1 every source has given at most its target, so the total is
     # within the budget; the rest goes to items that finish later, in order.
     in_time = sum((F.when(finish_time(F.lit(nr)) <= 1, 1).otherwise(0) for nr in range(max_passes)), F.lit(0))
@@ -116,10 +121,10 @@ def mix(docs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     passes = sum((F.when((finish_time(F.lit(nr)) <= 1) | F.coalesce(item(nr) <= bound, F.lit(False)), 1).otherwise(0)
                   for nr in range(max_passes)), F.lit(0))
     return (queued.join(F.broadcast(last), F.lit(True), "left")
-            .select("doc_id", F.substring("key", 2, 1 << 30).alias("_name"), "key", "size", "source_size", "target",
+            .select(*carried, "doc_id", F.substring("key", 2, 1 << 30).alias("_name"), "key", "size", "source_size", "target",
                     F.when(F.col("size") > 0, F.col("size") * passes).otherwise(0).cast("long").alias("taken"))
             .withColumn("source", F.when(F.col("key") != "1", F.col("_name")))
-            .select("doc_id", "source", "size", "source_size", "target", "taken"))
+            .select(*carried, "doc_id", "source", "size", "source_size", "target", "taken"))
 
 
 def cut(items: DataFrame, spent: DataFrame, scratch: Scratch) -> DataFrame:
@@ -159,10 +164,10 @@ def cut(items: DataFrame, spent: DataFrame, scratch: Scratch) -> DataFrame:
 def repeated(docs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` that the mix takes, each as many
     times as it takes them, with a ``mix_pass`` column from 0."""
-    mixed = mix(docs, max_passes).where("taken > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
-    same = docs["doc_id"].eqNullSafe(times["_mix_id"]) & docs["source"].eqNullSafe(times["_mix_source"])
-    return (docs.where(text_size(F.col("text")) > 0).join(times, same)
+    scratch = Scratch(docs.sparkSession, "fair-mix")
+    rows, _ = numbered(docs, scratch)
+    times = (decided(rows, scratch, max_passes, "_logspark_row").where("taken > 0")
+             .select("_logspark_row", (F.col("taken") / F.col("size")).cast("int").alias("_mix_times")))
+    return (rows.where(text_size(F.col("text")) > 0).join(times, "_logspark_row")
             .withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_mix_times") - 1)))
             .select(*docs.columns, "mix_pass"))

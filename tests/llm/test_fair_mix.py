@@ -51,6 +51,18 @@ def test_repeated_rows_follow_the_decisions(make_docs):
     assert all(sorted(p) == list(range(len(p))) for p in times.values())
 
 
+def test_rows_of_one_doc_id_follow_their_own_decisions(make_docs):
+    docs = make_docs([(None if i % 2 else i // 8, "w " * (i + 1), "a" if i % 3 else "b") for i in range(60)])
+    taken = {r["size"]: r["taken"] // r["size"] for r in mixed(docs)}
+    out = M.repeated(docs)
+    assert out.columns == [*docs.columns, "mix_pass"]
+    times = defaultdict(list)
+    for r in out.collect():
+        times[len(r["text"].split())].append(r["mix_pass"])
+    assert {d: sorted(p) for d, p in times.items()} == {d: list(range(n)) for d, n in taken.items() if n}
+    assert sum(size * len(p) for size, p in times.items()) <= sum(taken)
+
+
 def test_odd_rows_empty_table_and_texts_without_words(make_docs, odd_docs, no_docs):
     check(mixed(odd_docs))
     assert len(mixed(odd_docs)) == 12
