@@ -1,8 +1,8 @@
 """Golden totals of the original service's sample data sets."""
 
 import pytest
-from conftest import SAMPLE_5, SAMPLE_12, make_logs
 from pyspark.sql import functions as F
+from samples import SAMPLE_5, SAMPLE_12, make_logs
 
 from logspark.config import EngineConfig
 from logspark.operators import anomalies as AN
