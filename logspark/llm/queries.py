@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, decontaminate, exact_dedup, fair_mix, html_extract, license_scan, near_dedup, oracles, substring_dedup, token_counts, toxicity
+from . import (chat_quotes, decontaminate, exact_dedup, fair_mix, html_extract, license_scan, near_dedup, oracles, periodic_runs,
+               substring_dedup, token_alignment, token_counts, token_files, toxicity)
+from .scratch import Scratch
 from .ship import ship
 
 
@@ -64,6 +66,27 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
+    """``a``, ``b``: paths of the vocabulary files; the public ones by default."""
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), a or public_tokenizers.path("byte_bpe_50k.json"),
+                                 b or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Writes the files into the shared folder and reports what they hold."""
+    import public_tokenizers
+
+    path = f"{Scratch(spark, 'token-files').root}/files"
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.report(spark, path)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"), change=periodic_runs.looped)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_quotes": op8_chat_quotes,
     "op9_token_counts": op9_token_counts,
     "op10_html_extract": op10_html_extract,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_token_files": op12_token_files,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
