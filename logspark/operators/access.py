@@ -111,16 +111,16 @@ def business_event_counts(accepted: DataFrame) -> DataFrame:
 
 def rank_within(df: DataFrame, keys, order, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """1-based position of each row inside its ``keys`` group in ``order``,
-    whose first column is the time (ties broken by the other order columns,
-    which should end with a unique id).
+    whose first column is the time and whose others are whole numbers that
+    break ties (the last one should be a unique id).
 
     ``row_number()`` over ``partitionBy(keys)`` would sort a hot group in one
-    task.  Here rows are ranked inside fixed time buckets of their group and
-    offset by the rows of the group's earlier buckets - a running sum over
+    task.  Here rows are ranked inside pieces of their group (see
+    :mod:`.buckets`) and offset by the rows of the group's earlier buckets - a running sum over
     one row per (group, bucket).
     """
     order = list(order)
-    r = bucketed(df, keys, order[0], rows_per_bucket)
+    r = bucketed(df, keys, order, rows_per_bucket)
     local = r.withColumn("_local", F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy(*order)))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (r.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))

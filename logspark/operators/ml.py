@@ -252,12 +252,12 @@ def error_gaps(df: DataFrame, cfg: EngineConfig = DEFAULT, rows_per_bucket: int
     time, id).  The first error of a source has no gap (null).
 
     A window partitioned by source would put a hot source into one task.
-    ``lag`` runs inside fixed time buckets of the source instead; the first
+    ``lag`` runs inside pieces of the source's errors instead (:mod:`.buckets`); the first
     row of a bucket takes the last timestamp of the source's previous bucket,
     from a frame with one row per (source, bucket).
     """
     e = _e(df, cfg, ("is_narrow_error",)).filter(F.col("is_narrow_error") & F.col("log_ts").isNotNull())
-    err = bucketed(e.select("source", "id", "log_ts"), ["source"], "log_ts", rows_per_bucket)
+    err = bucketed(e.select("source", "id", "log_ts"), ["source"], ["log_ts", "id"], rows_per_bucket)
     inner = Window.partitionBy("_key", "_bucket").orderBy("log_ts", "id")
     g = err.withColumn("prev_ts", F.lag("log_ts").over(inner))
     edges = (err.groupBy("_key", "_bucket").agg(F.max("log_ts").alias("last_ts"))

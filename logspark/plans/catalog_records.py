@@ -64,8 +64,12 @@ def _service_log_text_files(spark, d):
 
 
 @register("span_durations", _sql(
-    f"""SELECT operation, status, count(*) AS count, {R('avg(ms)')} AS avg_duration_ms, {R('max(ms) * 1.0')} AS max_duration_ms
-FROM rec WHERE status IS NOT NULL GROUP BY operation, status"""))
+    f"""SELECT operation, status, count(*) AS count, {R('avg(ms)')} AS avg_duration_ms, {R('max(ms) * 1.0')} AS max_duration_ms,
+ {R('max(ms) FILTER (WHERE k = n // 2) * 1.0')} AS p50_duration_ms,
+ {R('max(ms) FILTER (WHERE k = LEAST(CAST(floor(n * 0.95::DOUBLE) AS BIGINT), n - 1)) * 1.0')} AS p95_duration_ms,
+ {R('max(ms) FILTER (WHERE k = LEAST(CAST(floor(n * 0.99::DOUBLE) AS BIGINT), n - 1)) * 1.0')} AS p99_duration_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY operation, status ORDER BY ms) - 1 AS k,
+       count(*) OVER (PARTITION BY operation, status) AS n FROM rec WHERE status IS NOT NULL) GROUP BY operation, status"""))
 def _span_durations(spark, d):
     return AP.span_durations(_json_log(spark, d))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
+from ..operators import quantiles as Q
 from ..schema import APP_LOG_SCHEMA
 
 SERVICE, COMPONENT = "log-ingestion", "http"
@@ -162,11 +163,20 @@ def _field(name: str):
 
 def span_durations(entries: DataFrame) -> DataFrame:
     """Per operation and outcome of the performance records: count, mean and
-    longest duration."""
-    spans = entries.filter(F.col("message").startswith(PERFORMANCE % ""))
+    longest duration, and the exact p50, p95 and p99 (element int(q * n)) of
+    those that state one.  A busy operation is spread over tasks."""
     ms = _field("duration_ms").try_cast("double")
-    return spans.groupBy(_field("operation").alias("operation"), _field("status").alias("status")).agg(
-        F.count(F.lit(1)).alias("count"), F.avg(ms).alias("avg_duration_ms"), F.max(ms).alias("max_duration_ms"))
+    spans = (entries.filter(F.col("message").startswith(PERFORMANCE % ""))
+             .select(_field("operation").alias("operation"), _field("status").alias("status"), ms.alias("ms")))
+    n = F.col("n")
+    counts = spans.groupBy("operation", "status").agg(F.count(F.lit(1)).alias("count"))
+    stats = Q.grouped_order_statistics(spans, ["operation", "status"], "ms", {
+        "p50": F.floor(n / 2), "p95": Q.nearest_rank(n, 0.95), "p99": Q.nearest_rank(n, 0.99)})
+    same = F.col("c.operation").eqNullSafe(F.col("s.operation")) & F.col("c.status").eqNullSafe(F.col("s.status"))
+    return counts.alias("c").join(stats.alias("s"), same, "left").select(
+        "c.operation", "c.status", "c.count", F.col("s.average").alias("avg_duration_ms"),
+        F.col("s.max").alias("max_duration_ms"), F.col("s.p50").alias("p50_duration_ms"),
+        F.col("s.p95").alias("p95_duration_ms"), F.col("s.p99").alias("p99_duration_ms"))
 
 
 def database_operations(entries: DataFrame) -> DataFrame:
