@@ -10,6 +10,7 @@ def _load():
     from . import catalog_report  # noqa: F401
     from . import catalog_sections  # noqa: F401
     from . import catalog_records  # noqa: F401
+    from . import catalog_carried  # noqa: F401
     return catalog
 
 
