@@ -3,12 +3,9 @@ back by the file readers."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..config import checkpoint_dir
+from ..sinks.scratch import scratch_path
 from ..sources import applog as AP
 from ..sources.tables import load_access
 from . import sqlbits as S
@@ -36,7 +33,7 @@ def _sql(text: str) -> str:
 
 def _files(spark, d, render) -> str:
     """Log files of the derived records in the shared folder."""
-    path = os.path.join(checkpoint_dir(spark), "logspark", "service_log", uuid.uuid4().hex)
+    path = scratch_path(spark, "service_log")
     render(AP.service_records(load_access(spark, d))).write.text(path)
     return path
 
@@ -86,3 +83,15 @@ def _database_operations(spark, d):
 FROM rec WHERE event IS NOT NULL GROUP BY event"""))
 def _business_events(spark, d):
     return AP.business_events(_json_log(spark, d))
+
+
+@register("service_log_tracebacks", _sql(_ROW.format(
+    stamp="%Y-%m-%d %H:%M:%S", more=""", CASE WHEN level = 'WARN' THEN 'Traceback (most recent call last):' || chr(10) ||
+ '  File "store.go", line 48, in StoreLog' || chr(10) || chr(10) || '[retry] WARN [store]' || chr(10) ||
+ 'store.TimeoutError: insert req-' || CAST(id AS VARCHAR) || ' took too long' END AS traceback,
+ CASE WHEN level = 'WARN' THEN 'store.TimeoutError' END AS exception_type,
+ CASE WHEN level = 'WARN' THEN 'insert req-' || CAST(id AS VARCHAR) || ' took too long' END AS exception_message""")))
+def _service_log_tracebacks(spark, d):
+    """Text files whose warnings carry tracebacks over several lines."""
+    path = _files(spark, d, lambda records: AP.render_record_text(AP.with_tracebacks(records)))
+    return AP.read_text_log(spark, path).select(*_COLUMNS, *_told(), "traceback", "exception_type", "exception_message")

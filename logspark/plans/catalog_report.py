@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import os
-import uuid
 
-from pyspark.sql import functions as F
-
-from ..config import checkpoint_dir
+from ..sinks.scratch import scratch_path
 from ..sources import tables as TB
-from ..sources.scans import newest_ts
 from ..streaming import jobs as ST
 from . import report as RP
 from . import sqlbits as S
@@ -86,44 +82,6 @@ def _report_json(spark, d):
     return RP.report_json(_logs(spark, d))
 
 
-def _scratch(spark, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "logspark", name, uuid.uuid4().hex)
-
-
-def _run_metrics(rel: str) -> str:
-    return f"""SELECT error_rate, f1 + f2 + f3 + f4 AS score FROM (
-  SELECT error_rate, GREATEST(0.0, 40.0 - error_rate * 2) AS f1, GREATEST(0.0, 20.0 - severity_score) AS f2,
-   CASE WHEN volume_std > 0 THEN GREATEST(0.0, 20.0 - volume_std / volume_mean * 10) ELSE 20.0 END AS f3,
-   LEAST(20.0, source_count * 2.0) AS f4
-  FROM (SELECT count(*) FILTER (WHERE {S.BROAD}) * 100.0 / count(*) AS error_rate,
-          avg({S.severity_weight()}) AS severity_score, count(DISTINCT source) AS source_count FROM {rel}),
-       (SELECT avg(c) AS volume_mean, COALESCE(stddev_samp(c), 0.0) AS volume_std
-          FROM (SELECT hour(log_ts) AS h, count(*) AS c FROM {rel} GROUP BY 1)))"""
-
-
-_PREV = f"prev_logs AS (SELECT * FROM logs WHERE log_ts <= {MAX_TS} - INTERVAL 1 DAY)"
-
-
-@register("report_history", S.with_views(
-    f"""SELECT run_ts, {R("error_rate")} AS error_rate, {R("score")} AS score,
- {R("error_rate - lag(error_rate) OVER (ORDER BY run_ts)")} AS error_rate_change,
- {R("score - lag(score) OVER (ORDER BY run_ts)")} AS score_change
-FROM (SELECT {MAX_TS} - INTERVAL 1 DAY AS run_ts, * FROM ({_run_metrics('prev_logs')})
-      UNION ALL SELECT {MAX_TS}, * FROM ({_run_metrics('logs')}))""", extra=_PREV))
-def _report_history(spark, d):
-    """Two report runs (the day before the newest log, and now) stored in a
-    history table, each compared with its predecessor."""
-    logs = _logs(spark, d)
-    as_of = newest_ts(logs)
-    import datetime as _dt
-    prev = as_of - _dt.timedelta(days=1)
-    path = _scratch(spark, "report_history")
-    from ..sources.scans import ts_lit
-    RP.append_history(RP.report(logs.filter(F.col("log_ts") <= ts_lit(prev)), as_of=prev), path, prev)
-    RP.append_history(RP.report(logs, as_of=as_of), path, as_of)
-    return RP.history_changes(spark, path)
-
-
 # ------------------------------------------------------------ streaming -----
 def _events_stream(spark, d):
     schema = TB.read_table(spark, d, "events").schema
@@ -133,7 +91,7 @@ def _events_stream(spark, d):
 @register("stream_ingest", S.with_views("SELECT * FROM acc", logs=False, raw=True, extra=_ROUTED))
 def _stream_ingest(spark, d):
     """Continuous ingest run to completion (availableNow); accepted rows."""
-    out, ck = _scratch(spark, "stream_ingest_out"), _scratch(spark, "stream_ingest_ckpt")
+    out, ck = scratch_path(spark, "stream_ingest_out"), scratch_path(spark, "stream_ingest_ckpt")
     q = ST.ingest_stream(TB.raw_events_from_events(_events_stream(spark, d)), out, ck)
     q.awaitTermination()
     return spark.read.parquet(f"{out}/accepted").drop("batch_id")
@@ -146,7 +104,7 @@ FROM (SELECT *, time_bucket(INTERVAL '10 minutes', log_ts) AS window_start FROM
 GROUP BY window_start HAVING window_start + INTERVAL 10 MINUTE <= {MAX_TS} - INTERVAL 10 MINUTE"""))
 def _stream_window_counts(spark, d):
     """10-minute windows with a 10-minute watermark, appended once final."""
-    out, ck = _scratch(spark, "stream_windows_out"), _scratch(spark, "stream_windows_ckpt")
+    out, ck = scratch_path(spark, "stream_windows_out"), scratch_path(spark, "stream_windows_ckpt")
     q = ST.window_counts_stream(TB.logs_from_events(_events_stream(spark, d)), out, ck)
     q.awaitTermination()
     return spark.read.parquet(out)
@@ -160,14 +118,14 @@ GROUP BY 1, 2 HAVING window_start + INTERVAL 1 DAY <= (SELECT max(log_ts) FROM a
     logs=False, access=True))
 def _stream_rate_limit(spark, d):
     """Per-client daily windows (1-hour watermark) with the rate classes."""
-    out, ck = _scratch(spark, "stream_rate_out"), _scratch(spark, "stream_rate_ckpt")
+    out, ck = scratch_path(spark, "stream_rate_out"), scratch_path(spark, "stream_rate_ckpt")
     q = ST.rate_limit_stream(TB.access_from_events(_events_stream(spark, d)), out, ck, window="1 day", delay="1 hour")
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
 def _monitor(spark, d):
-    out, ck = _scratch(spark, "stream_monitor_out"), _scratch(spark, "stream_monitor_ckpt")
+    out, ck = scratch_path(spark, "stream_monitor_out"), scratch_path(spark, "stream_monitor_ckpt")
     q = ST.monitor_stream(TB.logs_from_events(_events_stream(spark, d)), out, ck)
     q.awaitTermination()
     return out

@@ -11,6 +11,7 @@ def _load():
     from . import catalog_sections  # noqa: F401
     from . import catalog_records  # noqa: F401
     from . import catalog_carried  # noqa: F401
+    from . import catalog_stored  # noqa: F401
     return catalog
 
 

@@ -9,8 +9,6 @@ is a cross join of one-row aggregates, so the driver only receives one row.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,23 +136,6 @@ def report_json(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return report(df, cfg).select(F.to_json(F.struct("*")).alias("report"))
 
 
-def append_history(report_df: DataFrame, path: str, run_ts: _dt.datetime | None = None) -> None:
-    """Append one report row (with its run time) to a history table."""
-    run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    (report_df.select(ts_lit(run_ts).alias("run_ts"), "*").write.mode("append").parquet(path))
-
-
-def history_changes(spark, path: str) -> DataFrame:
-    """Each stored run next to the previous one: change in error rate and score."""
-    from pyspark.sql import Window
-    h = spark.read.parquet(path).select("run_ts", F.col("error_analysis.error_rate").alias("error_rate"),
-                                        F.col("reliability_score.score").alias("score"))
-    w = Window.orderBy("run_ts")      # one row per run: the history is small by construction
-    return h.select("run_ts", "error_rate", "score",
-                    (F.col("error_rate") - F.lag("error_rate").over(w)).alias("error_rate_change"),
-                    (F.col("score") - F.lag("score").over(w)).alias("score_change"))
-
-
 def render_text(df: DataFrame, cfg: EngineConfig = DEFAULT, verbose: bool = False) -> DataFrame:
     """The CLI's text view as ``(section, line_no, text)`` rows: summary,
     top-5 rule anomalies, top-3 merged ML anomalies, top-5 recommendations

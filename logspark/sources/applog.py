@@ -10,7 +10,7 @@ readers are single-pass column expressions (``regexp_extract`` /
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
@@ -137,19 +137,75 @@ def render_record_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*names)).alias("line"))
 
 
+def with_tracebacks(records: DataFrame) -> DataFrame:
+    """Records whose warnings carry a traceback, one line of which looks
+    almost like a header.  A fixture view."""
+    lines = F.concat(F.lit("Traceback (most recent call last):\n  File \"store.go\", line 48, in StoreLog\n\n[retry] WARN [store]\n"
+                           "store.TimeoutError: insert "), F.col("request_id"), F.lit(" took too long"))
+    return records.withColumn("traceback", F.when(F.col("level") == "WARN", lines))
+
+
 def render_record_text(records: DataFrame) -> DataFrame:
-    """One text line per record, tags only where there is something to tag."""
+    """One text line per record, tags only where there is something to tag,
+    and the lines of its traceback behind, if it has one."""
     ts = F.regexp_replace(F.regexp_replace("timestamp", "T", " "), "Z$", "")
     tag = lambda name, c: F.coalesce(F.concat(F.lit(f" [{name}="), F.col(c), F.lit("]")), F.lit(""))
     return records.select(F.concat(
         F.lit("["), ts, F.lit("] "), "level", F.lit(" ["), "service", F.lit("/"), "component", F.lit("] store.go:48 StoreLog - "),
         "message", tag("trace", "trace_id"), tag("request", "request_id"), tag("user", "user_id"),
-        F.lit(" fields="), F.to_json("fields")).alias("line"))
+        F.lit(" fields="), F.to_json("fields"), _behind(records)).alias("line"))
+
+
+def _behind(records: DataFrame):
+    """What stands on the lines after a record's header line."""
+    if "traceback" not in records.columns:
+        return F.lit("")
+    return F.coalesce(F.concat(F.lit("\n"), F.col("traceback")), F.lit(""))
+
+
+HEADER_LINE = r"^\[[^\]]*\] \S+ \[[^/\]]*/[^\]]*\] \S*:\d+ "
+EXCEPTION_LINE = r"^([A-Za-z_][\w.]*)(?:: (.*))?$"
+
+
+def text_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, line, more): the records of text-layout files.  ``line`` is
+    a record's header line and ``more`` the lines that follow it up to the next
+    header, such as a traceback's.
+
+    Files stay split.  A line's place is (file, split, line in it); inside a
+    split, a window of one split's rows at most, the headers are counted; lines
+    before a split's first header belong to the last header of the splits
+    before, which a frame of one row per split tells.  Lines before a file's
+    first header have none; each is a record of its own.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    inside = Window.partitionBy("file_path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("nr", F.sum(F.col("line").rlike(HEADER_LINE).cast("int")).over(inside))
+    splits = lines.groupBy("file_path", "split").agg(F.max("nr").alias("headers"))
+    before = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("headers") > 0, F.struct(F.col("split").alias("split"), F.col("headers").alias("nr"))), True).over(before)
+    splits = splits.select("file_path", "split", last.alias("last"))
+    owner = (F.when(F.col("nr") > 0, F.struct("split", "nr", F.lit(None).cast("bigint").alias("at")))
+             .when(F.col("last").isNotNull(), F.struct(F.col("last.split").alias("split"), F.col("last.nr").alias("nr"),
+                                                       F.lit(None).cast("bigint").alias("at")))
+             .otherwise(F.struct("split", F.lit(0).cast("bigint").alias("nr"), "at")))
+    owned = lines.join(splits, ["file_path", "split"]).select("file_path", owner.alias("record"), F.struct("split", "at", "line").alias("piece"))
+    together = owned.groupBy("file_path", "record").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    own = F.transform("pieces", lambda p: p["line"])
+    return together.select("file_path", F.get(own, 0).alias("line"), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(1))).alias("more"))
 
 
 def read_text_log(spark: SparkSession, path: str) -> DataFrame:
-    """Service-log files in the text layout."""
-    return parse_text(spark.read.text(path).withColumnRenamed("value", "line"))
+    """Service-log files in the text layout, a record's further lines with it:
+    ``traceback`` (null without) and, from its last line, the exception's type
+    and message."""
+    records = text_records(spark, path).select(
+        "line", F.when(F.size("more") > 0, F.array_join("more", "\n")).alias("traceback"),
+        F.get(F.filter("more", lambda x: F.trim(x) != ""), F.size(F.filter("more", lambda x: F.trim(x) != "")) - 1).alias("last"))
+    told = lambda i: F.nullif(F.regexp_extract("last", EXCEPTION_LINE, i), F.lit(""))
+    return parse_text(records.select("*", told(1).alias("exception_type"), told(2).alias("exception_message")).drop("last"))
 
 
 def read_json_log(spark: SparkSession, path: str) -> DataFrame:

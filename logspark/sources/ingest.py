@@ -15,6 +15,13 @@ then validation (empty message, level outside the ten accepted spellings)
 and the table's column limits.  Key presence is case-sensitive and a JSON
 null counts as present.  Types are read from the VARIANT form of the
 payload, so no Python code runs per row.
+
+The fields of a structured entry are matched without regard to case, as the
+handler's decoder does: of one exact name given twice the last stands, the
+names are then taken in byte order (so ``level`` after ``Level`` after
+``LEVEL``), a null changes nothing, the last value stays, and a wrong type
+under any of the names rejects the entry.  Only payloads with such names take
+that longer way.
 """
 
 from __future__ import annotations
@@ -38,6 +45,11 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 DEFAULT_INGEST_TS = "2024-02-01 00:00:00"
 
 
+FIELDS = ("id", "timestamp", "level", "message", "source")
+_STRINGS = ("STRING", "VOID")
+_INTEGERS = ("VOID", "BIGINT", "INT", "SMALLINT", "TINYINT")
+
+
 def _vtype(field: str) -> Column:
     return F.expr(f"schema_of_variant(variant_get(__v, '$.{field}', 'variant'))")
 
@@ -46,14 +58,35 @@ def _vstr(field: str) -> Column:
     return F.expr(f"try_variant_get(__v, '$.{field}', 'string')")
 
 
-def _str_or_absent(field: str) -> Column:
-    t = _vtype(field)
-    return t.isNull() | t.isin("STRING", "VOID")
+def _odd(keys: Column) -> Column:
+    """Whether a field's name stands in another case, or any name twice."""
+    other = F.exists(keys, lambda k: F.lower(k).isin(*FIELDS) & (k != F.lower(k)))
+    return F.coalesce(other | (F.size(keys) != F.size(F.array_distinct(keys))), F.lit(False))
+
+
+def _entries(payload: str) -> Column:
+    """The payload's top-level entries (name, type, text) in byte order of
+    their names, of equal names the last."""
+    return F.expr(f"""array_sort(filter(
+        transform(map_entries(from_json(`{payload}`, 'map<string,variant>')), (e, i) -> struct(
+            e.key AS name, i AS nr, schema_of_variant(e.value) AS type, try_variant_get(e.value, '$', 'string') AS text)),
+        (e, i) -> NOT array_contains(slice(__keys, i + 2, greatest(size(__keys), 1)), e.name)))""")
 
 
-def _int_or_absent(field: str) -> Column:
+def _named(field: str) -> Column:
+    return F.filter("__entries", lambda e: F.lower(e["name"]) == field)
+
+
+def _text(field: str) -> Column:
+    """A field's text: the last one that is not null."""
+    told = F.filter("__entries", lambda e: (F.lower(e["name"]) == field) & (e["type"] != "VOID"))
+    return F.when(F.col("__odd"), F.get(told, F.size(told) - 1)["text"]).otherwise(_vstr(field))
+
+
+def _typed(field: str, types) -> Column:
+    """Whether a field is absent or of one of the types, under every name."""
     t = _vtype(field)
-    return t.isNull() | t.isin("VOID", "BIGINT", "INT", "SMALLINT", "TINYINT")
+    return F.when(F.col("__odd"), F.forall(_named(field), lambda e: e["type"].isin(*types))).otherwise(t.isNull() | t.isin(*types))
 
 
 def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None) -> DataFrame:
@@ -62,23 +95,29 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
     p = F.col(payload_col)
     ts_now = ts_lit(ingest_ts or DEFAULT_INGEST_TS) if not isinstance(ingest_ts, Column) else ingest_ts
     keys = F.json_object_keys(p)
-    df = raw.withColumn("__v", F.try_parse_json(p)).withColumn("__keys", keys)
+    df = raw.withColumns({"__v": F.try_parse_json(p), "__keys": keys})
+    df = df.withColumn("__odd", _odd(F.col("__keys"))).withColumn("__entries", F.when(F.col("__odd"), _entries(payload_col)))
     has = lambda k: F.coalesce(F.array_contains(F.col("__keys"), k), F.lit(False))
     is_obj = F.col("__keys").isNotNull()
     is_null_doc = F.coalesce(F.expr("schema_of_variant(__v)") == "VOID", F.lit(False))  # JSON null: empty object
 
-    ts_raw = _vstr("timestamp")
+    ts_raw = _text("timestamp")
     ts_type = _vtype("timestamp")
-    ts_given = ts_type.isNotNull() & (ts_type != "VOID")
+    good_time = lambda c: c.rlike(RFC3339) & F.try_to_timestamp(c).isNotNull()
+    ts_given = F.when(F.col("__odd"), ts_raw.isNotNull()).otherwise(ts_type.isNotNull() & (ts_type != "VOID"))
     ts_parsed = F.try_to_timestamp(ts_raw).cast("timestamp_ntz")
-    ts_ok = (~ts_given) | ((ts_type == "STRING") & ts_raw.rlike(RFC3339) & ts_parsed.isNotNull())
-    types_ok = (_str_or_absent("message") & _str_or_absent("level") & _str_or_absent("source")
-                & _int_or_absent("id") & ts_ok)
-
-    msg_s = F.coalesce(_vstr("message"), F.lit(""))
-    lvl_s = F.coalesce(_vstr("level"), F.lit(""))
-    src_s = F.coalesce(F.nullif(F.coalesce(_vstr("source"), F.lit("")), F.lit("")), F.lit("unknown"))
-    log_s = _vstr("log")
+    ts_ok = F.when(F.col("__odd"), F.forall(_named("timestamp"), lambda e: (e["type"] == "VOID") | (
+        (e["type"] == "STRING") & F.coalesce(good_time(e["text"]), F.lit(False))))).otherwise(
+        ts_type.isNull() | (ts_type == "VOID") | ((ts_type == "STRING") & ts_raw.rlike(RFC3339) & ts_parsed.isNotNull()))
+    types_ok = (_typed("message", _STRINGS) & _typed("level", _STRINGS) & _typed("source", _STRINGS)
+                & _typed("id", _INTEGERS) & ts_ok)
+
+    msg_s = F.coalesce(_text("message"), F.lit(""))
+    lvl_s = F.coalesce(_text("level"), F.lit(""))
+    src_s = F.coalesce(F.nullif(F.coalesce(_text("source"), F.lit("")), F.lit("")), F.lit("unknown"))
+    log_entries = F.filter("__entries", lambda e: e["name"] == "log")
+    log_s = F.when(F.col("__odd"), F.get(log_entries, 0)["text"]).otherwise(_vstr("log"))
+    log_type = F.when(F.col("__odd"), F.get(log_entries, 0)["type"]).otherwise(_vtype("log"))
 
     structured = is_obj & has("message")
     legacy = (is_obj & ~has("message") & has("log"))
@@ -88,7 +127,7 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
          .when(structured & (msg_s == ""), F.lit(EMPTY_MESSAGE))
          .when(structured & ~L.is_valid_ingest_level(lvl_s), F.lit(INVALID_LEVEL))
          .when(structured & (F.length(src_s) > 100), F.lit(STORE_FAILED))
-         .when(legacy & (_vtype("log") != "STRING"), F.lit(HANDLER_FAILED))
+         .when(legacy & (log_type != "STRING"), F.lit(HANDLER_FAILED))
          .when(legacy & (F.coalesce(log_s, F.lit("")) == ""), F.lit(EMPTY_MESSAGE))
          .when(~structured & ~legacy, F.lit(MISSING_FIELDS))
     )
@@ -102,7 +141,7 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
         F.when(structured, src_s).otherwise(F.lit("legacy_api")).alias("source"),
         F.when(structured & ts_given, ts_parsed).otherwise(ts_now).alias("log_ts"),
     )
-    return out.drop("__v", "__keys")
+    return out.drop("__v", "__keys", "__odd", "__entries")
 
 
 def accepted(routed: DataFrame) -> DataFrame:
