@@ -9,9 +9,13 @@ whose neighbour no earlier merge would have joined to it.  So
     count[end] = count[end - len(last token)] + 1
 
 holds for every prefix, and the count of a whole text is the sum over its
-pieces.  With the running counts at the ends of the pieces, truncation and
-budget questions (:meth:`Prefixes.tokens_at`, :meth:`Prefixes.longest`)
-need the programme of one piece, not a new encoding of the text.
+pieces.  Truncation and budget questions (:meth:`Prefixes.tokens_at`,
+:meth:`Prefixes.longest`) are looked up: the running counts at the ends of the
+pieces, and the programme's own counts of all prefixes of the piece at the
+border.  Only where a cut changes what stands there (a text that ends in white
+space, in a contraction's or an added token's first characters) these few are
+counted by themselves; nothing is encoded again for each trial.  A piece of a
+million characters costs one pass.
 
 The vocabulary file (``tokenizers`` JSON of a byte-level BPE) is read on the
 driver and sent to the tasks.  Added tokens inside a text are one token
@@ -34,6 +38,8 @@ from pyspark.sql import DataFrame
 # fixed value: the split pattern of byte-level BPE files
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
                        r"| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+WHITE = regex.compile(r"\p{White_Space}+")
 LIMIT = 1024
 CACHE = 1_000_000                                          # pieces, and pairs, that a Python worker remembers
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long"
@@ -154,47 +160,74 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The token counts of all prefixes (in characters) of one text: the
-    running counts at the ends of its pieces, and the programme inside one."""
+    """The token counts of all prefixes (in characters) of one text."""
 
-    def __init__(self, vocabulary: Vocabulary, text: str):
+    def __init__(self, vocabulary: Vocabulary, text: str, added: bool = True):
         self.vocabulary, self.text = vocabulary, text
-        self.starts, sums, self.is_added = [], [], []
-        at = 0
-        for part, is_added in vocabulary.parts(text):
+        self.pieces, self.is_added, sums = [], [], []
+        for part, is_added in vocabulary.parts(text) if added else [(text, False)]:
             for piece in [part] if is_added else PIECES.findall(part):
-                self.starts.append(at)
+                self.pieces.append(piece)
                 self.is_added.append(is_added)
                 sums.append(1 if is_added else vocabulary.cache.get(piece) or vocabulary.piece_tokens(piece))
-                at += len(piece)
+        self.starts = [0, *accumulate(map(len, self.pieces))][:len(self.pieces)]
         self.sums = [0, *accumulate(sums)]
+        self.stored: dict[int, list[int]] = {}
+
+    def _programme(self, piece: str) -> list[int]:
+        """The counts of a piece's prefixes, by characters."""
+        counts = self.vocabulary.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+        if len(counts) == len(piece) + 1:
+            return counts
+        return [counts[at] for at in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)]
+
+    def inside(self, nr: int) -> list[int]:
+        """The counts of the texts that end 1, 2, ... characters into a piece
+        (the entry at 0 is not one)."""
+        if nr not in self.stored:
+            self.stored = {nr: self._inside(nr)}           # one piece may be the whole text
+        return self.stored[nr]
+
+    def _inside(self, nr: int) -> list[int]:
+        piece = self.pieces[nr]
+        if self.is_added[nr]:                              # cut short, it is plain text and may lengthen the piece before
+            first = nr - 1 if nr and not self.is_added[nr - 1] else nr
+            skip = self.starts[nr] - self.starts[first]
+            plain = Prefixes(self.vocabulary, self.text[self.starts[first]:self.starts[nr] + len(piece) - 1], added=False)
+            return [0, *(self.sums[first] + plain.tokens_at(skip + k) for k in range(1, len(piece))), self.sums[nr + 1]]
+        if piece in CONTRACTIONS:
+            return [self.sums[nr] + self.vocabulary.tokens(piece[:k]) for k in range(len(piece))] + [self.sums[nr + 1]]
+        counts = [self.sums[nr] + n for n in self._programme(piece)]
+        blank = WHITE.match(piece)
+        if blank:                                          # a text that ends here ends in one piece of white space
+            first, size = nr, blank.end()
+            while first and not self.is_added[first - 1] and WHITE.fullmatch(self.pieces[first - 1]):
+                first -= 1
+            skip = self.starts[nr] - self.starts[first]
+            run = self._programme(self.text[self.starts[first]:self.starts[nr] + size])
+            counts[1:size + 1] = [self.sums[first] + n for n in run[skip + 1:]]
+        return counts
 
     def tokens_at(self, end: int) -> int:
         """Tokens of ``text[:end]``."""
-        if end <= 0 or not self.starts:
+        if end <= 0 or not self.pieces:
             return 0
-        if end >= len(self.text):
-            return self.sums[-1]
-        nr = bisect.bisect_left(self.starts, end) - 1        # the last piece that begins before
-        # A cut can change what its piece is (a piece of white space takes in
-        # the blank before a word, a contraction falls apart, an added token
-        # is no longer one), so the rest is split again from the piece before.
-        nr = max(0, nr - (0 if self.is_added[nr] else 1))
-        while nr and self.is_added[nr]:
-            nr -= 1
-        rest = self.text[self.starts[nr]:end]
-        return self.sums[nr] + self.vocabulary.tokens(rest)
+        nr = bisect.bisect_left(self.starts, min(end, len(self.text))) - 1     # the last piece that begins before
+        return self.inside(nr)[min(end, len(self.text)) - self.starts[nr]]
 
     def longest(self, limit: int) -> int:
         """Characters of the longest prefix of at most ``limit`` tokens."""
         if self.sums[-1] <= limit:
             return len(self.text)
-        nr = bisect.bisect_left(self.sums, limit) - 1        # in later pieces every prefix has more
-        end = self.starts[nr + 1] if nr + 1 < len(self.starts) else len(self.text)
-        end = self.starts[nr + 2] if nr + 2 < len(self.starts) else len(self.text) if nr + 2 >= len(self.starts) else end
-        while end > 0 and self.tokens_at(end) > limit:
-            end -= 1
-        return end
+        # a cut joins the pieces of one stretch of white space, two at most:
+        # behind the second piece after the limit every prefix has more
+        last = min(bisect.bisect_left(self.sums, limit) + 1, len(self.pieces) - 1)
+        for nr in range(last, -1, -1):
+            counts = self.inside(nr)
+            for k in range(len(counts) - 1, 0, -1):
+                if counts[k] <= limit:
+                    return self.starts[nr] + k
+        return 0
 
 
 _LOADED: dict[int, Vocabulary] = {}

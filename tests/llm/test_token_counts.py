@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -50,3 +51,21 @@ def test_stored_documents(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(r["n_tokens"] == library(texts[r["doc_id"]]) for r in C.count(docs, PATH).collect())
+
+
+@pytest.mark.parametrize("unit", ["ab1c", "q", "!?-", " ", "\n", "é", "xy zw"])
+def test_budgets_of_one_very_long_piece(library, vocabulary, monkeypatch, unit):
+    """Looked up: no prefix is encoded anew, and answers are the library's."""
+    text = "start " + unit * (120_000 // len(unit)) + "<|endoftext|> end"
+    began = time.perf_counter()
+    prefixes = C.Prefixes(vocabulary, text)
+    total = prefixes.sums[-1]
+    monkeypatch.setattr(vocabulary, "tokens", None)
+    ends = {limit: prefixes.longest(limit) for limit in (0, 1, 2, 50, 1024, total // 2, total - 3, total - 1, total)}
+    assert time.perf_counter() - began < 20
+    for limit, end in ends.items():
+        assert library(text[:end]) <= limit
+        assert end == len(text) or all(library(text[:end + k]) > limit for k in (1, 2, 3) if end + k <= len(text))
+    rng = random.Random(5)
+    for end in [rng.randrange(len(text)) for _ in range(3)] + [len(text) - 3, len(text) - 12]:
+        assert prefixes.tokens_at(end) == library(text[:end])
