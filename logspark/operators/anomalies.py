@@ -37,8 +37,10 @@ def high_error_rate_sources(df: DataFrame, cfg: EngineConfig = DEFAULT, facts: D
 def frequent_error_patterns(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """Error/fatal patterns whose count exceeds mean + k * sample std of all
     pattern counts (needs more than one pattern) and is above 3."""
-    counts = (_e(df).filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
-              .groupBy("pattern").agg(F.count(F.lit(1)).alias("count")))
+    # empty patterns are left out by an aggregate: a filter on the pattern would
+    # be pushed below and run its chain of rules twice per row
+    counts = (_e(df).filter("is_narrow_error").groupBy("pattern")
+              .agg(F.count(F.lit(1)).alias("count"), F.max("pattern").alias("_p")).filter(F.col("_p") != "").drop("_p"))
     stats = counts.agg(F.count(F.lit(1)).alias("n_patterns"),
                        (F.avg("count") + F.lit(cfg.threshold_multiplier) * F.stddev_samp("count")).alias("threshold"))
     # ``stats`` is exactly one row: broadcasting it is bounded by construction

@@ -38,51 +38,41 @@ def _e(df: DataFrame, cfg: EngineConfig = DEFAULT, cols=ML_COLUMNS) -> DataFrame
     return enrich(df, cfg, cols)
 
 
-def _join_on(a: DataFrame, b: DataFrame, keys):
-    return a.join(b, list(keys), "left") if keys else a.crossJoin(b)
-
-
 def features_by(df: DataFrame, keys=(), cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The eleven features per group of ``keys`` (one row when keys is empty).
 
-    One scan: rows are first counted per (keys, signature, minute of day,
-    level, source) - partial aggregation makes this cheap and it is never
-    larger than the input - and every feature is derived from that frame.
-    The four derived aggregates share its exchange (Spark reuses it), so the
-    input and its regexes are read once.
+    One scan and two small shuffles: rows are counted once per signature, hour
+    of day, minute of day, level and source (grouping sets; each map task
+    sends one row per value it has seen), and every feature is a conditional
+    aggregate of these counts.
     """
     keys = list(keys)
-    e = _e(df, cfg)
-    pre = (e.groupBy(*keys, "signature", F.date_format("log_ts", "HH:mm").alias("hhmm"), "level", "source")
-           .agg(F.count(F.lit(1)).alias("c")))
-    narrow = L.is_narrow_error(F.col("level"))
-    base = pre.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        F.sum(F.when(narrow, F.col("c")).otherwise(0)).alias("n_err"),
-        F.countDistinct("source").alias("n_src"),
-        *[F.sum(F.when(F.col("level") == x, F.col("c")).otherwise(0)).alias(f"n_{x}") for x in LEVELS])
+    e = _e(df, cfg).select(*keys, "signature", F.date_format("log_ts", "HH:mm").alias("minute"), "level", "source")
+    e = e.withColumn("hour_of_day", F.substring("minute", 1, 2))
+    kinds = ("signature", "hour_of_day", "minute", "level", "source")
+    counts = e.groupingSets([[*keys, k] for k in kinds], *keys, *kinds).agg(
+        F.count(F.lit(1)).alias("c"), *[F.grouping(k).alias(f"_{k}") for k in kinds])
+    of = lambda k, more=None: F.when((F.col(f"_{k}") == 0) if more is None else (F.col(f"_{k}") == 0) & more, F.col("c"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    signed = of("signature")
+    # rows without a time are a null hour and minute, left out of the variances
+    hours, minutes = (of(k, F.col(k).isNotNull()) for k in ("hour_of_day", "minute"))
     # entropy = log2(N) - sum(c * log2 c) / N over signature counts c
-    sig = pre.groupBy(*keys, "signature").agg(F.sum("c").alias("c"))
-    ent = sig.groupBy(*keys).agg(
-        (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("message_entropy"))
-    # rows without a timestamp form a null bucket, left out of the variances
-    # (no filter here: a filter would be pushed below ``pre`` and break the reuse)
-    def bucket_var(col, name):
-        b = pre.groupBy(*keys, col.alias("b")).agg(F.sum("c").alias("c"))
-        v = F.when(F.col("b").isNotNull(), F.col("c"))
-        return b.groupBy(*keys).agg(F.when(F.count(v) > 1, F.var_pop(v)).otherwise(F.lit(0.0)).alias(name))
-    hv = bucket_var(F.substring("hhmm", 1, 2), "tv")
-    mv = bucket_var(F.col("hhmm"), "vv")
-    j = _join_on(_join_on(_join_on(base, ent, keys), hv, keys), mv, keys).filter(F.col("n") > 0)
+    j = counts.groupBy(*keys).agg(
+        F.sum(of("level")).alias("n"), total(of("level", L.is_narrow_error(F.col("level")))).alias("n_err"),
+        F.count(of("source", F.col("source").isNotNull())).alias("n_src"),
+        *[total(of("level", F.col("level") == x)).alias(f"n_{x}") for x in LEVELS],
+        (F.log2(F.sum(signed)) - F.sum(signed * F.log2("c")) / F.sum(signed)).alias("message_entropy"),
+        F.when(F.count(hours) > 1, F.var_pop(hours)).otherwise(F.lit(0.0)).alias("tv"),
+        F.when(F.count(minutes) > 1, F.var_pop(minutes)).otherwise(F.lit(0.0)).alias("vv")).filter(F.col("n") > 0)
     n = F.col("n")
     return j.select(
         *keys,
         (F.col("n_err") / n).alias("error_rate"),
         F.greatest(F.coalesce(F.col("message_entropy"), F.lit(0.0)), F.lit(0.0)).alias("message_entropy"),
-        F.when(n < 2, F.lit(0.0)).otherwise(F.coalesce(F.col("tv"), F.lit(0.0))).alias("temporal_variance"),
+        F.when(n < 2, F.lit(0.0)).otherwise(F.col("tv")).alias("temporal_variance"),
         (F.col("n_src") / n).alias("source_diversity"),
-        n.cast("double").alias("total_volume"),
-        F.coalesce(F.col("vv"), F.lit(0.0)).alias("volume_variance"),
+        n.cast("double").alias("total_volume"), F.col("vv").alias("volume_variance"),
         *[(F.col(f"n_{x}") / n).alias(f"level_{x}_ratio") for x in LEVELS])
 
 

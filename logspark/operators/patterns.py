@@ -1,8 +1,7 @@
 """Pattern detection: frequent terms, error signatures, message clusters.
 
 Grouping keys here (patterns, signatures, terms) can be high-cardinality and
-skewed; every aggregate is algebraic (count/min/max/distinct set of sources)
-so partial aggregation collapses a hot key inside each map task.  Samples per
+skewed; every aggregate is algebraic (count, min, max, list of distinct sources), so partial aggregation collapses a hot key inside each map task.  Samples per
 cluster use ``row_number() <= 3``, which Spark turns into a partial
 ``WindowGroupLimit`` before the shuffle, so no task ever holds a whole group.
 """
@@ -27,22 +26,32 @@ def frequent_terms(df: DataFrame, top: int = 20) -> DataFrame:
             .orderBy(F.col("count").desc(), F.col("term")).limit(top))
 
 
+def _by_error_pattern(df: DataFrame, *keys) -> DataFrame:
+    """Error/fatal rows per pattern (and ``keys``): count, first and last time.
+
+    Empty patterns are left out by an aggregate: a filter on the pattern
+    itself would be pushed below and run its chain of rules twice per row."""
+    e = _e(df, "is_narrow_error", "pattern").filter("is_narrow_error")
+    return (e.groupBy("pattern", *keys)
+            .agg(F.count(F.lit(1)).alias("count"), F.min("log_ts").alias("first_seen"), F.max("log_ts").alias("last_seen"),
+                 F.max("pattern").alias("_p")).filter(F.col("_p") != "").drop("_p"))
+
+
 def error_signatures(df: DataFrame) -> DataFrame:
-    """Error/fatal patterns seen more than once: count, sources, first/last seen."""
-    e = _e(df, "is_narrow_error", "pattern").filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
-    return (e.groupBy("pattern")
-            .agg(F.count(F.lit(1)).alias("count"),
-                 F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
-                 F.min("log_ts").alias("first_seen"),
-                 F.max("log_ts").alias("last_seen"))
+    """Error/fatal patterns seen more than once: count, sources, first/last seen.
+
+    Rows are first counted by (pattern, source), so the list of a pattern's
+    sources is gathered from one row per source."""
+    return (_by_error_pattern(df, "source").groupBy("pattern")
+            .agg(F.sum("count").alias("count"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"),
+                 F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
             .filter(F.col("count") > 1))
 
 
 def error_signature_sources(df: DataFrame) -> DataFrame:
     """The sources of each error/fatal pattern seen more than once, one row
     each with their count: the list of :func:`error_signatures` as rows."""
-    e = _e(df, "is_narrow_error", "pattern").filter(F.col("is_narrow_error") & (F.col("pattern") != ""))
-    per = e.groupBy("pattern", "source").agg(F.count(F.lit(1)).alias("count"))
+    per = _by_error_pattern(df, "source").select("pattern", "source", "count")
     seen = per.groupBy("pattern").agg(F.sum("count").alias("seen")).filter(F.col("seen") > 1)
     return per.join(seen.select("pattern"), "pattern").select("pattern", "source", "count")
 

@@ -248,3 +248,26 @@ FROM (SELECT id, http_remote_addr, time_bucket(INTERVAL '1 day', log_ts) AS wind
 def _rate_limit_requests(spark, d):
     """Per-request rate-limit decision in daily client windows."""
     return AC.rate_limit_requests(load_access(spark, d), "1 day")
+
+
+@register("request_ids_given", S.with_views(
+    """SELECT id, CASE WHEN id % 3 = 0 THEN 'given-' || CAST(id AS VARCHAR) ELSE concat_ws('-', substr(h, 1, 8), substr(h, 9, 4),
+ substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) END AS request_id
+FROM (SELECT id, sha256('request:' || CAST(id AS VARCHAR)) AS h FROM access)""", logs=False, access=True))
+def _request_ids_given(spark, d):
+    """A third of the requests bring an id, a third an empty one."""
+    given = F.when(F.col("id") % 3 == 0, F.concat(F.lit("given-"), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, "")
+    return AC.request_ids(load_access(spark, d).withColumn("given", given), "given")
+
+
+@register("access_sizes", S.with_views(
+    f"""SELECT {_SEV} AS severity, count(*) AS requests, {R('avg(duration_ms)')} AS avg_duration_ms,
+ CAST(sum(duration_ms % 1000) AS BIGINT) AS total_content_length, {R('avg(duration_ms % 1000)')} AS avg_content_length,
+ CAST(sum(CASE WHEN id % 4 > 0 THEN duration_ms * 3 END) AS BIGINT) AS total_response_size,
+ {R('avg(CASE WHEN id % 4 > 0 THEN duration_ms * 3 END)')} AS avg_response_size FROM access GROUP BY 1""", logs=False, access=True))
+def _access_sizes(spark, d):
+    """Outcome classes of requests whose log lines state their sizes, every
+    fourth one without a response size."""
+    acc = load_access(spark, d).withColumns({
+        "content_length": F.col("duration_ms") % 1000, "response_size": F.when(F.col("id") % 4 > 0, F.col("duration_ms") * 3)})
+    return AC.access_severity(acc)

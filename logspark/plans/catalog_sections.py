@@ -12,7 +12,7 @@ from .catalog import _logs, register
 # Which single query each section of a composed analysis repeats.
 QUERY = {"common_terms": "frequent_terms", "error_trends": "error_trend", "errors_by_hour": "error_time_distribution",
          "error_rate_anomalies": "high_error_rate_sources", "error_pattern_anomalies": "frequent_error_patterns",
-         "throughput": "counts_by_source", "security_events": "security_event_counts"}
+         "throughput": "counts_by_source", "security_events": "security_event_counts", "ml_anomalies": "merged_anomalies"}
 
 
 def _long_sql(parts) -> str:

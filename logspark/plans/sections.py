@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..operators import anomalies as AN
 from ..operators import errors as ER
+from ..operators import ml as ML
 from ..operators import patterns as PT
 from ..operators import performance as PF
 from ..operators import security as SC
 from ..operators import trends as TR
+from . import report as RP
 
 # For each composed analysis its sections: name, the columns that name an
 # item, the columns that hold its numbers.
@@ -47,6 +49,9 @@ REPORT = (
     ("bottlenecks", ("source", "severity"), ("slow_operations", "total_operations", "slow_ratio")),
     ("throughput", ("source",), ("count",)),
     ("security_events", ("event_type",), ("count",)),
+    ("ml_anomalies", ("detector", "type", "description"), ("value", "expected", "z_score", "confidence")),
+    ("alerts", ("rule", "message"), ("value", "threshold")),
+    ("recommendations", ("recommendation",), ("rank",)),
 )
 
 
@@ -81,11 +86,13 @@ def log_trends(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def report_sections(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The lists of the comprehensive report beside its one-row summary:
     patterns, trends, errors, rule anomalies, slow operations, bottlenecks,
-    throughput and security events."""
+    throughput, security events, merged statistical anomalies, alerts and
+    recommendations."""
     own = together(REPORT, {
         "errors_by_level": ER.errors_by_level(df), "errors_by_source": ER.errors_by_source(df),
         "errors_by_hour": ER.error_time_distribution(df), "error_rate_anomalies": AN.high_error_rate_sources(df, cfg),
         "error_pattern_anomalies": AN.frequent_error_patterns(df, cfg), "slow_operations": PF.slow_operations(df, cfg),
         "bottlenecks": PF.bottlenecks(df, cfg), "throughput": TR.throughput_by_source(df),
-        "security_events": SC.security_event_counts(df)})
+        "security_events": SC.security_event_counts(df), "ml_anomalies": ML.merged_anomalies(df, cfg=cfg),
+        "alerts": RP.alerts(df, cfg), "recommendations": RP.recommendations(df, cfg)})
     return own.unionByName(detect_patterns(df)).unionByName(log_trends(df, cfg))
