@@ -46,8 +46,8 @@ DEFAULT_INGEST_TS = "2024-02-01 00:00:00"
 
 
 FIELDS = ("id", "timestamp", "level", "message", "source")
-_STRINGS = ("STRING", "VOID")
-_INTEGERS = ("VOID", "BIGINT", "INT", "SMALLINT", "TINYINT")
+_STRING = ("STRING", "VOID")
+_INTEGER = ("VOID", "BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
 def _vtype(field: str) -> Column:
@@ -58,35 +58,46 @@ def _vstr(field: str) -> Column:
     return F.expr(f"try_variant_get(__v, '$.{field}', 'string')")
 
 
-def _odd(keys: Column) -> Column:
-    """Whether a field's name stands in another case, or any name twice."""
-    other = F.exists(keys, lambda k: F.lower(k).isin(*FIELDS) & (k != F.lower(k)))
-    return F.coalesce(other | (F.size(keys) != F.size(F.array_distinct(keys))), F.lit(False))
-
-
-def _entries(payload: str) -> Column:
-    """The payload's top-level entries (name, type, text) in byte order of
-    their names, of equal names the last."""
-    return F.expr(f"""array_sort(filter(
-        transform(map_entries(from_json(`{payload}`, 'map<string,variant>')), (e, i) -> struct(
-            e.key AS name, i AS nr, schema_of_variant(e.value) AS type, try_variant_get(e.value, '$', 'string') AS text)),
-        (e, i) -> NOT array_contains(slice(__keys, i + 2, greatest(size(__keys), 1)), e.name)))""")
+def _typed(field: str, types) -> Column:
+    t = _vtype(field)
+    return t.isNull() | t.isin(*types)
 
 
-def _named(field: str) -> Column:
-    return F.filter("__entries", lambda e: F.lower(e["name"]) == field)
+# a field's name in any case but its own, among names that stand on lines of their own
+_OTHER_CASE = (r"(?m)^(?!(?:{0})$)(?i:{0})$").format("|".join(FIELDS))
 
 
-def _text(field: str) -> Column:
-    """A field's text: the last one that is not null."""
-    told = F.filter("__entries", lambda e: (F.lower(e["name"]) == field) & (e["type"] != "VOID"))
-    return F.when(F.col("__odd"), F.get(told, F.size(told) - 1)["text"]).otherwise(_vstr(field))
+def _odd(keys: Column) -> Column:
+    """Whether a field's name stands in another case, or any name twice."""
+    other = F.array_join(keys, "\n").rlike(_OTHER_CASE)
+    return F.coalesce(other | (F.size(keys) != F.size(F.array_distinct(keys))), F.lit(False))
 
 
-def _typed(field: str, types) -> Column:
-    """Whether a field is absent or of one of the types, under every name."""
-    t = _vtype(field)
-    return F.when(F.col("__odd"), F.forall(_named(field), lambda e: e["type"].isin(*types))).otherwise(t.isNull() | t.isin(*types))
+def _resolved(payload: str) -> Column:
+    """The payload of odd names as a VARIANT with the plain ones: for each
+    field a wrongly typed value, if there is one under any of its names, else
+    the last that is not null."""
+    names = """array_sort(filter(transform(__keys, (k, i) -> struct(k AS name, i AS nr)),
+        e -> NOT array_contains(slice(__keys, e.nr + 2, size(__keys)), e.name)))"""
+    values = f"map_values(from_json(`{payload}`, 'map<string,variant>'))"
+
+    def value(field: str, good: str) -> str:
+        mine = f"transform(filter(__names, e -> lower(e.name) = '{field}'), e -> __values[e.nr])"
+        bad = f"filter({mine}, v -> NOT coalesce({good}, false))"
+        told = f"filter({mine}, v -> schema_of_variant(v) <> 'VOID')"
+        return f"coalesce(get({bad}, 0), get({told}, size({told}) - 1)) AS {field}"
+
+    kinds = lambda types: "schema_of_variant(v) IN (" + ", ".join(f"'{t}'" for t in types) + ")"
+    time = "try_variant_get(v, '$', 'string')"
+    rule = RFC3339.replace("\\", "\\\\")
+    time_ok = (f"schema_of_variant(v) = 'VOID' OR (schema_of_variant(v) = 'STRING' AND {time} RLIKE '{rule}' "
+               f"AND try_to_timestamp({time}) IS NOT NULL)")
+    fields = [value("id", kinds(_INTEGER)), value("timestamp", time_ok), *[value(f, kinds(_STRING)) for f in ("level", "message", "source")],
+              "get(transform(filter(__names, e -> e.name = 'log'), e -> __values[e.nr]), 0) AS log"]
+    built = f"to_variant_object(struct({', '.join(fields)}))"
+    # __names and __values are bound by one-element arrays, so they are made once
+    return F.expr(f"get(transform(array(struct({names} AS n, {values} AS v)), x -> "
+                  f"{built.replace('__names', 'x.n').replace('__values', 'x.v')}), 0)")
 
 
 def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None) -> DataFrame:
@@ -95,29 +106,24 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
     p = F.col(payload_col)
     ts_now = ts_lit(ingest_ts or DEFAULT_INGEST_TS) if not isinstance(ingest_ts, Column) else ingest_ts
     keys = F.json_object_keys(p)
-    df = raw.withColumns({"__v": F.try_parse_json(p), "__keys": keys})
-    df = df.withColumn("__odd", _odd(F.col("__keys"))).withColumn("__entries", F.when(F.col("__odd"), _entries(payload_col)))
+    df = raw.withColumn("__keys", keys).withColumn("__odd", _odd(F.col("__keys")))
+    df = df.withColumn("__v", F.when(F.col("__odd"), _resolved(payload_col)).otherwise(F.try_parse_json(p)))
     has = lambda k: F.coalesce(F.array_contains(F.col("__keys"), k), F.lit(False))
     is_obj = F.col("__keys").isNotNull()
     is_null_doc = F.coalesce(F.expr("schema_of_variant(__v)") == "VOID", F.lit(False))  # JSON null: empty object
 
-    ts_raw = _text("timestamp")
+    ts_raw = _vstr("timestamp")
     ts_type = _vtype("timestamp")
-    good_time = lambda c: c.rlike(RFC3339) & F.try_to_timestamp(c).isNotNull()
-    ts_given = F.when(F.col("__odd"), ts_raw.isNotNull()).otherwise(ts_type.isNotNull() & (ts_type != "VOID"))
+    ts_given = ts_type.isNotNull() & (ts_type != "VOID")
     ts_parsed = F.try_to_timestamp(ts_raw).cast("timestamp_ntz")
-    ts_ok = F.when(F.col("__odd"), F.forall(_named("timestamp"), lambda e: (e["type"] == "VOID") | (
-        (e["type"] == "STRING") & F.coalesce(good_time(e["text"]), F.lit(False))))).otherwise(
-        ts_type.isNull() | (ts_type == "VOID") | ((ts_type == "STRING") & ts_raw.rlike(RFC3339) & ts_parsed.isNotNull()))
-    types_ok = (_typed("message", _STRINGS) & _typed("level", _STRINGS) & _typed("source", _STRINGS)
-                & _typed("id", _INTEGERS) & ts_ok)
-
-    msg_s = F.coalesce(_text("message"), F.lit(""))
-    lvl_s = F.coalesce(_text("level"), F.lit(""))
-    src_s = F.coalesce(F.nullif(F.coalesce(_text("source"), F.lit("")), F.lit("")), F.lit("unknown"))
-    log_entries = F.filter("__entries", lambda e: e["name"] == "log")
-    log_s = F.when(F.col("__odd"), F.get(log_entries, 0)["text"]).otherwise(_vstr("log"))
-    log_type = F.when(F.col("__odd"), F.get(log_entries, 0)["type"]).otherwise(_vtype("log"))
+    ts_ok = (~ts_given) | ((ts_type == "STRING") & ts_raw.rlike(RFC3339) & ts_parsed.isNotNull())
+    types_ok = (_typed("message", _STRING) & _typed("level", _STRING) & _typed("source", _STRING)
+                & _typed("id", _INTEGER) & ts_ok)
+
+    msg_s = F.coalesce(_vstr("message"), F.lit(""))
+    lvl_s = F.coalesce(_vstr("level"), F.lit(""))
+    src_s = F.coalesce(F.nullif(F.coalesce(_vstr("source"), F.lit("")), F.lit("")), F.lit("unknown"))
+    log_s = _vstr("log")
 
     structured = is_obj & has("message")
     legacy = (is_obj & ~has("message") & has("log"))
@@ -127,7 +133,7 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
          .when(structured & (msg_s == ""), F.lit(EMPTY_MESSAGE))
          .when(structured & ~L.is_valid_ingest_level(lvl_s), F.lit(INVALID_LEVEL))
          .when(structured & (F.length(src_s) > 100), F.lit(STORE_FAILED))
-         .when(legacy & (log_type != "STRING"), F.lit(HANDLER_FAILED))
+         .when(legacy & (_vtype("log") != "STRING"), F.lit(HANDLER_FAILED))
          .when(legacy & (F.coalesce(log_s, F.lit("")) == ""), F.lit(EMPTY_MESSAGE))
          .when(~structured & ~legacy, F.lit(MISSING_FIELDS))
     )
@@ -141,7 +147,7 @@ def route_payloads(raw: DataFrame, payload_col: str = "payload", ingest_ts=None)
         F.when(structured, src_s).otherwise(F.lit("legacy_api")).alias("source"),
         F.when(structured & ts_given, ts_parsed).otherwise(ts_now).alias("log_ts"),
     )
-    return out.drop("__v", "__keys", "__odd", "__entries")
+    return out.drop("__v", "__keys", "__odd")
 
 
 def accepted(routed: DataFrame) -> DataFrame:
