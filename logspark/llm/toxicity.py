@@ -240,7 +240,8 @@ def terms_of(text: str) -> Counter:
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of the bounded sample; held-out rows are not in it."""
+    """(toxic, text) of the bounded sample; held-out rows are not in it.  Of
+    equal texts with both labels the toxic one stands."""
     rows = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mixed = F.xxhash64(F.lit("sample"), "doc_id")
@@ -249,7 +250,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         parts.append(rows.where(F.col("toxic") == toxic).withColumn("_mixed", mixed).orderBy("_mixed").limit(most))
     chosen = parts[0].unionByName(parts[1]).select("doc_id", "toxic")
     return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-            .select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"]))
+            .groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic")).select("toxic", "text"))
 
 
 def held_out(doc_id) -> F.Column:
@@ -285,7 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     words = counted.where("not stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     ratio = ((F.col("toxic") + 0.5) / (words["toxic"] or 1)) / ((F.col("clean") + 0.5) / (words["clean"] or 1))
     useful = (counted.withColumn("weight", F.log(ratio)).where((F.col("texts") >= least) & (ratio >= LEAST_RATIO))
-              .orderBy(F.desc(F.col("texts") * F.col("weight")), F.desc(F.length("term")), "term", "stem").limit(4_000))
+              .orderBy(F.desc(F.col("texts") * F.col("weight")), F.desc(F.length("term")), "term", "stem"))
+    # bounded by the sample: each candidate stands in ``least`` of its toxic texts
     candidates = [(r["term"], r["stem"], r["weight"]) for r in useful.collect()]
     terms = cover(sample, candidates, least)
     model = Model(terms)

@@ -92,3 +92,10 @@ def test_nothing_to_learn_from(odd_docs, no_docs, corpus):
     assert {r["score"] for r in T.scored(odd_docs, labels.limit(0)).collect()} == {0.0}
     assert T.scored(no_docs, labels).count() == 0
     assert T.scored(odd_docs, labels).count() == 12
+
+
+def test_equal_texts_with_both_labels_are_toxic(spark, make_docs):
+    docs = make_docs([(i, "the same words" if i % 2 else f"other {i}") for i in range(40)])
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 1)) for i in range(40)], "doc_id long, quality int, toxic int")
+    sample = {r["text"]: r["toxic"] for r in T.learning_sample(docs, labels).collect()}
+    assert sample["the same words"] == 1 and {v for k, v in sample.items() if k != "the same words"} == {0}
