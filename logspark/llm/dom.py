@@ -46,24 +46,34 @@ TOPICS = (
     ("form", ("form", "search", "login", "signup", "register", "input", "contact")),
     ("social", ("share", "sharing", "social", "follow", "like", "tweet", "facebook", "tags", "rating")),
 )
+# A class that says in what state or setting its element is ("has-sidebar", "nav-down") does not tell what the element is.
+STATES_BEFORE = frozenset(("has", "no", "not", "with", "without", "is", "show", "hide", "hides", "enable", "disable"))
+STATES_AFTER = frozenset(("open", "closed", "up", "down", "on", "off", "enabled", "disabled", "visible", "layout", "active", "fixed",
+                          "left", "right", "status"))
 WHOLE = frozenset(("ad", "ads", "side", "more", "like", "head", "foot", "body", "text", "rail", "form", "main", "post", "legal"))
 FEATURES = [*(f"tag_{k}" for k in KINDS), *(f"own_{t}" for t, _ in TOPICS), *(f"above_{t}" for t, _ in TOPICS),
-            "above_article", "above_boilerplate", "depth", "text", "own_text", "blocks", "density", "link_share",
+            "above_article", "in_boilerplate", "depth", "text", "own_text", "blocks", "density", "link_share",
             "stop_share", "paragraphs", "items", "controls", "siblings", "place", "alike_siblings", "share_of_parent",
-            "share_of_page", "page_text", "sibling_text"]
+            "share_of_page", "page_text", "sibling_text", "own_names", "own_state", "first_text", "before",
+            "after", "heading_before", "heading_inside", "same_shape", "above_same_shape", "share_of_largest", "mean_paragraph"]
+STATE = 1 << len(TOPICS)
 _TOPIC_CACHE: dict[str, int] = {}
 
 
 def topics(name: str) -> int:
-    """Bits of the topics that an attribute value tells of."""
+    """Bits of the topics that an attribute value tells of, and ``STATE``."""
     known = _TOPIC_CACHE.get(name)
     if known is None:
         known = 0
-        for part in NAME_PART.findall(name):
-            part = part.lower()
-            for nr, (_, stems) in enumerate(TOPICS):
-                if any(part == s or (s not in WHOLE and part.startswith(s)) for s in stems):
-                    known |= 1 << nr
+        for token in name.split():
+            parts = [part.lower() for part in NAME_PART.findall(token)]
+            if len(parts) > 1 and (parts[0] in STATES_BEFORE or parts[-1] in STATES_AFTER):
+                known |= STATE
+                continue
+            for part in parts:
+                for nr, (_, stems) in enumerate(TOPICS):
+                    if any(part == s or (s not in WHOLE and part.startswith(s)) for s in stems):
+                        known |= 1 << nr
         if len(_TOPIC_CACHE) > 50_000:
             _TOPIC_CACHE.clear()
         _TOPIC_CACHE[name] = known
@@ -72,13 +82,14 @@ def topics(name: str) -> int:
 
 class Node:
     __slots__ = ("tag", "topics", "parent", "children", "depth", "own", "text", "links", "stops", "blocks",
-                 "paragraphs", "items", "controls", "name")
+                 "paragraphs", "items", "controls", "name", "first", "before", "titled", "titles", "prose")
 
     def __init__(self, tag: str, own_topics: int, parent: Node | None, name: str = ""):
         self.tag, self.topics, self.parent, self.name = tag, own_topics, parent, name
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
         self.own = self.text = self.links = self.stops = self.blocks = self.paragraphs = self.items = self.controls = 0
+        self.first = self.before = self.titled = self.titles = self.prose = 0
         if parent:
             parent.children.append(self)
 
@@ -118,15 +129,22 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("html", 0, None)
     nodes, pieces, current, at, in_link = [root], [], root, 0, False
     buffer: list[str] = []
+    so_far = titles = 0
     ends = dropped_parts(source) if DROPPED_START.search(source) else {}
 
     def flush():
+        nonlocal so_far
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split()) if any("&" in b for b in buffer) else " ".join("".join(buffer).split())
             if text:
                 pieces.append((current, text))
                 current.own += len(text)
                 current.stops += sum(text.count(c) for c in ".!?,;")
+                so_far += len(text)
+                node = current
+                while node is not None and not node.first:
+                    node.first = len(text)
+                    node = node.parent
             buffer.clear()
 
     for token in TOKEN.finditer(source):
@@ -184,6 +202,10 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     told |= topics(value)
                     label += value
             current = Node(name, told, current, f"{name} {label}")
+            current.before, current.titled = so_far, titles
+            if name == "h1":
+                titles += 1
+                current.titles = 1
             nodes.append(current)
         elif name == "a":
             in_link = True
@@ -199,6 +221,11 @@ def parse(source: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, pieces
 
 
+def shape(node: Node) -> tuple:
+    """What siblings written by one template have in common."""
+    return (node.tag, *(c.tag for c in node.children[:3]))
+
+
 def features(nodes: list[Node]) -> list[list[float]]:
     """One row for each node (``FEATURES``)."""
     for node in reversed(nodes):                          # children stand behind their parents
@@ -212,41 +239,50 @@ def features(nodes: list[Node]) -> list[list[float]]:
             parent.blocks += node.blocks
             parent.controls += node.controls
             parent.paragraphs += node.paragraphs + (node.tag == "p" and node.text > 60)
+            parent.prose += node.prose + (node.text if node.tag == "p" and node.text > 60 else 0)
+            parent.titles += node.titles
             parent.items += node.items + (node.tag == "li")
     page = nodes[0].text + 1.0
-    above: dict[int, tuple[int, bool, bool]] = {}
-    groups: dict[int, tuple[int, dict[str, int], dict[int, int]]] = {}
+    above: dict[int, tuple[int, bool, bool, int]] = {}
+    groups: dict[int, tuple[int, dict[str, int], dict[int, int], dict[tuple, int], int]] = {}
     rows, width, topic_count = [], len(KINDS), len(TOPICS)
     bits = range(topic_count)
     for node in nodes:
         parent = node.parent
         kind = KIND.get(node.tag, 18)
         if parent is None:
-            seen, in_article, in_other = 0, False, False
-            siblings, place, alike, share, near = 1, 0.0, 0.0, 1.0, 0.0
+            seen, in_article, in_other, repeated = 0, False, False, 0
+            siblings, place, alike, share, near, same, largest = 1, 0.0, 0.0, 1.0, 0.0, 1, node.text
         else:
             own_key = id(parent)
-            seen, in_article, in_other = above[own_key]
+            seen, in_article, in_other, repeated = above[own_key]
             if own_key not in groups:
                 alike_counts: dict[str, int] = {}
+                shapes: dict[tuple, int] = {}
                 for child in parent.children:
                     alike_counts[child.name] = alike_counts.get(child.name, 0) + 1
-                groups[own_key] = (len(parent.children), alike_counts, {id(c): i for i, c in enumerate(parent.children)})
-            siblings, alike_counts, order = groups[own_key]
+                    shapes[shape(child)] = shapes.get(shape(child), 0) + 1
+                groups[own_key] = (len(parent.children), alike_counts, {id(c): i for i, c in enumerate(parent.children)},
+                                   shapes, max(c.text for c in parent.children))
+            siblings, alike_counts, order, shapes, largest = groups[own_key]
+            same = shapes[shape(node)]
             place = order[id(node)] / siblings
             alike = alike_counts[node.name] / siblings
             share = node.text / (parent.text + 1.0)
             near = (parent.text - node.text) / siblings
-        above[id(node)] = (seen | node.topics, in_article or kind in (0, 1), in_other or kind in (11, 12, 13, 14, 15))
+        above[id(node)] = (seen | node.topics, in_article or kind in (0, 1), in_other or kind in (11, 12, 13, 14, 15),
+                           max(repeated, same if node.children and kind != 8 else 0))
         row = [0.0] * width
         row[kind] = 1.0
         told = node.topics
         row += [float(told >> b & 1) for b in bits]
         row += [float(seen >> b & 1) for b in bits]
         text = node.text
-        row += [float(in_article), float(in_other), float(node.depth), log1p(text), log1p(node.own), log1p(node.blocks),
+        row += [float(in_article), float(in_other or kind in (11, 13, 14, 15)), float(node.depth), log1p(text), log1p(node.own), log1p(node.blocks),
                 text / node.blocks, node.links / (text + 1.0), 100.0 * node.stops / (text + 20.0), float(node.paragraphs),
                 float(node.items), float(node.controls), float(siblings), place, alike, share, text / page, log1p(page),
-                log1p(near)]
+                log1p(near), float((told & (STATE - 1)).bit_count()), float(told >= STATE), log1p(node.first), node.before / page,
+                1.0 - (node.before + text) / page, float(node.titled > 0), float(node.titles > 0), float(same), float(repeated),
+                text / (largest + 1.0), log1p(node.prose / (node.paragraphs or 1))]
         rows.append(row)
     return rows

@@ -2,9 +2,11 @@
 
 *Model.*  Gradient-boosted trees (:mod:`boosting`) give every block node the
 probability that its text is article text, from its tag, attribute tokens of
-its own and of its ancestors, depth, text density, link share, and what its
-siblings are like (:mod:`dom`).  They are trained, at every call, on pages
-laid out here in many ways (``layouts``) and filled with paragraphs of a
+its own and of its ancestors, depth, text density, link share, its first
+text, the text before and after it, and what its siblings are like
+(:mod:`dom`); class words that tell of a setting (has-sidebar) name nothing.
+They are trained, at every call, on pages laid out here in many ways (:class:`Layouts`: named as usual, without names,
+or with names of other parts) and filled with paragraphs of a
 bounded sample of the given pages (``SAMPLE_PAGES`` with the smallest hash),
 so that every training node's label is known.
 
@@ -12,12 +14,16 @@ so that every training node's label is known.
 Below an article node all is article, below the second nothing is; only the
 parts of a mixed node may differ.  A dynamic programme over the tree finds
 the most likely choice for the whole page, so no node contradicts its
-ancestors or descendants.
+ancestors or descendants.  Where that keeps nothing, the part nearest to an
+article is kept if it is not too unlikely (:func:`chosen`).
 
 *Text.*  Kept pieces in page order, character references decoded, white
 space runs to one blank, joined by one blank.  Scripts, styles and the like
 are never text.  A null or empty page has the text ""; repeated rows are
-extracted each for itself; an empty table gives no rows.
+extracted each for itself; an empty table gives no rows.  Very long pages are
+read whole.  Between equally likely choices
+article throughout stands before nothing, nothing before mixed.  Only
+``page_id``, ``url`` and ``html`` are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -36,8 +42,9 @@ from .dom import Node, features, parse
 SAMPLE_PAGES = 64
 SAMPLE_PARAGRAPHS = 400
 SAMPLE_CHARS = 1_000
-LAYOUTS = 900
-MIXED_COST = 0.6
+LAYOUTS = 1_300
+MIXED_COST = 1.0
+LEAST_ODDS = 0.0                                          # of a part that is kept where the likeliest choice keeps none
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # The ways in which layouts name their parts: (tag, attributes).
@@ -62,6 +69,12 @@ COMMENTS = (("section", 'class="comments"'), ("div", 'id="comments"'), ("div", '
             ("ol", 'class="commentlist"'), ("section", 'id="reader-comments"'), ("div", 'class="replies"'), ("div", 'class="discussion"'))
 FORMS = (("form", ""), ("form", 'class="search"'), ("div", 'class="signup-form"'), ("form", 'id="login"'), ("div", 'class="contact-form"'))
 SHARES = (("div", 'class="share"'), ("ul", 'class="social-links"'), ("div", 'class="tags"'))
+# Classes of themes, which tell of the page's setting and stand on any element.
+SETTINGS = ("sidebar", "comment", "comments", "nav", "menu", "header", "footer", "ads", "share", "cookie", "widget", "search")
+SETTING_FORMS = ("has-{}", "no-{}", "{}-open", "{}-closed", "{}-right", "with-{}", "{}-layout", "single-{}", "{}", "theme-{}-2")
+CONTENT_WORDS = ("post", "article", "content", "entry", "story", "main", "page")
+PLAIN_TAGS = {"menu": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "side": ("aside", "div", "section"),
+              "form": ("form",), "comment": ("div", "section", "ol")}
 WRAPPERS = (("div", 'id="page"'), ("div", 'class="container"'), ("div", 'class="wrapper"'), ("div", ""), ("div", 'class="row"'))
 
 
@@ -72,6 +85,7 @@ class Layouts:
 
     def __init__(self, paragraphs: list[str], seed: int = 7):
         self.rng = random.Random(seed)
+        self.naming = "told"
         self.long = [p for p in paragraphs if len(p) >= 80] or ["A longer sentence of words, to stand for a paragraph. " * 3]
         self.words = " ".join(paragraphs[:80]).split() or ["word"]
 
@@ -83,50 +97,103 @@ class Layouts:
     def paragraph(self) -> str:
         return self.rng.choice(self.long) if self.rng.random() < 0.75 else self.some(1, 25)
 
-    def wrap(self, choice, inner: str) -> str:
-        tag, rest = self.rng.choice(choice)
+    def opaque(self) -> str:
+        """An attribute that tells nothing, or none."""
+        rng = self.rng
+        kind = rng.random()
+        letters = "".join(rng.choice("bcdefgkmqrstvwxz") for _ in range(rng.randint(1, 2)))
+        return "" if kind < 0.3 else f'class="{letters}{rng.randint(1, 99)}"' if kind < 0.8 else f'class="css-{rng.randint(10, 9_999)}"'
+
+    def misled(self, rest: str, article: bool) -> str:
+        """The attributes with words that belong to other parts of pages."""
+        rng = self.rng
+        if article:
+            more = [rng.choice(SETTING_FORMS).format(rng.choice(SETTINGS)) for _ in range(rng.randint(1, 3))]
+        else:
+            name = rest.partition('"')[2].rstrip('"') or "box"
+            more = [rng.choice((f"{rng.choice(CONTENT_WORDS)}-{name}", f"{name} {rng.choice(CONTENT_WORDS)}-bottom", name))]
+        own = rest.partition('"')[2].rstrip('"').split() if article and "class" in rest else []
+        return f'class="{" ".join(own + more)}"'
+
+    def named(self, tag: str, rest: str, kind: str) -> str:
+        """The start tag's inside, as the naming of this page has it."""
+        if self.naming == "plain":
+            semantic = tag in ("article", "main", "nav", "header", "footer", "aside", "form", "dialog")
+            tag = tag if semantic and self.rng.random() < 0.4 else self.rng.choice(PLAIN_TAGS.get(kind, ("div", "section")))
+            rest = self.opaque()
+        elif self.naming == "misled" and self.rng.random() < 0.8:
+            rest = self.misled(rest, kind in ("article", "wrapper"))
+        return f"{tag} {rest}" if rest else tag
+
+    def wrap(self, choice, inner: str, kind: str = "") -> str:
+        opened = self.named(*self.rng.choice(choice), kind)
+        tag = opened.split(" ")[0]
         if tag == "p":                                    # a paragraph holds no other
             inner = inner.replace("<p>", "").replace("</p>", " ")
-        return f"<{tag} {rest}>{inner}</{tag}>" if rest else f"<{tag}>{inner}</{tag}>"
+        return f"<{opened}>{inner}</{tag}>"
+
+    def comments(self) -> str:
+        """Items of one template: who and when, what, perhaps answers."""
+        rng = self.rng
+        opened = rng.choice(('div class="comment"', "li", 'article class="comment"', "div"))
+        if self.naming == "plain":
+            opened = f"{rng.choice(('div', 'li', 'div', 'article'))} {self.opaque()}".strip()
+        tag = opened.split(" ")[0]
+        who = rng.choice(("", "", "<b>{}</b> ", "<span>{}</span><br>", "<p>{}</p>", "<div>{}</div>", "<p><b>{}</b></p>", "<h4>{}</h4>",
+                          "<div><a href=/u>{}</a> 3 d</div>"))
+        if self.naming == "plain" and not who:
+            who = "<p>{}</p>"
+        answer = rng.choice(("", "", '<a href="#r">{}</a>', "<button>{}</button>", "<p><a href=x>{}</a></p>"))
+        block, share = rng.random() < 0.7, rng.random()
+
+        def item(deep: int) -> str:
+            said = self.paragraph() if rng.random() < share else self.some(3, 40)
+            inner = who.format(self.some(1, 3)) + (f"<p>{said}</p>" if block else said) + answer.format(self.some(1, 1))
+            if deep and rng.random() < 0.2:
+                inner += f"<div>{item(deep - 1)}</div>"
+            return f"<{opened}>{inner}</{tag}>"
+
+        heading = f"<h3>{self.some(1, 3)}</h3>" if rng.random() < 0.6 else ""
+        listed = "".join(item(2) for _ in range(rng.randint(2 if self.naming == "plain" else 1, 9)))
+        return heading + (f"<div {self.opaque()}>{listed}</div>" if rng.random() < 0.3 else listed)
 
     def links(self, low: int = 3, high: int = 9) -> str:
         items = [f'<a href="/{i}">{self.some(1, 3)}</a>' for i in range(self.rng.randint(low, high))]
         return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if self.rng.random() < 0.7 else " ".join(items)
 
     def outside(self, kind: str) -> str:
-        rng = self.rng
+        rng, told = self.rng, self.naming != "plain"
         if kind == "menu":
-            return self.wrap(MENUS, self.links())
+            return self.wrap(MENUS, self.links(), kind)
         if kind == "header":
-            return self.wrap(HEADERS, (f"<h1>{self.some(1, 4)}</h1>" if rng.random() < 0.5 else self.some(1, 6))
-                             + (self.wrap(MENUS, self.links()) if rng.random() < 0.5 else "")
-                             + (f"<p>{self.some(3, 12)}</p>" if rng.random() < 0.4 else ""))
+            return self.wrap(HEADERS, (f"<h1>{self.some(1, 4)}</h1>" if rng.random() < (0.5 if told else 0.2) else self.some(1, 6))
+                             + (self.wrap(MENUS, self.links(), "menu") if rng.random() < 0.5 else "")
+                             + (f"<p>{self.some(3, 12)}</p>" if rng.random() < 0.4 else ""), kind)
         if kind == "footer":
             return self.wrap(FOOTERS, ("&copy; " if rng.random() < 0.6 else "") + self.some(2, 30)
-                             + (f"<p>{self.paragraph()}</p>" if rng.random() < 0.3 else "")
-                             + (self.links() if rng.random() < 0.4 else ""))
+                             + (f"<p>{self.paragraph()}</p>" if told and rng.random() < 0.3 else "")
+                             + (self.links() if rng.random() < 0.4 else ""), kind)
         if kind == "side":
             return self.wrap(SIDES, f"<h3>{self.some(1, 4)}</h3>" + "".join(
-                f"<p>{self.paragraph()}</p>" for _ in range(rng.randint(0, 3))) + (self.links() if rng.random() < 0.7 else ""))
+                f"<p>{self.paragraph()}</p>" for _ in range(rng.randint(0, 3 if told else 1)))
+                + (self.links() if not told or rng.random() < 0.7 else ""), kind)
         if kind == "advert":
-            return self.wrap(ADVERTS, self.some(2, 20) if rng.random() < 0.5 else f"<p>{self.paragraph()}</p>")
+            return self.wrap(ADVERTS, self.some(2, 20) if rng.random() < (0.5 if told else 0.9) else f"<p>{self.paragraph()}</p>", kind)
         if kind == "notice":
-            return self.wrap(NOTICES, self.some(4, 30) if rng.random() < 0.6 else f"<p>{self.paragraph()}</p><button>OK</button>")
+            return self.wrap(NOTICES, self.some(4, 30) + ("" if told else "<button>OK</button>") if rng.random() < 0.6
+                             else f"<p>{self.paragraph()}</p><button>OK</button>", kind)
         if kind == "form":
             return self.wrap(FORMS, f"<label>{self.some(1, 4)}</label><input name=q><button>{self.some(1, 2)}</button>"
-                             + (f"<p>{self.some(3, 20)}</p>" if rng.random() < 0.3 else ""))
+                             + (f"<p>{self.some(3, 20)}</p>" if rng.random() < 0.3 else ""), kind)
         if kind == "share":
-            return self.wrap(SHARES, self.links(2, 5))
-        item = rng.choice(("div class=\"comment\"", "li", "article class=\"comment\"", "div"))
-        return self.wrap(COMMENTS, f"<h3>{self.some(1, 3)}</h3>" + "".join(
-            f"<{item}>" + (f"<p>{self.paragraph()}</p>" if rng.random() < 0.6 else self.some(3, 40)) + f"</{item.split(' ')[0]}>"
-            for _ in range(rng.randint(1, 6))))
+            return self.wrap(SHARES, self.links(2, 5), kind)
+        return self.wrap(COMMENTS, self.comments(), kind)
 
     def article(self) -> str:
         rng, parts = self.rng, []
         for _ in range(rng.randint(1, 2) if rng.random() < 0.35 else rng.randint(2, 9)):
             kind = rng.random()
-            text = self.paragraph()
+            text = " ".join(self.paragraph() for _ in range(1 if rng.random() < 0.92 else rng.randint(3, 30)))
             if kind < 0.72:
                 text = f"<b>{text}</b>" if rng.random() < 0.1 else text
                 parts.append(f"<p>{text}</p>" if rng.random() < 0.85 else f"<p>{text}<br>")
@@ -151,23 +218,27 @@ class Layouts:
                 out += f"\x01{self.outside(rng.choice(('advert', 'notice', 'form', 'share', 'side')))}\x02"
         if rng.random() < 0.15:
             out += f"\x01{self.outside('comment')}\x02"
-        tag, rest = rng.choice(ARTICLE)
-        opened = f"<{tag} {rest}>" if rest else f"<{tag}>"
-        return f"\x02{opened}{out}</{tag}>\x01"
+        opened = self.named(*rng.choice(ARTICLE), "article")
+        return f"\x02<{opened}>{out}</{opened.split(' ')[0]}>\x01"
 
     def page(self) -> str:
-        """Source in which \\x02 begins article text and \\x01 ends it."""
+        """Source in which \\x02 begins article text and \\x01 ends it.  Names
+        tell of the parts, tell nothing (``plain``) or belong to other parts (``misled``)."""
         rng = self.rng
+        self.naming = rng.choice(("told", "told", "told", "plain", "misled"))
         kinds = ["menu", "header", "footer", "side", "advert", "notice", "comment", "form", "share"]
         before = [self.outside(k) for k in rng.sample(kinds, rng.randint(0, 5)) if k not in ("footer", "comment")]
-        after = [self.outside(k) for k in rng.sample(kinds, rng.randint(1, 5)) if k != "header"]
+        after = [self.outside(k) for k in rng.sample(kinds, rng.randint(0, 5)) if k != "header"]
+        if rng.random() < 0.08:                           # nothing but the article
+            before, after = [], []
         body = self.article()
         for _ in range(rng.randint(0, 2)):
-            tag, rest = rng.choice(WRAPPERS)
+            opened = self.named(*rng.choice(WRAPPERS), "wrapper")
             inner_before, inner_after = (before, []) if rng.random() < 0.3 else ([], after if rng.random() < 0.3 else [])
             before, after = ([] if inner_before else before), ([] if inner_after else after)
-            body = f"<{tag} {rest}>{''.join(inner_before)}{body}{''.join(inner_after)}</{tag}>"
-        return f"<html><head><title>{self.some(1, 5)}</title></head><body>\x01{''.join(before)}{body}{''.join(after)}</body></html>"
+            body = f"<{opened}>{''.join(inner_before)}{body}{''.join(inner_after)}</{opened.split(' ')[0]}>"
+        start = f"body {self.misled('', True)}" if self.naming == "misled" and rng.random() < 0.4 else "body"
+        return f"<html><head><title>{self.some(1, 5)}</title></head><{start}>\x01{''.join(before)}{body}{''.join(after)}</body></html>"
 
 
 def labelled(source: str) -> tuple[list[list[float]], list[float]]:
@@ -202,7 +273,7 @@ def train(paragraphs: list[str], layouts: int = LAYOUTS) -> BoostedTrees:
         rows, labels = labelled(maker.page())
         x += rows
         y += labels
-    return BoostedTrees().fit(np.array(x), np.array(y))
+    return BoostedTrees(trees=120).fit(np.array(x), np.array(y))
 
 
 def sample_paragraphs(pages: DataFrame) -> list[str]:
@@ -256,6 +327,29 @@ def decode(nodes: list[Node], chance: np.ndarray) -> set[int]:
     return kept
 
 
+def chosen(nodes: list[Node], chance: np.ndarray) -> set[int]:
+    """:func:`decode`, and for the pages that it finds no article on the part
+    likeliest to be one, if its odds (log, summed over its nodes) reach
+    ``LEAST_ODDS``: few pages have no article."""
+    kept = decode(nodes, chance)
+    if any(n.own and id(n) in kept for n in nodes):
+        return kept
+    p = np.clip(chance, 1e-4, 1 - 1e-4)
+    odds = (np.log(p) - np.log(1 - p)).tolist()
+    number = {id(n): i for i, n in enumerate(nodes)}
+    for i in range(len(nodes) - 1, 0, -1):
+        if nodes[i].text:
+            odds[number[id(nodes[i].parent)]] += odds[i]
+    best = max((i for i, n in enumerate(nodes) if n.text), key=lambda i: odds[i], default=0)
+    if odds[best] < LEAST_ODDS:
+        return kept
+    inside = {id(nodes[best])}
+    for node in nodes[best + 1:]:                         # children stand behind their parents
+        if id(node.parent) in inside:
+            inside.add(id(node))
+    return inside
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
     sent = pages.sparkSession.sparkContext.broadcast(train(sample_paragraphs(pages)))
@@ -270,7 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 chance = model.predict(np.array([r for page in rows for r in page]))
                 texts, first = [], 0
                 for nodes, pieces in parsed:
-                    kept = decode(nodes, chance[first:first + len(nodes)])
+                    kept = chosen(nodes, chance[first:first + len(nodes)])
                     first += len(nodes)
                     texts.append(" ".join(text for node, text in pieces if id(node) in kept))
                 yield pa.RecordBatch.from_arrays(

@@ -1,13 +1,14 @@
 import html
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from logspark.llm import html_extract as H
 from logspark.llm.boosting import BoostedTrees
-from logspark.llm.dom import features, parse
+from logspark.llm.dom import STATE, features, parse, topics
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -33,7 +34,7 @@ def model():
 
 def text_of(model, source):
     nodes, pieces = parse(source)
-    kept = H.decode(nodes, model.predict(np.array(features(nodes))))
+    kept = H.chosen(nodes, model.predict(np.array(features(nodes))))
     return " ".join(t for n, t in pieces if id(n) in kept)
 
 
@@ -54,6 +55,68 @@ def test_unseen_layouts(model):
     assert right >= 0.85 * 120
 
 
+PROSE = ["The council met on Tuesday to discuss the new bridge over the river. Several members spoke at length.",
+         "Engineers said the span would need four years to build, and that costs may rise. Nobody was surprised.",
+         "Residents have asked for a footpath, lights and a safe crossing for children, who walk there each day.",
+         "The mayor answered that the budget holds enough for both. A vote is planned for the spring, they added.",
+         "Work could begin next summer if the state agrees; a study of the river bed has already been paid for."]
+SAID = [("Ann", "I like this bridge very much, it was about time that they built it."),
+        ("Bob T.", "No, the money should go to schools and not to yet another road."),
+        ("carl99", "Does anyone know when the works start? The article does not say.")]
+BODY = "<h1>A new bridge for the town</h1>" + "".join(f"<p>{p}</p>" for p in PROSE)
+WANTED = "A new bridge for the town " + " ".join(PROSE)
+ITEMS = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</ul>"
+FOOT = "&copy; 2024 The Paper. All rights reserved."
+# Families that the training layouts do not write: their words and nestings are the tests' own.
+MISLEADING = [
+    f"<body><nav>{ITEMS}</nav><article class='post has-sidebar comment-open'>{BODY}</article><footer>{FOOT}</footer>",
+    f"<body class='sidebar-right cookies-set'><nav>{ITEMS}</nav><div class='ad-free share-post footer-widget-area'>{BODY}</div><footer>{FOOT}</footer>",
+    f"<body><div id=page class=nav-down><nav>{ITEMS}</nav><main class='site-main header-fixed'><div class='entry no-comments'>{BODY}</div></main>"
+    f"<footer>{FOOT}</footer></div>",
+    f"<body class=popup-closed><header>{ITEMS}</header><section class='is-promoted with-newsletter'><div>{BODY}</div></section><footer>{FOOT}</footer>",
+]
+
+
+def nameless(outer, item, who, inside):
+    said = "".join(f"<{item}>{who.format(name)}<p>{text}</p></{item.split(' ')[0]}>" for name, text in SAID)
+    said = f"<{outer}>{said}</{outer.split(' ')[0]}>"
+    return (f"<body><nav>{ITEMS}</nav><article>{BODY}{said}</article><footer>{FOOT}</footer>" if inside else
+            f"<body><nav>{ITEMS}</nav><div class=b0><div class=b1>{BODY}</div>{said}</div><footer>{FOOT}</footer>")
+
+
+NAMELESS = [f"<body><div class=q>{ITEMS}</div><div class=z>{BODY}</div><div class=k>{FOOT}</div>"] + [
+    nameless(outer, item, who, inside) for outer, item in (("div class=b2", "div class=b3"), ("ul class=u", "li"), ("section", "div"))
+    for who in ("<p>{}</p>", "<b>{}</b>", "<div>{}</div>") for inside in (False, True)]
+
+
+def word_f1(got, wanted):
+    a, b = Counter(got.split()), Counter(wanted.split())
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+@pytest.mark.parametrize("family", [MISLEADING, NAMELESS], ids=["misleading names", "no names"])
+def test_held_out_families(model, family):
+    scores = [word_f1(text_of(model, f"<html>{page}</body></html>"), WANTED) for page in family]
+    assert np.mean(scores) >= 0.95, [round(s, 2) for s in scores]
+
+
+def test_a_page_without_article_has_no_text(model):
+    for page in (f"<body><nav>{ITEMS}</nav><footer>{FOOT}</footer>", f"<body><div class=menu>{ITEMS}</div><div class=footer>{FOOT}</div>"):
+        assert text_of(model, f"<html>{page}</body></html>") == ""
+
+
+def test_settings_name_nothing():
+    assert topics("has-sidebar") == topics("nav-down") == topics("comment-open") == STATE
+    assert topics("post has-sidebar") == topics("post") | STATE
+    assert topics("sidebar") and topics("sidebar") < STATE
+
+
+def test_times_grow_with_the_page():
+    source = "<div><p>a</p>" * 20_000
+    nodes, _ = parse(source)
+    assert len(features(nodes)) == len(nodes) and nodes[0].first == 1 and nodes[-1].before == 19_999
+
+
 def test_the_likeliest_consistent_choice_is_taken():
     """Against all ways to call nodes article (I), not article (O) or mixed (M)
     in which nothing below I or O differs from it."""
@@ -115,7 +178,7 @@ def test_many_unclosed_parts_take_linear_time():
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "no markup at all"), (None, "u", "<p>"), (5, "u", "<div>" * 3000 + "deep"),
             (6, "u", "<article><p>" + "word " * 50_000 + "</p></article>"), (6, "u", "<article><p>" + "word " * 50_000 + "</p></article>")]
-    out = H.extract(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'c' AS text", "1 AS n_chars")).collect()
+    out = H.extract(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'c' AS text", "1 AS n_chars", "2 AS node")).collect()
     assert len(out) == 7
     assert [r["text"] for r in out if r["page_id"] in (1, 2)] == ["", ""]
     assert [r["n_chars"] for r in out if r["page_id"] == 6] == [249_999] * 2
