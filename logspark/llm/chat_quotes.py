@@ -25,14 +25,16 @@ running value over one row per block.
 
 Null texts count as empty; a null conv_id is a conversation of its own and
 null turns come first in it.  Rows that repeat (conv_id, turn) are replied
-to as one and keep a row each; empty tables give no rows.  Further columns
-are not read.
+to as one and keep a row each; empty tables give no rows.  conv_id may have
+any type that a string can be cast back to; whole numbers are returned as
+long.  Further columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -211,6 +213,8 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     thread), root_turn, position, n_quoted and n_linked (quoted units, and
     those found), text (without quotes, trimmed)."""
     scratch = Scratch(conversations.sparkSession, "chat-quotes")
+    kind = conversations.schema["conv_id"].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
     messages = conversations.select(
         F.coalesce(F.concat(F.lit("0"), F.col("conv_id").cast("string")), F.lit("1")).alias("conv"),
         F.coalesce(F.col("turn").cast("long"), F.lit(NULL_TURN)).alias("turn"), "role", "text")
@@ -232,7 +236,7 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     body = F.when(F.contains("text", F.lit(">")), F.trim(joined(own_lines(parsed_lines(F.col("text")))), )).otherwise(
         F.trim(F.coalesce("text", F.lit(""))))
     return positions(rows).select(
-        F.when(F.col("conv") != "1", F.substring("conv", 2, 64)).cast("long").alias("conv_id"), turn("turn").alias("turn"),
+        F.when(F.col("conv") != "1", F.substring("conv", 2, 1 << 30)).cast(kind).alias("conv_id"), turn("turn").alias("turn"),
         "role", turn("parent").alias("parent_turn"), turn("root").alias("root_turn"), F.col("position").cast("long"),
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), body.alias("text"))

@@ -13,7 +13,9 @@ many tasks.  The buckets are fixed expressions of the rows, not partitions.
 
 Null or empty texts have size 0 and are never taken.  Null is a source of
 its own, the last.  Repeated rows are separate documents.  Equal finish
-times are ordered by source, pass, shuffle value and doc_id.
+times are ordered by source, pass, shuffle value and doc_id.  A very long
+text counts with all its words; an empty table gives no rows.  ``mix`` reads
+doc_id, text and source only; ``repeated`` carries all other columns.
 """
 
 from __future__ import annotations
@@ -163,7 +165,9 @@ def cut(items: DataFrame, spent: DataFrame, scratch: Scratch) -> DataFrame:
 
 def repeated(docs: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` that the mix takes, each as many
-    times as it takes them, with a ``mix_pass`` column from 0."""
+    times as it takes them, with a ``mix_pass`` column from 0 (one that ``docs``
+    has already, of whatever case, gives way to it)."""
+    docs = docs.drop("mix_pass")
     scratch = Scratch(docs.sparkSession, "fair-mix")
     rows, _ = numbered(docs, scratch)
     times = (decided(rows, scratch, max_passes, "_logspark_row").where("taken > 0")

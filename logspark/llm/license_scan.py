@@ -19,7 +19,8 @@ the line of its first word: the fullest of the windows that begin in it.
 Labels are those of the base phrases and of the templates met.  The score
 is the largest containment of a template that is met, 1 with a base phrase,
 else 0.  Null texts count as empty: no words, no labels, score 0.  Repeated
-rows give repeated results; further columns are not read.
+rows give repeated results, an empty table none; very long texts are read
+whole.  Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

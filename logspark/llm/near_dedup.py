@@ -27,14 +27,17 @@ shares no band with probability (1 - 0.8**5)**32 < 4e-6.
    pairs across components compared by a longer signature, in blocks of
    bounded size; those that may reach the threshold are verified as well.
    Hence any two documents that share a band and are similar end in one
-   class, and no group's pairs are all written out.
+   class.  Pairs inside a component are never written; across components all
+   that the estimate does not rule out are, which is many where a bucket's
+   documents are just below the threshold to each other.
 
 The texts of documents that share a bucket are shuffled once and kept beside
 for the exact comparisons.
 
 A class is named by its smallest document, which stays.  Texts without words
 are alike to none.  Null texts count as empty; repeated rows are separate
-documents; a null doc_id comes first.
+documents; a null doc_id comes first.  Very long texts are read whole; empty
+tables give no rows.  Further columns of any name are carried, not read.
 """
 
 from __future__ import annotations

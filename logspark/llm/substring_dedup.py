@@ -20,7 +20,9 @@ in the same).  Windows are judged on the input.
 
 Words are compared as 64-bit hashes.  Null or empty texts have no words.
 Rows that repeat a doc_id are told apart and ordered by a hash of their
-text; a null doc_id comes first.  Further columns are not read.
+text; a null doc_id comes first.  Very long texts are read whole, cut into
+segments of bounded size; empty tables give no rows.  Further columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

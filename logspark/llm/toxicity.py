@@ -22,6 +22,9 @@ The sample is bounded: at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` different
 texts, those with the smallest hashes.  Without toxic or clean rows to learn
 from every score is 0.  Null and empty texts count as texts without matches.
 Repeated rows get equal scores; a null doc_id is held out by the crc32 of "".
+Of equal labelled texts with both labels the toxic one stands.  Very long
+texts are read whole; an empty table gives no rows.  Further columns of any
+name are carried by ``accepted`` and not read.
 """
 
 from __future__ import annotations

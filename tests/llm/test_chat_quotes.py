@@ -94,6 +94,15 @@ def test_odd_rows(spark):
     assert sorted((r["turn"] is None, r["position"]) for r in out if r["conv_id"] is None) == [(False, 1), (True, 0)]
 
 
+def test_conversations_named_by_texts(spark):
+    long = "thread-" + "x" * 100
+    rows = [(long, 0, "user", "first words"), (long, 1, "user", "> first words\nyes"), ("7", 0, "user", "a"), ("", 0, "user", "b"), (None, 0, "user", "c")]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("conv_id long", "conv_id string"))
+    out = {(r["conv_id"], r["turn"]): r for r in Q.reply_order(docs).collect()}
+    assert set(out) == {(long, 0), (long, 1), ("7", 0), ("", 0), (None, 0)}
+    assert out[long, 1]["parent_turn"] == 0 and out[long, 1]["text"] == "yes"
+
+
 def test_empty_table_and_native_plan(spark):
     empty = Q.reply_order(spark.createDataFrame([], SCHEMA))
     assert empty.collect() == []

@@ -70,6 +70,13 @@ def test_odd_rows_empty_table_and_texts_without_words(make_docs, odd_docs, no_do
     assert [r["taken"] for r in mixed(make_docs([(1, None, None), (2, "", "a")]))] == [0, 0]
 
 
+def test_a_mixed_corpus_can_be_mixed_again(make_docs):
+    docs = make_docs([(i, "w " * (i + 1), "a" if i % 3 else "b") for i in range(30)])
+    once = M.repeated(docs).selectExpr("*").withColumnRenamed("mix_pass", "Mix_Pass")
+    again = M.repeated(once)
+    assert again.columns == [*docs.columns, "mix_pass"] and again.count() > 0
+
+
 def test_plan_is_native(make_docs):
     plan = M.mix(make_docs([(1, "a b", "s")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

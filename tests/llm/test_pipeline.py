@@ -46,6 +46,25 @@ def test_stages_and_their_effect(spark, make_docs, tmp_path):
     assert not any(alike(texts[a], texts[b]) >= 0.8 for a in left for b in left if a < b)
 
 
+def stored(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path)).collect()
+
+
+def test_empty_tables(spark, no_docs, tmp_path):
+    assert stored(spark, tmp_path, no_docs) == []
+
+
+def test_odd_rows(spark, odd_docs, tmp_path):
+    """Without labels and benchmark items only copies go, and texts without words are never taken."""
+    out = stored(spark, tmp_path, odd_docs)
+    assert {r["doc_id"] for r in out} <= {6, 7, 8, 9, 10} and out
+    texts = [(r["text"], r["mix_pass"]) for r in out]
+    assert len(texts) == len(set(texts))                   # one row of each text and pass
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == [*corpus_pipeline.COLUMNS, "mix_pass"] and out.count() > 0
