@@ -9,6 +9,12 @@ Stages: documents scored as toxic go; of equal texts the largest doc_id
 stays; of near-duplicates the smallest; documents with a benchmark passage
 go; the rest is mixed to the sources' target weights, a document appearing
 once for each time that the mix takes it (``mix_pass``, from 0).
+
+Null and empty texts are equal texts, of which one stays until the mix, which
+takes no text without words.  Null doc_ids come before all others and their
+rows are told apart.  Very long texts are read whole.  Rows that repeat are
+copies.  Without labels nothing is toxic, without benchmark items nothing is
+a leak; no documents give no rows.  Further columns are not carried.
 """
 
 from __future__ import annotations
