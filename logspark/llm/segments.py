@@ -26,16 +26,9 @@ KEPT = 400_000
 LONGEST = 64
 ID = np.dtype("<u4")
 BLANK_MARK = "▁"
-_BLANKS = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def split(text: str) -> list[str]:
-    """The part before the first cut as it stands, and the others without
-    their leading blank."""
-    return text.split(" ") if _BLANKS.search(text) is None else _CUT.split(text)
-
-
 def packed(ids: Sequence[int]) -> bytes:
     return np.array(ids, ID).tobytes()
 
@@ -49,33 +42,42 @@ class Recurring:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        found = [list(map(self.young.get, segments)) for segments in texts]
-        fresh = {s: b"" for segments, ids in zip(texts, found, strict=True) if None in ids
-                 for s, known in zip(segments, ids, strict=True) if known is None}
-        unknown = []
+    def ids(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
+        """Of each text the part before its first cut, and the ids of the
+        others, which stand without their leading blanks.
+
+        All texts are cut at every blank first.  Where that was no place to
+        cut, a part is empty or has white space at an end; no such part is
+        kept, so they are looked for among the unmet ones only."""
+        known = self.young
+        parts = [text.split(" ") for text in texts]
+        firsts, rests = [p[0] for p in parts], [p[1:] for p in parts]
+        fresh = set().union(*rests).difference(known)
+        odd = {s for s in fresh if not _is_plain(s)}
+        wrong = [nr for nr, (first, rest) in enumerate(zip(firsts, rests, strict=True))
+                 if first[-1:].isspace() or odd and not odd.isdisjoint(rest)]
+        if wrong:
+            for nr in wrong:
+                firsts[nr], *rests[nr] = _CUT.split(texts[nr])
+            fresh = set().union(*rests).difference(known)
+        known.update([(s, self.old[s]) for s in fresh if s in self.old])
+        unmet = [s for s in fresh if s not in known]
+        known.update(zip(unmet, self.encoded(unmet), strict=True))
+        out = [b"".join(map(known.__getitem__, rest)) for rest in rests]
         for segment in fresh:
-            known = self.old.get(segment)
-            if known is None:
-                unknown.append(segment)
-            else:
-                fresh[segment] = known
-        fresh.update(zip(unknown, self.encoded(unknown), strict=True))
-        out = [b"".join(ids) if None not in ids else
-               b"".join([fresh[s] if known is None else known for s, known in zip(segments, ids, strict=True)])
-               for segments, ids in zip(texts, found, strict=True)]
-        if len(self.young) + len(fresh) > KEPT:
-            self.old, self.young = self.young, {}
-        self.young.update((s, ids) for s, ids in fresh.items() if len(s) <= LONGEST)
-        return out
+            if len(segment) > LONGEST or not _is_plain(segment):
+                del known[segment]
+        if len(known) > KEPT:
+            self.old, self.young = known, {}
+        return firsts, out
 
     def encoded(self, segments: list[str]) -> list[bytes]:
         """The segments' ids, from one text of those that may stand side by
         side; one by one where their bytes do not tell them apart."""
-        plain = [s for s in segments if s and not s[0].isspace() and not s[-1].isspace()]
+        plain = [s for s in segments if _is_plain(s)]
         ids = np.frombuffer(self.whole(" ".join(plain)), ID) if plain else np.zeros(0, ID)
         ends = np.cumsum(self.sizes[ids])
-        borders = np.cumsum([len(s.encode("utf-8", "surrogatepass")) + 1 for s in plain]).astype(np.int64)
+        borders = np.cumsum([(len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass"))) + 1 for s in plain], dtype=np.int64)
         last = np.searchsorted(ends, borders)
         known: dict[str, bytes] = {}
         if plain and last[-1] == len(ends) - 1 and (ends[last] == borders).all():
@@ -84,6 +86,10 @@ class Recurring:
         return [known[s] if s in known else self.whole(s) for s in segments]
 
 
+def _is_plain(segment: str) -> bool:
+    return bool(segment) and not segment[0].isspace() and not segment[-1].isspace()
+
+
 class ByteLevel:
     """A byte-level BPE of the ``tokenizers`` library (no normalizer, no
     prefix space).  With ``plain`` the strings of special tokens inside a text
@@ -107,10 +113,9 @@ class ByteLevel:
     def ids(self, texts: list[str], blank: bool = False) -> list[bytes]:
         """The ids of each text; with ``blank`` of blank + text."""
         own = [self.added is not None and self.added.search(t) is not None for t in texts]
-        parts = [[] if alone else split(" " + t if blank else t) for t, alone in zip(texts, own, strict=True)]
-        rest = self.recurring.ids([p[1:] for p in parts])
-        return [self.whole(" " + t if blank else t) if alone else (self.whole(p[0]) if p[0] else b"") + r
-                for t, alone, p, r in zip(texts, own, parts, rest, strict=True)]
+        firsts, rests = self.recurring.ids(["" if alone else " " + t if blank else t for t, alone in zip(texts, own, strict=True)])
+        return [self.whole(" " + t if blank else t) if alone else (self.whole(first) if first else b"") + rest
+                for t, alone, first, rest in zip(texts, own, firsts, rests, strict=True)]
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id."""
@@ -145,10 +150,9 @@ class SentencePiece:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the library's blank before it."""
         own = [not t or not self.can_cut or BLANK_MARK in t for t in texts]
-        parts = [[""] if alone else split(" " + t) for t, alone in zip(texts, own, strict=True)]
-        rest = self.recurring.ids([p[1:] for p in parts])
-        return [self.whole(t) if alone else (self.whole(p[0][1:]) if p[0] else b"") + r
-                for t, alone, p, r in zip(texts, own, parts, rest, strict=True)]
+        firsts, rests = self.recurring.ids(["" if alone else " " + t for t, alone in zip(texts, own, strict=True)])
+        return [self.whole(t) if alone else (self.whole(first[1:]) if first else b"") + rest
+                for t, alone, first, rest in zip(texts, own, firsts, rests, strict=True)]
 
 
 _LOADED: dict[tuple, object] = {}
