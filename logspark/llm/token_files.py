@@ -48,7 +48,7 @@ from .words import text_slices
 MAGIC = b"IDS+EF01"
 _HEAD = struct.Struct(">8s6Qq3Q")
 END_ID = 2
-BLOCK_IDS = 8 << 20
+BLOCK_IDS = 4 << 20                                       # a task holds a file's ids some five times over while it writes
 PART_BYTES = 64 << 20                                      # of text in a partition
 LEAST_BYTES = 1 << 20
 GROUP = 1024

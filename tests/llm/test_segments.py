@@ -7,7 +7,7 @@ from logspark.llm import segments as S
 pytest.importorskip("tokenizers")
 pytest.importorskip("sentencepiece")
 public_tokenizers = pytest.importorskip("public_tokenizers")
-PARTS = [" ", " ", "  ", "\n", "\t", "'s", "a", "the", "é", "中", "1", "!", "<|endoftext|>", "<s>", "<0x0A>", "▁", "\x85",
+PARTS = [".", ",", "b.", "é,", "ab!", " ", " ", "  ", "\n", "\t", "'s", "a", "the", "é", "中", "1", "!", "<|endoftext|>", "<s>", "<0x0A>", "▁", "\x85",
          "\x1c", " ", "ß", "aaaa", "---", "    ", "\r\n", "\U0001f600", "x", "\x00"]
 
 
