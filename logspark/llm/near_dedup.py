@@ -58,7 +58,7 @@ GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-DOCS_AT_ONCE = 1024
+DOCS_AT_ONCE = 512
 BLOCK = 512                                               # documents on each side of a block of a bucket
 LONG = 1024                                               # coordinates of the longer signature, a byte each
 SLACK = 0.0625                                            # 5 standard errors of its estimate
@@ -175,17 +175,18 @@ def sign(rows: DataFrame) -> DataFrame:
 def weighted_sets(batches: Iterator[pa.RecordBatch], most: int):
     """Parts of the batches (row, text) of at most ``most`` rows, with their shingles."""
     for batch in batches:
-        for part in text_slices(batch, "text", 4 << 20):
+        for part in text_slices(batch, "text", 2 << 20):
             for at in range(0, part.num_rows, most):
                 few = part.slice(at, most)
                 yield few, shingles(few.column(1))
+    pa.default_memory_pool().release_unused()              # the worker stays, its memory need not
 
 
 def sign_long(rows: DataFrame) -> DataFrame:
     """(row, signature): ``LONG`` coordinates, cut to one byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for few, (doc, element, weight) in weighted_sets(batches, DOCS_AT_ONCE // 8):
+        for few, (doc, element, weight) in weighted_sets(batches, DOCS_AT_ONCE // 4):
             signed = signatures(doc, element, weight, few.num_rows, LONG).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([few.column(0), pa.array([x.tobytes() for x in signed], pa.binary())],
                                              ["row", "signature"])
